@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import queries_near
+from sedimenta.llm import queries_near, queries_source
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (queries_near,):
+for _module in (queries_near, queries_source):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

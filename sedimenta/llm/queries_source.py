@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sedimenta.llm.source_files import source_files
+from sedimenta.llm.splitting import split_oversized
 from sedimenta.llm.syntax import check_syntax, syntax_rates
 
 
@@ -25,5 +26,15 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax_rates(check_syntax(source_files(_chunks(spark, d))))
 
 
-QUERIES = {"p2_found": p2_found, "p2_causes": p2_causes, "p2_rates": p2_rates}
-SQL: dict = {}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split_oversized(_chunks(spark, d)).where("piece_no > 0")
+    return pieces.select("chunk_id").distinct()
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    once = _chunks(spark, d).where("length(content) > 2000").dropDuplicates(["chunk_id"])
+    return split_oversized(once)
+
+
+QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p2_found": p2_found, "p2_causes": p2_causes, "p2_rates": p2_rates}
+SQL = {"p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 2000"}

@@ -101,59 +101,77 @@ def _fingerprint(run: int, segments: int, width: int):
                 continue
             keys = ball_keys(code_of(sets, segments * width), segments, width)
             digest = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-            yield pa.record_batch(
-                [pa.array(ids, pa.string()), pa.array(digest, pa.binary()), _lists(list(keys)), _lists(sets)], names=["id", "digest", "keys", "members"]
-            )
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(digest, pa.binary()), _lists(list(keys))], names=["id", "digest", "keys"])
 
     return go
 
 
-def _candidates(reps: DataFrame, segments: int, width: int, crowded: int) -> DataFrame:
-    """Distinct pairs a < b of reps(rid, keys) that meet in an index.
+def _sets(run: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = RunHasher(run)
+        for batch in batches:
+            sets = [hasher(text) for text in batch.column(1).to_pylist()]
+            digest = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+            yield pa.record_batch([batch.column(0).cast(pa.string()), pa.array(digest, pa.binary()), _lists(sets)], names=["rid", "digest", "members"])
+
+    return go
+
+
+def _candidates(reps: DataFrame, width: int, crowded: int) -> DataFrame:
+    """Distinct pairs a < b of the numbers of reps(num, keys) that meet in an index.
 
-    A bucket of more than crowded texts isn't joined as it is: its texts are indexed again within the bucket by the balls of all
+    A bucket of more than crowded texts isn't joined as it is: its texts are indexed again within the bucket by the balls of all other
     segments, which parts texts that share only the bucket's symbols and keeps similar ones together.
     """
-    indexed = reps.select("rid", F.explode("keys").alias("key"))
+    indexed = reps.select("num", F.explode("keys").alias("key"))
     hot = indexed.groupBy("key").count().where(F.col("count") > crowded).select("key")
     cold = indexed.join(hot, "key", "left_anti")
-    per = width  # the keys of one segment lie together
-    inner = reps.select("rid", F.posexplode("keys").alias("at", "key"), "keys").join(hot, "key", "left_semi")
-    inner = inner.select(
-        "rid", "key", F.explode(F.filter("keys", lambda x, i: F.floor(i / per) != F.floor(F.col("at") / per))).alias("other")
-    ).select("rid", F.xxhash64("key", "other").alias("key"))
-    both = cold.select("rid", "key").unionByName(inner)
+    inner = reps.select("num", F.posexplode("keys").alias("at", "key"), "keys").join(hot, "key", "left_semi")
+    other = F.filter("keys", lambda x, i: F.floor(i / width) != F.floor(F.col("at") / width))  # the keys of one segment lie together
+    inner = inner.select("num", "key", F.explode(other).alias("other")).select("num", F.xxhash64("key", "other").alias("key"))
+    both = cold.select("num", "key").unionByName(inner)
     a, b = both.alias("a"), both.alias("b")
-    return a.join(b, F.col("a.key") == F.col("b.key")).where("a.rid < b.rid").select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+    return a.join(b, F.col("a.key") == F.col("b.key")).where("a.num < b.num").select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct()
 
 
 class NearDuplicates:
     """Groups of texts with a Jaccard similarity of at least the threshold between sets of token runs.
 
     texts: id_col (string), text_col and any other columns. Rows with a null id are left out; several rows of one id count once (the
-    greatest text); null, empty and texts of fewer tokens than a run are never similar to anything. Texts with equal sets form a class,
-    and only one representative per class is indexed; classes are expanded just where pairs are asked for.
+    one of the greatest digest); null, empty and texts of fewer tokens than a run are never similar to anything. Texts with equal sets
+    form a class, and only one representative per class is indexed; classes are expanded just where pairs are asked for. Numbers in the
+    index are parts of digests: should two classes share one, both are verified.
     """
 
     def __init__(self, texts: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, segments: int = SEGMENTS, width: int = WIDTH, crowded: int = CROWDED):
         self.ws = Workspace(texts.sparkSession, "near")
-        self.threshold = threshold
         rows = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-        prints = rows.mapInArrow(_fingerprint(run, segments, width), "id string, digest binary, keys array<long>, members array<long>")
-        prints = self.ws.write(prints, "prints")
-        one = prints.groupBy("id").agg(F.max("digest").alias("digest"))  # an id delivered with two texts keeps one of them
+        prints = self.ws.write(rows.mapInArrow(_fingerprint(run, segments, width), "id string, digest binary, keys array<long>"), "prints")
+        one = prints.groupBy("id").agg(F.max("digest").alias("digest"))
         rep = one.groupBy("digest").agg(F.min("id").alias("rid"))
-        self.classes = self.ws.write(one.join(rep, "digest").select("id", "rid"), "classes")
-        chosen = prints.join(rep, (prints.id == rep.rid) & (prints.digest == rep.digest)).select("rid", "keys", "members", F.size("members").alias("n"))
-        self.reps = self.ws.write(chosen.dropDuplicates(["rid"]), "reps")
+        self.classes = self.ws.write(one.join(rep, "digest").select("id", "rid", "digest"), "classes")
+        num = F.conv(F.substring(F.hex("digest"), 2, 15), 16, 10).cast("long")
+        self.reps = self.classes.where("id = rid").select("rid", "digest", num.alias("num"))
+        chosen = prints.join(self.reps, (prints.id == self.reps.rid) & (prints.digest == self.reps.digest)).groupBy("num").agg(F.any_value("keys").alias("keys"))
+        chosen = self.ws.write(chosen, "chosen")
         self.ws.drop("prints")
-        met = self.ws.write(_candidates(self.reps.select("rid", "keys"), segments, width, crowded), "met")
-        left = self.reps.select(F.col("rid").alias("a"), F.col("members").alias("ma"), F.col("n").alias("na"))
-        right = self.reps.select(F.col("rid").alias("b"), F.col("members").alias("mb"), F.col("n").alias("nb"))
-        shared = F.size(F.array_intersect("ma", "mb"))
-        checked = met.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.col("na") + F.col("nb")).alias("total"))
+        met = self.ws.write(_candidates(chosen, width, crowded), "met")
+        self.ws.drop("chosen")
+        self.links = self.ws.write(self._verified(rows, met, run, threshold), "links")
+
+    def _verified(self, rows: DataFrame, met: DataFrame, run: int, threshold: float) -> DataFrame:
+        """The candidates whose sets are similar enough. Only texts that are in a candidate are read again."""
+        needed = met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "num").join(self.reps, "num")
+        again = rows.join(needed.select(F.col("rid").alias("id")), "id", "left_semi")
+        sets = again.mapInArrow(_sets(run), "rid string, digest binary, members array<long>").join(needed, ["rid", "digest"]).dropDuplicates(["rid"])
+        sets = self.ws.write(sets.select("num", "rid", "members"), "sets")
+        left = sets.select(F.col("num").alias("a"), F.col("rid").alias("ra"), F.col("members").alias("ma"))
+        right = sets.select(F.col("num").alias("b"), F.col("rid").alias("rb"), F.col("members").alias("mb"))
+        shared, total = F.size(F.array_intersect("ma", "mb")), F.size("ma") + F.size("mb")
+        checked = met.join(left, "a").join(right, "b").select("ra", "rb", shared.alias("shared"), total.alias("total"))
         similarity = F.col("shared") / (F.col("total") - F.col("shared"))
-        self.links = self.ws.write(checked.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("a", "b", "similarity"), "links")
+        ends = F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")
+        return checked.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select(*ends, "similarity")
 
     def pairs(self) -> DataFrame:
         """All similar pairs of ids, a < b; equal sets have similarity 1. As many rows as there are pairs."""

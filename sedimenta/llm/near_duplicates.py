@@ -53,8 +53,9 @@ class RunHasher:
         known = self.known
         if len(known) > _KNOWN_TOKENS:
             known.clear()
-        for t in set(tokens) - known.keys():
-            known[t] = xxhash.xxh64_intdigest(t)
+        for t in tokens:
+            if t not in known:
+                known[t] = xxhash.xxh64_intdigest(t)
         h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
         out = np.zeros(n, np.uint64)
         for i, w in enumerate(self.weights):

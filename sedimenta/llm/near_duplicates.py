@@ -118,20 +118,21 @@ def _sets(run: int):
     return go
 
 
-def _candidates(reps: DataFrame, width: int, crowded: int) -> DataFrame:
+def _candidates(ws: Workspace, reps: DataFrame, width: int, crowded: int) -> DataFrame:
     """Distinct pairs a < b of the numbers of reps(num, keys) that meet in an index.
 
     A bucket of more than crowded texts isn't joined as it is: its texts are indexed again within the bucket by the balls of all other
     segments, which parts texts that share only the bucket's symbols and keeps similar ones together.
     """
     indexed = reps.select("num", F.explode("keys").alias("key"))
-    hot = indexed.groupBy("key").count().where(F.col("count") > crowded).select("key")
-    cold = indexed.join(hot, "key", "left_anti")
-    inner = reps.select("num", F.posexplode("keys").alias("at", "key"), "keys").join(hot, "key", "left_semi")
-    other = F.filter("keys", lambda x, i: F.floor(i / width) != F.floor(F.col("at") / width))  # the keys of one segment lie together
-    inner = inner.select("num", "key", F.explode(other).alias("other")).select("num", F.xxhash64("key", "other").alias("key"))
-    both = cold.select("num", "key").unionByName(inner)
-    a, b = both.alias("a"), both.alias("b")
+    hot = ws.write(indexed.groupBy("key").count().where(F.col("count") > crowded).select("key"), "hot")
+    if not hot.isEmpty():
+        inside = indexed.join(hot, "key", "left_semi").join(reps, "num")
+        at = F.array_position("keys", F.col("key")) - 1
+        other = F.filter("keys", lambda x, i: F.floor(i / width) != F.floor(at / width))  # the keys of one segment lie together
+        inner = inside.select("num", "key", F.explode(other).alias("other")).select("num", F.xxhash64("key", "other").alias("key"))
+        indexed = indexed.join(hot, "key", "left_anti").select("num", "key").unionByName(inner)
+    a, b = indexed.alias("a"), indexed.alias("b")
     return a.join(b, F.col("a.key") == F.col("b.key")).where("a.num < b.num").select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct()
 
 
@@ -156,7 +157,7 @@ class NearDuplicates:
         chosen = prints.join(self.reps, (prints.id == self.reps.rid) & (prints.digest == self.reps.digest)).groupBy("num").agg(F.any_value("keys").alias("keys"))
         chosen = self.ws.write(chosen, "chosen")
         self.ws.drop("prints")
-        met = self.ws.write(_candidates(chosen, width, crowded), "met")
+        met = self.ws.write(_candidates(self.ws, chosen, width, crowded), "met")
         self.ws.drop("chosen")
         self.links = self.ws.write(self._verified(rows, met, run, threshold), "links")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sedimenta.llm.credentials import scan
 from sedimenta.llm.source_files import source_files
 from sedimenta.llm.splitting import split_oversized
 from sedimenta.llm.syntax import check_syntax, syntax_rates
@@ -26,6 +28,15 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax_rates(check_syntax(source_files(_chunks(spark, d))))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan(_chunks(spark, d)).select("chunk_id", F.explode("lines").alias("line_no")).distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The content of each chunk that holds credentials, without them."""
+    return scan(_chunks(spark, d).dropDuplicates(["chunk_id"])).select("chunk_id", "redacted")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_oversized(_chunks(spark, d)).where("piece_no > 0")
     return pieces.select("chunk_id").distinct()
@@ -36,5 +47,5 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(once)
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p2_found": p2_found, "p2_causes": p2_causes, "p2_rates": p2_rates}
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p2_found": p2_found, "p2_causes": p2_causes, "p2_rates": p2_rates}
 SQL = {"p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 2000"}

@@ -45,7 +45,8 @@ class RunHasher:
         self.run, self.pattern, self.known = run, pattern, {}
         self.weights = _multipliers(run, 11)
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def sequence(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's runs in order."""
         tokens = self.pattern.findall(text or "")
         n = len(tokens) - self.run + 1
         if n < 1:
@@ -60,7 +61,10 @@ class RunHasher:
         out = np.zeros(n, np.uint64)
         for i, w in enumerate(self.weights):
             out = _mixed(out + h[i : i + n]) * w
-        return np.unique(_mixed(out))
+        return _mixed(out)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.unique(self.sequence(text))
 
 
 def code_of(sets: list[np.ndarray], symbols: int) -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.credentials import scan
+from sedimenta.llm.provenance import provenance
 from sedimenta.llm.source_files import source_files
 from sedimenta.llm.splitting import split_oversized
 from sedimenta.llm.syntax import check_syntax, syntax_rates
@@ -28,6 +29,15 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax_rates(check_syntax(source_files(_chunks(spark, d))))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance(source_files(_chunks(spark, d))).where("kind is not null").select("project", "rel_path")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its kind (null: hand-written) and how far its fingerprints recur."""
+    return provenance(source_files(_chunks(spark, d))).selectExpr("project", "rel_path", "kind", "round(recurring, 6) as recurring")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scan(_chunks(spark, d)).select("chunk_id", F.explode("lines").alias("line_no")).distinct()
 
@@ -47,5 +57,5 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(once)
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p2_found": p2_found, "p2_causes": p2_causes, "p2_rates": p2_rates}
+QUERIES = {"p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p2_found": p2_found, "p2_causes": p2_causes, "p2_rates": p2_rates}
 SQL = {"p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 2000"}

@@ -156,8 +156,12 @@ property <- '...' assign / accessor / 'async' !( ',' / ':' / '(' / '}' / '=' ) '
           / key ':' assign / NAME ( '=' assign )?
 array <- '[' ( ','+ / ( '...'? assign ) ( ','+ ( '...'? assign )? )* )? ']'
 expr <- assign ( ',' assign )*
-assign <- arrow / 'yield' ( '*'? assign )? / ternary ( ( '=' / ASSIGN ) assign )?
+assign <- ( ( NAME / 'this' ) ( '.' word )* ( '=' / ASSIGN ) )? simple_ &stop_ / arrow / 'yield' ( '*'? assign )? / ternary ( ( '=' / ASSIGN ) assign )?
 arrow <- 'async'? ( NAME '=>' / signature '=>' ) ( block / assign )
+operand_ <- NAME ( ( '.' / '?.' ) word )* / literal ( '.' word )*
+sign_ <- PREFIX / PLUSMINUS / '!' / 'typeof' / 'void'
+simple_ <- sign_* operand_ ( operator sign_* operand_ )*
+stop_ <- ')' / ']' / '}' / ',' / ';' / ':'
 ternary <- binary ( '?' assign ':' assign )?
 binary <- unary ( operator unary / tsas )*
 operator <- BINARY / PLUSMINUS / '*' / '/' / '|' / '&' / '<' / '>' ( '>' '>'? )? '='? / 'in' / 'instanceof'
@@ -165,7 +169,7 @@ unary <- ( PREFIX / PLUSMINUS / CREMENT / '!' / 'typeof' / 'void' / 'delete' / '
 postfix <- member
 member <- primary ( '.' ( word / PRIVATE ) / '?.' ( word / PRIVATE / '[' expr ']' / tsargs? '(' args ')' / TEMPLATE ) / '[' expr ']' / '(' args ')'
         / TEMPLATE / tsbang / tsargs &( '(' / TEMPLATE ) )*
-args <- ( '...'? assign ( ',' '...'? assign )* ','? )?
+args <- simple_ ( ',' simple_ )* &')' / ( '...'? assign ( ',' '...'? assign )* ','? )?
 primary <- 'new' ( '.' 'target' / newtarget ) / 'function' '*'? NAME? signature block / 'async' 'function' '*'? NAME? signature block
          / class / 'import' ( '(' args ')' / '.' 'meta' ) / literal / object / array / '(' expr ')' / NAME / PRIVATE
 newtarget <- 'new' newtarget / ( NAME / 'this' / '(' expr ')' / class / 'function' NAME? signature block ) ( '.' word / '[' expr ']' )* tsargs? ( '(' args ')' )?
@@ -227,10 +231,11 @@ JS = Grammar(_JS_COMMON + _JS_ONLY, _JS_CLASSES, _JS_SOFT)
 TS = Grammar(_JS_COMMON + _TS_ONLY, _JS_CLASSES, _JS_SOFT + _TS_SOFT)
 
 _JS_REGEX = r"/(?![*/])(?:[^\n/\\\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*"
+_BEFORE = r"[(,=:\[!&|?{;+*%~^<>-]"  # a slash after one of these begins a regular expression
 _JS_PATTERN = (
-    rf"(?:[-+*%&|^=<>?:!~]+|[(,\[{{;}}]|\b(?:return|typeof|case|in|of|void|delete|throw|do|else|yield|await)\b)\s*{_JS_REGEX}"
-    r"|\#![^\n]*"
-    rf"|{_LINE}|{_BLOCK}|{_STRING}|{_CHAR}"
+    rf"\#![^\n]*|{_LINE}|{_BLOCK}"
+    rf"|(?:(?<={_BEFORE})|(?<={_BEFORE} )|(?<=return )|(?<=typeof )|(?<=case )|(?<=\n))(?<!\+\+ )(?<!-- ){_JS_REGEX}"
+    rf"|{_STRING}|{_CHAR}"
     r"|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`\"']|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\{[^{}]*\}|`(?:[^`\\]|\\.)*`)*\})*`"
     rf"|#?[^\W\d][\w$]*|\$[\w$]*|{_NUM}n?[\w$]*|\.\.\.|\?\.(?!\d)|=>|>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|===|!==|\*\*|==|!=|<=|&&|\|\||\?\?|\+\+|--|[-+*/%&|^]=|<<|\s+|."
 )
@@ -265,10 +270,8 @@ class JsLexer(Lexer):
             return "TEMPLATE" if len(text) > 1 and self._template(text) else None
         if c == "#":
             return "PRIVATE" if len(text) > 1 else None
-        m = re.fullmatch(rf"(.+?)(\s*)({_JS_REGEX})", text, re.S) if "/" in text else None
-        if m:
-            head = re.findall(r"[\w$]+|=>|\.\.\.|\?\.|===|!==|\*\*|==|!=|<=|&&|\|\||\?\?|[-+*/%&|^]=|<<|.", m.group(1))
-            return " ".join([self._op(p) or "NEVER" for p in head] + [self.line_end * ("\n" in m.group(2)), "REGEX"])
+        if c == "/" and len(text) > 2:
+            return "REGEX"
         if text in _JS_WORDS:
             return text if text in self.grammar.sym else "KEYWORD"
         op = self._op(text)
@@ -360,17 +363,21 @@ GO = Grammar(
     flats <- flat ( ',' flat )*
     flatsimple <- flats ( ( '=' / ASSIGN / ':=' ) flats / CREMENT )?
     switch <- 'switch' ( flatsimple? ';' )? ( ( NAME ':=' )? flat )? '{' ( ( 'case' ( type ( ',' type )* &':' / exprs ) / 'default' ) ':' stmts )* '}'
-    expr <- unary ( operator unary )*
+    expr <- simple_ &stop_ / unary ( operator unary )*
+    sign_ <- UNIBIN / '!'
+    operand_ <- NAME ( '.' NAME )* / STR / NUM
+    simple_ <- sign_* operand_ ( operator sign_* operand_ )*
+    stop_ <- ')' / ']' / '}' / ',' / ';' / AUTO / ':'
     operator <- BINARY / UNIBIN / '*' / '|'
     unary <- ( UNIBIN / '*' / '<-' / '!' )* primary
     primary <- operand ( '.' ( NAME / '(' ( 'type' / type ) ')' ) / index / call / literal )*
     index <- '[' ( expr ( ',' type )* / ( expr? ':' expr? ( ':' expr )? ) ) ']' / '[' expr? ':' expr? ( ':' expr )? ']' / '[' type ( ',' type )* ']'
-    call <- '(' ( ( type &( ',' / ')' ) / expr ) ( ',' expr )* '...'? ','? )? ')'
+    call <- '(' simple_ ( ',' simple_ )* ')' / '(' ( ( type &( ',' / ')' ) / expr ) ( ',' expr )* '...'? ','? )? ')'
     operand <- STR / NUM / 'func' signature block / '(' ( expr / type ) ')' / typed ( literal / '(' expr ','? ')' ) / NAME
     typed <- '[' '...'? expr? ']' type / 'map' '[' type ']' type / 'struct' '{' ( field ( semi / &'}' ) )* '}' / 'chan' type / 'interface' '{' '}'
     literal <- '{' ( element ( ',' element )* ','? )? '}'
     element <- ( ( expr / literal ) ':' )? ( expr / literal )
-    flat <- flatunary ( operator flatunary )*
+    flat <- simple_ &( '{' / ';' ) / flatunary ( operator flatunary )*
     flatunary <- ( UNIBIN / '*' / '<-' / '!' )* flatprimary
     flatprimary <- operand ( '.' ( NAME / '(' ( 'type' / type ) ')' ) / index / call )*
     """,
@@ -459,13 +466,17 @@ JAVA = Grammar(
     ternaryhead <- primary !( BINARY / '?' )
     local <- modifier* type declarator ( ',' declarator )*
     for <- 'for' '(' ( modifier* type NAME ':' expr / ( local / exprs )? ';' expr? ';' exprs? ) ')' stmt
-    exprs <- expr ( ',' expr )*
+    exprs <- simple_ ( ',' simple_ )* &')' / expr ( ',' expr )*
     try <- 'try' ( '(' resource ( ';' resource )* ';'? ')' )? block ( 'catch' '(' modifier* type ( '|' type )* NAME ')' block )* ( 'finally' block )?
     resource <- modifier* type NAME '=' expr / expr
     switch <- 'switch' '(' expr ')' '{' case* '}'
     case <- ( 'case' label ( ',' label )* ( 'when' expr )? / 'default' ) ( '->' ( block / 'throw' expr ';' / expr ';' ) / ':' stmt* )
     label <- 'default' / type NAME / ternary
-    expr <- lambda / ternary ( ( '=' / ASSIGN ) expr )?
+    operand_ <- ( NAME / 'this' ) ( '.' NAME )* / STR / NUM
+    sign_ <- PLUSMINUS / '!' / '~'
+    simple_ <- sign_* operand_ ( operator sign_* operand_ )*
+    stop_ <- ')' / ']' / '}' / ',' / ';' / ':'
+    expr <- simple_ &stop_ / lambda / ternary ( ( '=' / ASSIGN ) expr )?
     lambda <- ( NAME / '(' ( parameter ( ',' parameter )* / NAME ( ',' NAME )* )? ')' ) '->' ( block / expr )
     ternary <- binary ( '?' ( lambda / ternary ) ':' ( lambda / ternary ) )?
     binary <- unary ( operator unary / 'instanceof' 'final'? type NAME? )*
@@ -573,7 +584,11 @@ RUST = Grammar(
     rangepat <- ( '-'? literal / path ) ( '..=' / '..' ) ( '-'? literal / path )? / '..=' ( '-'? literal / path )
     fieldpat <- attr* ( '..' / ( NAME / NUM ) ':' pattern / 'ref'? 'mut'? NAME )
     literal <- STR / NUM / 'true' / 'false'
-    expr <- assignment
+    operand_ <- ( NAME / 'self' ) ( '::' NAME )* ( '.' NAME )* / literal
+    sign_ <- '-' / '!' / '*' / '&' 'mut'?
+    simple_ <- sign_* operand_ ( operator sign_* operand_ )*
+    stop_ <- ')' / ']' / '}' / ',' / ';'
+    expr <- simple_ &stop_ / assignment
     assignment <- range ( ( '=' / ASSIGN ) assignment )?
     range <- ( '..' / '..=' ) binary? / binary ( ( '..' / '..=' ) binary? )?
     binary <- unary ( operator unary / 'as' type1 )*
@@ -581,14 +596,14 @@ RUST = Grammar(
     headop <- BINARY / '*' / '-' / '+' / '&' / '|' / '<' '<'? / '>' '>'?
     unary <- ( '-' / '!' / '*' / '&&' 'mut'? / '&' ( 'mut' / 'raw' ( 'const' / 'mut' ) )? )* postfix
     postfix <- primary suffix*
-    suffix <- '.' ( NAME ( '::' '<' ( typearg ( ',' typearg )* ','? )? '>' )? / NUM / 'await' ) / '(' ( expr ( ',' expr )* ','? )? ')' / '[' expr ']' / '?'
+    suffix <- '(' simple_ ( ',' simple_ )* ')' / '.' ( NAME ( '::' '<' ( typearg ( ',' typearg )* ','? )? '>' )? / NUM / 'await' ) / '(' ( expr ( ',' expr )* ','? )? ')' / '[' expr ']' / '?'
     primary <- 'return' expr? / 'break' LIFETIME? expr? / 'continue' LIFETIME? / closure / control / literal / '(' ( expr ( ',' expr )* ','? )? ')' / '[' ( expr ( ';' expr / ( ',' expr )* ','? ) )? ']'
        / path '!' tokens / path '{' ( fieldinit ( ',' fieldinit )* )? ','? ( '..' expr )? '}' / '<' type ( 'as' typepath )? '>' '::' path / path / '_'
     control <- statementlike
     fieldinit <- attr* ( ( NAME / NUM ) ':' expr / NAME ) / '..' expr
     closure <- 'move'? ( '||' / '|' ( closureparam ( ',' closureparam )* ','? )? '|' ) ( '->' type block / expr ) / 'async' 'move'? closure
     closureparam <- pattern1 ( ':' type )?
-    head <- headrange
+    head <- simple_ &'{' / headrange
     headrange <- ( '..' / '..=' ) headbinary? / headbinary ( ( '..' / '..=' ) headbinary? )?
     headbinary <- headunary ( ( headop / '&&' / '||' ) headunary / 'as' type1 )*
     headunary <- ( '-' / '!' / '*' / '&&' 'mut'? / '&' 'mut'? )* headprimary suffix*
@@ -679,14 +694,18 @@ PYTHON = Grammar(
        / name ( '(' ( ( NAME '=' )? pattern ( ',' ( NAME '=' )? pattern )* ','? )? ')' )? / literal
     keypattern <- '**' NAME / ( literal / name ) ':' pattern
     literal <- '-'? NUM ( ( '+' / '-' ) NUM )? / STR+ / CONST
-    expr <- 'lambda' lambdaparams? ':' expr / binary ( 'if' binary 'else' expr )?
+    expr <- simple_ &stop_ / 'lambda' lambdaparams? ':' expr / binary ( 'if' binary 'else' expr )?
+    operand_ <- NAME ( '.' NAME )* / NUM / STR+ / CONST
+    sign_ <- 'not' / '-' / '+' / '~'
+    simple_ <- sign_* operand_ ( operator sign_* operand_ )*
+    stop_ <- ')' / ']' / '}' / ',' / ':' / ';' / '=' / NEWLINE
     lambdaparams <- lambdaparam ( ',' lambdaparam )* ','?
     lambdaparam <- '/' / '**' NAME / '*' NAME? / NAME ( '=' expr )?
     binary <- unary ( operator unary )*
     operator <- OP / '*' / '**' / '/' / '-' / '+' / '|' / '@' / 'and' / 'or' / 'in' / 'not' 'in' / 'is' 'not'?
     unary <- ( 'not' / '-' / '+' / '~' / 'await' )* primary
     primary <- atom ( '.' NAME / '(' args? ')' / '[' slices ']' )*
-    args <- arg ( ',' arg )* ','?
+    args <- ( NAME '=' )? simple_ ( ',' ( NAME '=' )? simple_ )* ','? &')' / arg ( ',' arg )* ','?
     arg <- '**' expr / '*' expr / NAME '=' expr / named compfor?
     slices <- slice ( ',' slice )* ','?
     slice <- expr? ':' expr? ( ':' expr? )? / starred
@@ -863,12 +882,13 @@ class ShellLexer(Lexer):
             (?<sub>\$\((?&inn)\)|\$\{(?&brc)\})
             (?<inn>(?:[^()'"\\`$]|\\.|(?&sq)|(?&dq)|(?&sub)|\$|`[^`]*+`|\((?&inn)\))*+)
             (?<brc>(?:[^{}'"\\`$]|\\.|(?&sq)|(?&dq)|(?&sub)|\$|'|`[^`]*+`|\{(?&brc)\})*+)
+            (?<easy>(?:[^\s|&;()<>"'`$\\\#]|(?<=[^\s|&;()<>])\#|'[^']*+'|"[^"\\`$]*+(?:\$\w+[^"\\`$]*+|\$\{\w+\}[^"\\`$]*+)*+"|\$\w+|\$\{\w+\})++(?=[\s|&;)<>]|\Z))
             (?<word>(?:[^\s|&;()<>"'`$\\]|\\.|(?&sq)|(?&dq)|(?&sub)|\$(?!\()|`[^`]*+`|[<>]\((?&inn)\))++)
         )"""
         pieces = (
             r"\#[^\n]*|\\\n|[ \t\r\f]+|\n"
             r"|<<-?[ \t]*(?:'(?<h>[^'\n]+)'|\"(?<h>[^\"\n]+)\"|\\?(?<h>\w+))[^\n]*(?:\n.*?)??(?:\n[\t]*(?P=h)(?=\n|\Z)|\Z)"
-            r"|\(\((?&inn)\)\)|[A-Za-z_]\w*(?:\[[^\]\n]*\])?\+?=(?:\(|(?&word)?)|\d*(?:<<<|&>>|&>|>>|>\||<>|>&|<&|>(?!\()|<(?!\())|;;&|;;|;&|&&|\|\||\|&|[;&|()]|(?&word)|."
+            r"|\(\((?&inn)\)\)|[A-Za-z_]\w*(?:\[[^\]\n]*\])?\+?=(?:\(|(?&word)?)|\d*(?:<<<|&>>|&>|>>|>\||<>|>&|<&|>(?!\()|<(?!\())|;;&|;;|;&|&&|\|\||\|&|[;&|()]|(?&easy)|(?&word)|."
         )
         self.pattern = regex.compile(define + f"(?:{pieces})", regex.S | regex.V0)
         self.inner = None

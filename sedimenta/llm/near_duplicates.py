@@ -3,7 +3,7 @@
 A text's fingerprint is a code of segments x width symbols, each the minimum of one hash function over the set of the text's token runs;
 two texts agree in a symbol with the probability of their Jaccard similarity s. The code is cut into segments. Each segment's Hamming
 ball of radius one is enumerated (the segment with each symbol in turn left out) into one index; texts that meet in any of them are
-candidates, and candidates are verified by the complete distance of their sets. With 14 segments of 4 symbols a pair at s = 0.6 stays
+candidates. Candidates are verified by the complete distance of their codes, and what stays by that of their sets. With 14 segments of 4 symbols a pair at s = 0.6 stays
 undetected with probability 0.0001, one at 0.7 with 0.000001.
 """
 
@@ -25,6 +25,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 _KNOWN_TOKENS = 400_000
 SEGMENTS, WIDTH = 14, 4
 CROWDED = 512
+BROADCAST_ROWS = 200_000  # ids of 36 characters: under 20 MB
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -78,9 +79,9 @@ def code_of(sets: list[np.ndarray], symbols: int) -> np.ndarray:
 
 
 def ball_keys(code: np.ndarray, segments: int, width: int) -> np.ndarray:
-    """The index keys of each code: for every segment, the segment with each symbol in turn left out."""
-    parts = _mixed(code).reshape(len(code), segments, width)
+    """The index keys of each code of 16-bit symbols: for every segment, the segment with each symbol in turn left out."""
     with np.errstate(over="ignore"):
+        parts = _mixed(code.astype(np.uint64) + np.uint64(1)).reshape(len(code), segments, width)
         weighted = parts * _multipliers(width, 14)
         rest = weighted.sum(axis=2, keepdims=True, dtype=np.uint64) - weighted
         place = _multipliers(segments * width, 15).reshape(segments, width)
@@ -92,7 +93,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)))
 
 
-def _fingerprint(run: int, segments: int, width: int):
+def _fingerprint(run: int, symbols: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RunHasher(run)
         for batch in batches:
@@ -104,9 +105,34 @@ def _fingerprint(run: int, segments: int, width: int):
                     sets.append(s)
             if not ids:
                 continue
-            keys = ball_keys(code_of(sets, segments * width), segments, width)
+            code = (code_of(sets, symbols) & np.uint64(0xFFFF)).astype(np.uint16)
             digest = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(digest, pa.binary()), _lists(list(keys))], names=["id", "digest", "keys"])
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(digest, pa.binary()), pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "digest", "code"])
+
+    return go
+
+
+def _keys(segments: int, width: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = segments * width
+        for batch in batches:
+            code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, n)
+            keys = ball_keys(code, segments, width)
+            num = np.repeat(batch.column(0).to_numpy(), n)
+            at = np.tile(np.arange(n, dtype=np.int32), len(code))
+            yield pa.record_batch([pa.array(num), pa.array(at), pa.array(keys.ravel().view(np.int64))], names=["num", "at", "key"])
+
+    return go
+
+
+def _close(least: int):
+    """Keeps pairs (a, b, ca, cb) whose complete codes agree in at least so many symbols."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(len(batch), -1) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
 
     return go
 
@@ -122,21 +148,26 @@ def _sets(run: int):
     return go
 
 
-def _candidates(ws: Workspace, reps: DataFrame, width: int, crowded: int) -> DataFrame:
-    """Distinct pairs a < b of the numbers of reps(num, keys) that meet in an index.
+def _candidates(ws: Workspace, coded: DataFrame, segments: int, width: int, crowded: int) -> DataFrame:
+    """Distinct pairs a < b of the numbers of coded(num, code) that meet in an index.
 
     A bucket of more than crowded texts isn't joined as it is: its texts are indexed again within the bucket by the balls of all other
-    segments, which parts texts that share only the bucket's symbols and keeps similar ones together.
+    segments, which parts texts that share only the bucket's symbols and keeps similar ones together. Crowded buckets are looked for among
+    groups of buckets first, whose counts add up before the shuffle.
     """
-    indexed = reps.select("num", F.explode("keys").alias("key"))
-    hot = ws.write(indexed.groupBy("key").count().where(F.col("count") > crowded).select("key"), "hot")
-    if not hot.isEmpty():
-        inside = indexed.join(hot, "key", "left_semi").join(reps, "num")
-        at = F.array_position("keys", F.col("key")) - 1
-        other = F.filter("keys", lambda x, i: F.floor(i / width) != F.floor(at / width))  # the keys of one segment lie together
-        inner = inside.select("num", "key", F.explode(other).alias("other")).select("num", F.xxhash64("key", "other").alias("key"))
-        indexed = indexed.join(hot, "key", "left_anti").select("num", "key").unionByName(inner)
-    a, b = indexed.alias("a"), indexed.alias("b")
+    indexed = coded.mapInArrow(_keys(segments, width), "num long, at int, key long")
+    groups = max(1024, coded.count() * segments * width // 64)
+    group = F.pmod(F.col("key"), F.lit(groups))
+    full = indexed.groupBy(group.alias("group")).count().where(F.col("count") > crowded).select("group")
+    full = ws.write(full, "full")
+    hot = indexed.withColumn("group", group).join(full, "group", "left_semi").groupBy("key").count().where(F.col("count") > crowded).select("key")
+    hot = ws.write(hot, "hot") if not full.isEmpty() else None
+    pairs = indexed.select("num", "key")
+    if hot is not None and not hot.isEmpty():
+        inside = indexed.join(hot, "key", "left_semi").join(indexed.select("num", F.col("at").alias("other_at"), F.col("key").alias("other")), "num")
+        inner = inside.where(F.floor(F.col("at") / width) != F.floor(F.col("other_at") / width)).select("num", F.xxhash64("key", "other").alias("key"))
+        pairs = pairs.join(hot, "key", "left_anti").select("num", "key").unionByName(inner)
+    a, b = pairs.alias("a"), pairs.alias("b")
     return a.join(b, F.col("a.key") == F.col("b.key")).where("a.num < b.num").select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct()
 
 
@@ -152,23 +183,32 @@ class NearDuplicates:
     def __init__(self, texts: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, segments: int = SEGMENTS, width: int = WIDTH, crowded: int = CROWDED):
         self.ws = Workspace(texts.sparkSession, "near")
         rows = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-        prints = self.ws.write(rows.mapInArrow(_fingerprint(run, segments, width), "id string, digest binary, keys array<long>"), "prints")
+        prints = self.ws.write(rows.mapInArrow(_fingerprint(run, segments * width), "id string, digest binary, code binary"), "prints")
         one = prints.groupBy("id").agg(F.max("digest").alias("digest"))
         rep = one.groupBy("digest").agg(F.min("id").alias("rid"))
         self.classes = self.ws.write(one.join(rep, "digest").select("id", "rid", "digest"), "classes")
-        num = F.conv(F.substring(F.hex("digest"), 2, 15), 16, 10).cast("long")
-        self.reps = self.classes.where("id = rid").select("rid", "digest", num.alias("num"))
-        chosen = prints.join(self.reps, (prints.id == self.reps.rid) & (prints.digest == self.reps.digest)).groupBy("num").agg(F.any_value("keys").alias("keys"))
-        chosen = self.ws.write(chosen, "chosen")
+        num = F.conv(F.substring(F.hex("digest"), 2, 15), 16, 10).cast("long").alias("num")
+        self.reps = self.classes.where("id = rid").select("rid", "digest", num)
+        coded = self.ws.write(prints.groupBy(num).agg(F.any_value("code").alias("code")), "coded")
         self.ws.drop("prints")
-        met = self.ws.write(_candidates(self.ws, chosen, width, crowded), "met")
-        self.ws.drop("chosen")
+        met = _candidates(self.ws, coded, segments, width, crowded)
+        left, right = coded.select(F.col("num").alias("a"), F.col("code").alias("ca")), coded.select(F.col("num").alias("b"), F.col("code").alias("cb"))
+        close = met.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(_close(self._least(threshold, segments * width)), "a long, b long")
+        met = self.ws.write(close, "met")
         self.links = self.ws.write(self._verified(rows, met, run, threshold), "links")
 
+    @staticmethod
+    def _least(threshold: float, symbols: int) -> int:
+        """Agreeing symbols that a pair at the threshold has but for one in 10 million: its mean less 5.2 standard deviations."""
+        return max(1, int(threshold * symbols - 5.2 * (symbols * threshold * (1 - threshold)) ** 0.5))
+
     def _verified(self, rows: DataFrame, met: DataFrame, run: int, threshold: float) -> DataFrame:
-        """The candidates whose sets are similar enough. Only texts that are in a candidate are read again."""
+        """The candidates whose sets are similar enough. Only texts that are in a candidate are read again; their ids are broadcast only
+        when counted and few."""
         needed = met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "num").join(self.reps, "num")
-        again = rows.join(needed.select(F.col("rid").alias("id")), "id", "left_semi")
+        needed = self.ws.write(needed.select("num", "rid", "digest"), "needed")
+        ids = needed.select(F.col("rid").alias("id")).distinct()
+        again = rows.join(F.broadcast(ids) if needed.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
         sets = again.mapInArrow(_sets(run), "rid string, digest binary, members array<long>").join(needed, ["rid", "digest"]).dropDuplicates(["rid"])
         sets = self.ws.write(sets.select("num", "rid", "members"), "sets")
         left = sets.select(F.col("num").alias("a"), F.col("rid").alias("ra"), F.col("members").alias("ma"))

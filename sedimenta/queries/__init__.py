@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def registered() -> tuple[dict, dict]:
-    from sedimenta.queries import pipeline
+    from sedimenta.queries import corpus, pipeline
 
     found, sql = {}, {}
-    for module in (pipeline,):
+    for module in (pipeline, corpus):
         found |= module.QUERIES
         sql |= module.SQL
     return found, sql

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def registered() -> tuple[dict, dict]:
-    from sedimenta.queries import corpus, pipeline
+    from sedimenta.queries import corpus, graphs, pipeline
 
     found, sql = {}, {}
-    for module in (pipeline, corpus):
+    for module in (pipeline, corpus, graphs):
         found |= module.QUERIES
         sql |= module.SQL
     return found, sql

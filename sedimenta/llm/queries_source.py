@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.credentials import scan
+from sedimenta.llm.credentials import redact, scan
 from sedimenta.llm.provenance import provenance
 from sedimenta.llm.source_files import source_files
 from sedimenta.llm.splitting import split_oversized
@@ -39,12 +39,13 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return scan(_chunks(spark, d)).select("chunk_id", F.explode("lines").alias("line_no")).distinct()
+    return scan(_chunks(spark, d)).select("chunk_id", F.col("line").alias("line_no")).distinct()
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The content of each chunk that holds credentials, without them."""
-    return scan(_chunks(spark, d).dropDuplicates(["chunk_id"])).select("chunk_id", "redacted")
+    once = _chunks(spark, d).dropDuplicates(["chunk_id"])
+    return redact(once, scan(once))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -122,7 +122,8 @@ export <- 'export' ( 'default' ( function / class / tsdefault / expr end ) / '*'
 declaration <- decorators ( variables end / function / class / tsdeclaration )
 decorators <- ( '@' member ( '(' args ')' )? )*
 end <- ';' / &'}' / EOL / EOF
-stmt <- block / ';' / declaration / if / for / while / do / 'continue' jump / 'break' jump / return / 'throw' expr end / try / switch
+quick_ <- kind NAME '=' simple_ ';' / NAME ( '.' word )* ( '(' ( simple_ ( ',' simple_ )* )? ')' / ( '=' / ASSIGN ) simple_ ) ';' / 'return' simple_ ';'
+stmt <- quick_ / block / ';' / declaration / if / for / while / do / 'continue' jump / 'break' jump / return / 'throw' expr end / try / switch
       / label / 'debugger' end / 'with' '(' expr ')' stmt / expr end
 block <- '{' item* '}'
 jump <- ( !EOL NAME )? end
@@ -154,7 +155,7 @@ word <- NAME / KEYWORD / 'import' / 'export' / 'default' / 'if' / 'for' / 'while
 object <- '{' ( property ( ',' property )* ','? )? '}'
 property <- '...' assign / accessor / 'async' !( ',' / ':' / '(' / '}' / '=' ) '*'? key signature block / '*'? key signature block
           / key ':' assign / NAME ( '=' assign )?
-array <- '[' ( ','+ / ( '...'? assign ) ( ','+ ( '...'? assign )? )* )? ']'
+array <- '[' simple_ ( ',' simple_ )* ']' / '[' ( ','+ / ( '...'? assign ) ( ','+ ( '...'? assign )? )* )? ']'
 expr <- assign ( ',' assign )*
 assign <- ( ( NAME / 'this' ) ( '.' word )* ( '=' / ASSIGN ) )? simple_ &stop_ / arrow / 'yield' ( '*'? assign )? / ternary ( ( '=' / ASSIGN ) assign )?
 arrow <- 'async'? ( NAME '=>' / signature '=>' ) ( block / assign )
@@ -233,8 +234,8 @@ TS = Grammar(_JS_COMMON + _TS_ONLY, _JS_CLASSES, _JS_SOFT + _TS_SOFT)
 _JS_REGEX = r"/(?![*/])(?:[^\n/\\\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*"
 _BEFORE = r"[(,=:\[!&|?{;+*%~^<>-]"  # a slash after one of these begins a regular expression
 _JS_PATTERN = (
-    rf"\#![^\n]*|{_LINE}|{_BLOCK}"
-    rf"|(?:(?<={_BEFORE})|(?<={_BEFORE} )|(?<=return )|(?<=typeof )|(?<=case )|(?<=\n))(?<!\+\+ )(?<!-- ){_JS_REGEX}"
+    rf"\s+|[A-Za-z_$][\w$]*|\#![^\n]*|{_LINE}|{_BLOCK}"
+    rf"|(?=/)(?:(?<={_BEFORE})|(?<={_BEFORE} )|(?<=return )|(?<=typeof )|(?<=case )|(?<=\n))(?<!\+\+ )(?<!-- ){_JS_REGEX}"
     rf"|{_STRING}|{_CHAR}"
     r"|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`\"']|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\{[^{}]*\}|`(?:[^`\\]|\\.)*`)*\})*`"
     rf"|#?[^\W\d][\w$]*|\$[\w$]*|{_NUM}n?[\w$]*|\.\.\.|\?\.(?!\d)|=>|>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|===|!==|\*\*|==|!=|<=|&&|\|\||\?\?|\+\+|--|[-+*/%&|^]=|<<|\s+|."
@@ -355,7 +356,8 @@ GO = Grammar(
     method <- NAME params ( params / type )? / constraint
     block <- '{' stmts '}'
     stmts <- semi* ( stmt ( semi+ / &'}' / &'case' / &'default' ) )*
-    stmt <- declaration / block / 'return' exprs? / if / for / switch / 'select' '{' ( ( 'case' simple / 'default' ) ':' stmts )* '}'
+    quick_ <- NAME ( '.' NAME )* ( ( ':=' / '=' / ASSIGN ) simple_ / '(' ( simple_ ( ',' simple_ )* )? ')' ) &( AUTO / ';' ) / 'return' simple_ &( AUTO / ';' )
+    stmt <- quick_ / declaration / block / 'return' exprs? / if / for / switch / 'select' '{' ( ( 'case' simple / 'default' ) ':' stmts )* '}'
           / ( 'go' / 'defer' ) expr / ( 'break' / 'continue' / 'goto' ) NAME? / 'fallthrough' / NAME ':' !'=' stmt? / simple
     simple <- exprs ( ( '=' / ASSIGN ) exprs / ':=' ( exprs ) / CREMENT / '<-' expr )? 
     if <- 'if' ( simple? ';' )? flat block ( 'else' ( if / block ) )?
@@ -394,7 +396,7 @@ class GoLexer(Lexer):
     line_end = "\uefff"
 
     def __init__(self):
-        pattern = rf"{_LINE}|{_BLOCK}|`[^`]*`|{_STRING}|{_CHAR}|[^\W\d]\w*|{_NUM}i?\w*|\.\.\.|:=|<-|\+\+|--|&\^=|<<=|>>=|&\^|<<|>>|&&|\|\||[-+*/%&|^=!<>]=|\s+|."
+        pattern = rf"\s+|[A-Za-z_]\w*|{_LINE}|{_BLOCK}|`[^`]*`|{_STRING}|{_CHAR}|[^\W\d]\w*|{_NUM}i?\w*|\.\.\.|:=|<-|\+\+|--|&\^=|<<=|>>=|&\^|<<|>>|&&|\|\||[-+*/%&|^=!<>]=|\s+|."
         super().__init__(GO, pattern, self._token)
         self.virtual = GO.classes["AUTO"]
         after = [GO.classes[c] for c in ("NAME", "STR", "NUM", "CREMENT")] + [GO.sym[c] for c in (")", "]", "}", "return", "break", "continue", "fallthrough")]
@@ -454,12 +456,13 @@ JAVA = Grammar(
     parameters <- '(' ( parameter ( ',' parameter )* )? ')'
     parameter <- modifier* type '...'? ( NAME / 'this' ) ( '[' ']' )*
     declarator <- NAME ( '[' ']' )* ( '=' ( arrayliteral / expr ) )?
-    arrayliteral <- '{' ( ( arrayliteral / expr ) ( ',' ( arrayliteral / expr ) )* )? ','? '}'
+    arrayliteral <- '{' simple_ ( ',' simple_ )* '}' / '{' ( ( arrayliteral / expr ) ( ',' ( arrayliteral / expr ) )* )? ','? '}'
     type <- annotation* ( PRIMITIVE / NAME typeargs? ( '.' annotation* NAME typeargs? )* ) ( '[' ']' )*
     typeargs <- '<' ( typearg ( ',' typearg )* )? '>'
     typearg <- annotation* '?' ( ( 'extends' / 'super' ) type )? / type
     block <- '{' stmt* '}'
-    stmt <- block / ';' / local ';' / type_declaration / 'if' '(' expr ')' stmt ( 'else' stmt )? / 'while' '(' expr ')' stmt / 'do' stmt 'while' '(' expr ')' ';'
+    quick_ <- ( PRIMITIVE / NAME ) ( '[' ']' )* NAME '=' simple_ ';' / NAME ( '.' NAME )* ( '(' ( simple_ ( ',' simple_ )* )? ')' / ( '=' / ASSIGN ) simple_ ) ';' / 'return' simple_ ';'
+    stmt <- quick_ / block / ';' / local ';' / type_declaration / 'if' '(' expr ')' stmt ( 'else' stmt )? / 'while' '(' expr ')' stmt / 'do' stmt 'while' '(' expr ')' ';'
        / for / 'return' expr? ';' / ( 'break' / 'continue' ) NAME? ';' / 'throw' expr ';' / try / switch / 'synchronized' '(' expr ')' block
        / 'assert' expr ( ':' expr )? ';' / 'yield' expr ';' / NAME ':' stmt / statement_expr ';'
     statement_expr <- CREMENT unary / ternaryhead ( ( '=' / ASSIGN ) expr / CREMENT )? 
@@ -526,7 +529,7 @@ def _java_token(text: str) -> str | None:
 
 
 def java_lexer() -> Lexer:
-    pattern = rf'{_LINE}|{_BLOCK}|"""(?:[^"\\]|\\.|"(?!""))*"""|{_STRING}|{_CHAR}|[^\W\d][\w$]*|\$[\w$]*|{_NUM}\w*|\.\.\.|->|::|\+\+|--|<<=|>>>=|>>=|&&|\|\||[-+*/%&|^=!<>]=|\s+|.'
+    pattern = rf'\s+|[A-Za-z_][\w$]*|{_LINE}|{_BLOCK}|"""(?:[^"\\]|\\.|"(?!""))*"""|{_STRING}|{_CHAR}|[^\W\d][\w$]*|\$[\w$]*|{_NUM}\w*|\.\.\.|->|::|\+\+|--|<<=|>>>=|>>=|&&|\|\||[-+*/%&|^=!<>]=|\s+|.'
     return Lexer(JAVA, pattern, _java_token)
 
 
@@ -569,7 +572,8 @@ RUST = Grammar(
     typearg <- LIFETIME / NAME generics? '=' type / NAME ':' bounds / type / block / '-'? literal
     path <- '::'? pathpart ( '::' ( '<' ( typearg ( ',' typearg )* ','? )? '>' / pathpart ) )*
     block <- LABEL? ( 'unsafe' / 'async' 'move'? / 'const' )? '{' innerattr* stmt* expr? '}'
-    stmt <- ';' / attr* ( let / statementlike !( '.' / '?' ) ';'? / expr ';' ) / item 
+    quick_ <- 'let' 'mut'? NAME '=' simple_ ';' / NAME ( '::' NAME )* ( '.' NAME )* ( '(' ( simple_ ( ',' simple_ )* )? ')' '?'? / '=' simple_ ) ';' / 'return' simple_ ';'
+    stmt <- quick_ / ';' / attr* ( let / statementlike !( '.' / '?' ) ';'? / expr ';' ) / item 
     let <- 'let' pattern ( ':' type )? ( '=' expr ( 'else' block )? )? ';'
     statementlike <- ( LIFETIME ':' )? ( if / 'match' head '{' innerattr* arm* '}' / 'while' condition block / 'loop' block / 'for' pattern 'in' head block / ( 'unsafe' / 'const' !NAME )? block )
        / path '!' '{' tree* '}'
@@ -659,7 +663,8 @@ PYTHON = Grammar(
     r"""
     file <- NEWLINE? stmt*
     stmt <- compound / simple ( ';' simple )* ';'? NEWLINE
-    simple <- 'import' dotted ( ',' dotted )* / 'from' ( ( '.' / '...' )* name / ( '.' / '...' )+ ) 'import' ( '*' / '(' alias ( ',' alias )* ','? ')' / alias ( ',' alias )* )
+    quick_ <- NAME ( '.' NAME )* ( ( '=' / AUG ) simple_ / '(' ( simple_ ( ',' simple_ )* )? ')' ) &NEWLINE / 'return' simple_ &NEWLINE
+    simple <- quick_ / 'import' dotted ( ',' dotted )* / 'from' ( ( '.' / '...' )* name / ( '.' / '...' )+ ) 'import' ( '*' / '(' alias ( ',' alias )* ','? ')' / alias ( ',' alias )* )
        / 'pass' / 'break' / 'continue' / 'return' exprs? / 'raise' ( expr ( 'from' expr )? )? / ( 'global' / 'nonlocal' ) NAME ( ',' NAME )* / 'del' exprs / 'assert' expr ( ',' expr )?
        / 'type' NAME typeparams? '=' expr / assignment
     dotted <- name ( 'as' NAME )?
@@ -711,7 +716,7 @@ PYTHON = Grammar(
     slice <- expr? ':' expr? ( ':' expr? )? / starred
     compfor <- ( 'async'? 'for' targets 'in' binaryif ( 'if' binaryif )* )+
     binaryif <- 'lambda' lambdaparams? ':' expr / binary
-    atom <- NAME / NUM / STR+ / CONST / '(' ( yield / starred ( compfor / ( ',' starred )* ','? ) )? ')' / '[' ( starred ( compfor / ( ',' starred )* ','? ) )? ']'
+    atom <- NAME / NUM / STR+ / CONST / '(' ( yield / starred ( compfor / ( ',' starred )* ','? ) )? ')' / '[' simple_ ( ',' simple_ )* ','? ']' / '[' ( starred ( compfor / ( ',' starred )* ','? ) )? ']'
        / '{' ( dictitem ( compfor / ( ',' dictitem )* ','? ) )? '}' / '{' starred ( compfor / ( ',' starred )* ','? ) '}'
     dictitem <- '**' binary / expr ':' expr
     fexpr <- ( yield / exprs ) '='?

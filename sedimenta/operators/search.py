@@ -63,7 +63,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, by: str | None =
     group = F.col(by).cast("string") if by else F.lit("")
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     right = vectors.where(usable).select(F.col("id").cast("long"), group.alias("grp"), F.col("embedding").cast("array<double>"), F.pmod(F.xxhash64("id"), F.lit(vb)).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"))
-    left = queries.where(usable).select(F.col("qid").cast("long"), F.col("embedding").cast("array<double>"), F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).cast("long").alias("v"))
+    left = queries.where(usable).select(F.col("qid").cast("long"), F.col("embedding").cast("array<double>"), F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))).alias("v"))
 
     def product(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []

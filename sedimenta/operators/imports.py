@@ -41,12 +41,16 @@ def extract(chunks: DataFrame) -> DataFrame:
     known = once.withColumn("language", F.coalesce("language", L.language_of(F.col("rel_path"))))
     found = F.array().cast("array<struct<specifier:string,kind:string>>")
     for language, kinds in PATTERNS.items():
-        parts = [F.transform(F.regexp_extract_all(F.col("content"), F.lit(p), 1), lambda x, k=kind: F.struct(x.alias("specifier"), F.lit(k).alias("kind"))) for kind, ps in kinds.items() for p in ps]
+        parts = [_matches(p, kind) for kind, ps in kinds.items() for p in ps]
         found = F.when(F.col("language") == language, F.concat(*parts)).otherwise(found)
     each = known.withColumn("_each", F.explode(found)).select("chunk_id", "project", "rel_path", "language", "_each.specifier", "_each.kind")
     return each.groupBy("chunk_id", "project", "rel_path", "language", "specifier", "kind").agg(F.count("*").alias("n"))
 
 
+def _matches(pattern: str, kind: str) -> Column:
+    return F.transform(F.regexp_extract_all(F.col("content"), F.lit(pattern), 1), lambda x: F.struct(x.alias("specifier"), F.lit(kind).alias("kind")))
+
+
 def _first_existing(rows: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
     """Adds target: the first of the candidate paths that is a file of the project, else null."""
     key = ["project", "rel_path", "specifier", "kind"]

@@ -12,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 def sessions(changes: DataFrame, key: str, time: str, gap: str, late: str | None = None) -> DataFrame:
     """key, start, last, n of each burst of changes: a burst ends when none follows within gap. late is a stream's watermark; on a stream,
     use append mode, which hands a burst on once it has ended."""
-    rows = changes.withWatermark(time, late) if late else changes
-    burst = F.session_window(F.col(time).cast("timestamp"), gap)
-    return rows.groupBy(key, burst.alias("w")).agg(F.min(F.col(time).cast("timestamp")).alias("start"), F.max(F.col(time).cast("timestamp")).alias("last"), F.count("*").alias("n")).drop("w")
+    rows = changes.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if late else rows
+    burst = F.session_window(time, gap).alias("w")
+    return rows.groupBy(key, burst).agg(F.min(time).alias("start"), F.max(time).alias("last"), F.count("*").alias("n")).drop("w")
 
 
 def last_changes(changes: DataFrame, quiet: str = "2 seconds", late: str | None = None) -> DataFrame:

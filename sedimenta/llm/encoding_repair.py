@@ -39,10 +39,11 @@ class Pair:
 
     true: str
     read: str
+    times: int = 1
 
     @property
     def name(self) -> str:
-        return f"{self.true} read as {self.read}"
+        return f"{self.true} read as {self.read}" + " twice" * (self.times == 2)
 
     @property
     def cost(self) -> float:
@@ -79,6 +80,12 @@ class Pair:
 
     def restore(self, s: str, score) -> str | None:
         """The text before the wrong decoding, or None. Bytes lost as a question mark become what score likes best."""
+        for _ in range(self.times):
+            if s is not None:
+                s = self._once(s, score)
+        return s
+
+    def _once(self, s: str, score) -> str | None:
         if self.wide_carrier:
             try:
                 return s.encode(self.read).decode(self.true)
@@ -118,6 +125,7 @@ class Pair:
 
 PAIRS = tuple(
     [Pair("utf-8", r) for r in ("latin", "cp1250", "cp1251", "cp1254", "iso8859-15", "iso8859-2", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "gbk", "cp932")]
+    + [Pair("utf-8", "latin", 2)]
     + [Pair(t, "latin") for t in ("cp1251", "koi8-r", "cp866", "iso8859-5", "gbk", "big5", "cp932", "euc_jp", "cp1250", "iso8859-2")]
     + [Pair("koi8-r", "cp1251"), Pair("cp1251", "koi8-r"), Pair("cp866", "cp1251"), Pair("cp1251", "cp866"), Pair("cp1252", "cp437"), Pair("cp1252", "cp850"), Pair("cp437", "latin"), Pair("cp850", "latin"),
        Pair("mac-roman", "latin"), Pair("cp1252", "mac-roman"), Pair("cp1252", "cp1251"), Pair("cp1252", "cp1250"), Pair("cp1250", "cp1251")]
@@ -139,6 +147,7 @@ def _class(c: str) -> str:
 def _counts(text: str) -> Counter:
     """Counts of class pairs, each at least partly beyond ASCII or a start of such, and of characters."""
     out: Counter = Counter()
+    text = f" {text} "
     for m in re.finditer(r"(?:[\x00-\x7f])?[^\x00-\x7f]+[\x00-\x7f]?", text):
         s = m.group()
         cls = [_class(c) for c in s]

@@ -124,7 +124,7 @@ decorators <- ( '@' member ( '(' args ')' )? )*
 end <- ';' / &'}' / EOL / EOF
 quick_ <- kind NAME '=' simple_ ';' / NAME ( '.' word )* ( '(' ( simple_ ( ',' simple_ )* )? ')' / ( '=' / ASSIGN ) simple_ ) ';' / 'return' simple_ ';'
 stmt <- quick_ / block / ';' / declaration / if / for / while / do / 'continue' jump / 'break' jump / return / 'throw' expr end / try / switch
-      / label / 'debugger' end / 'with' '(' expr ')' stmt / expr end
+      / label / 'debugger' end / 'with' '(' expr ')' stmt / !( '{' / 'function' / 'class' ) expr end
 block <- '{' item* '}'
 jump <- ( !EOL NAME )? end
 return <- 'return' ( !EOL expr )? end
@@ -166,7 +166,7 @@ stop_ <- ')' / ']' / '}' / ',' / ';' / ':'
 ternary <- binary ( '?' assign ':' assign )?
 binary <- unary ( operator unary / tsas )*
 operator <- BINARY / PLUSMINUS / '*' / '/' / '|' / '&' / '<' / '>' ( '>' '>'? )? '='? / 'in' / 'instanceof'
-unary <- ( PREFIX / PLUSMINUS / CREMENT / '!' / 'typeof' / 'void' / 'delete' / 'await' )* postfix CREMENT?
+unary <- ( PREFIX / PLUSMINUS / CREMENT / '!' / 'typeof' / 'void' / 'delete' / 'await' )* postfix ( !EOL CREMENT )?
 postfix <- member
 member <- primary ( '.' ( word / PRIVATE ) / '?.' ( word / PRIVATE / '[' expr ']' / tsargs? '(' args ')' / TEMPLATE ) / '[' expr ']' / '(' args ')'
         / TEMPLATE / tsbang / tsargs &( '(' / TEMPLATE ) )*
@@ -212,7 +212,7 @@ tsargs <- '<' typelist '>'
 tsas <- ( 'as' / 'satisfies' ) ( 'const' / type )
 tsbang <- '!' !'='
 type <- 'abstract'? 'new'? tsparams? '(' ( param ( ',' param )* ','? )? ')' '=>' tsreturntype / uniontype ( 'extends' uniontype '?' type ':' type )?
-tsreturntype <- ( NAME / 'this' ) 'is' type / type
+tsreturntype <- 'asserts'? ( NAME / 'this' ) 'is' type / 'asserts' ( NAME / 'this' ) / type
 uniontype <- '|'? '&'? typeunit ( ( '|' / '&' ) typeunit )*
 typeunit <- ( 'keyof' / 'readonly' / 'unique' / 'infer' ) typeunit / typeatom ( '[' type? ']' )*
 typeatom <- 'typeof' NAME ( '.' word )* tsargs? / 'import' '(' STR ')' ( '.' word )* tsargs? / '(' type ')' / typeobject / tuple / 'asserts'? STR / PLUSMINUS? NUM / TEMPLATE
@@ -700,7 +700,7 @@ PYTHON = Grammar(
     keypattern <- '**' NAME / ( literal / name ) ':' pattern
     literal <- '-'? NUM ( ( '+' / '-' ) NUM )? / STR+ / CONST
     expr <- simple_ &stop_ / 'lambda' lambdaparams? ':' expr / binary ( 'if' binary 'else' expr )?
-    operand_ <- NAME ( '.' NAME )* / NUM / STR+ / CONST
+    operand_ <- NAME ( '.' NAME )* / NUM / STR+ / CONST / '...'
     sign_ <- 'not' / '-' / '+' / '~'
     simple_ <- sign_* operand_ ( operator sign_* operand_ )*
     stop_ <- ')' / ']' / '}' / ',' / ':' / ';' / '=' / NEWLINE
@@ -716,7 +716,7 @@ PYTHON = Grammar(
     slice <- expr? ':' expr? ( ':' expr? )? / starred
     compfor <- ( 'async'? 'for' targets 'in' binaryif ( 'if' binaryif )* )+
     binaryif <- 'lambda' lambdaparams? ':' expr / binary
-    atom <- NAME / NUM / STR+ / CONST / '(' ( yield / starred ( compfor / ( ',' starred )* ','? ) )? ')' / '[' simple_ ( ',' simple_ )* ','? ']' / '[' ( starred ( compfor / ( ',' starred )* ','? ) )? ']'
+    atom <- NAME / NUM / STR+ / CONST / '...' / '(' ( yield / starred ( compfor / ( ',' starred )* ','? ) )? ')' / '[' simple_ ( ',' simple_ )* ','? ']' / '[' ( starred ( compfor / ( ',' starred )* ','? ) )? ']'
        / '{' ( dictitem ( compfor / ( ',' dictitem )* ','? ) )? '}' / '{' starred ( compfor / ( ',' starred )* ','? ) '}'
     dictitem <- '**' binary / expr ':' expr
     fexpr <- ( yield / exprs ) '='?
@@ -816,33 +816,37 @@ class PythonLexer(Lexer):
 
     def _fields(self, text: str) -> bool:
         quote = 3 if text.endswith(('"""', "'''")) and len(text) > 5 else 1
-        body = text[text.index(text[-1]) + quote : -quote].replace("{{", "").replace("}}", "")
+        body = text[text.index(text[-1]) + quote : -quote]
         at = 0
-        while (at := body.find("{", at)) >= 0:
-            depth, end = 0, -1
-            for m in re.finditer(r"\"[^\"]*\"|'[^']*'|[\[({})\]]|!(?!=)|:", body[at + 1 :]):
-                x, place = m.group(), at + 1 + m.start()
-                if depth == 0 and x in "}:!":
-                    end = place
-                    break
-                depth += 1 if x in "([{" else -1 if x in ")]}" else 0
+        while m := re.compile(r"\{\{|\}\}|[{}]").search(body, at):
+            if m.group() in ("{{", "}}"):
+                at = m.end()
+                continue
+            end = self._field_end(body, m.end()) if m.group() == "{" else -1
             if end < 0:
                 return False
             if self.expression is None:
                 self.expression = PYTHON.parser(start="fexpr")
-            tokens = super().__call__(body[at + 1 : end].replace("\n", " "))[0].rstrip(self.newline)
-            if self.expression(tokens) != -1:
+            if self.expression(super().__call__(body[m.end() : end].replace("\n", " "))[0].rstrip(self.newline)) != -1:
                 return False
-            depth = 1
-            for i in range(end, len(body)):
-                depth += (body[i] == "{") - (body[i] == "}")
-                if not depth:
-                    break
-            else:
+            depth, at = 1, end
+            while depth and at < len(body):  # over the conversion and the format, which may hold fields again
+                depth += (body[at] == "{") - (body[at] == "}")
+                at += 1
+            if depth:
                 return False
-            at = i + 1
         return True
 
+    @staticmethod
+    def _field_end(body: str, start: int) -> int:
+        """Where the expression of a replacement field ends."""
+        depth = 0
+        for m in re.compile(r"\"[^\"]*\"|'[^']*'|[\[({})\]]|!(?!=)|:").finditer(body, start):
+            if depth == 0 and m.group() in "}:!":
+                return m.start()
+            depth += 1 if m.group() in "([{" else -1 if m.group() in ")]}" else 0
+        return -1
+
 
 # ---- Shell
 
@@ -860,7 +864,7 @@ SHELL = Grammar(
     keyword <- 'if' / 'then' / 'else' / 'elif' / 'fi' / 'do' / 'done' / 'case' / 'esac' / 'while' / 'until' / 'for' / 'select' / 'in' / 'function' / 'time' / '{' / '}' / '!' / '[[' / ']]' / 'coproc'
     simple <- ( ASSIGN / array / redirect )* ( WORD / NAME / 'in' / ']]' ) ( any / array / redirect )* / ( ASSIGN / array / redirect )+
     array <- ARRAY ( any / NL )* ')'
-    compound <- '{' NL* list '}' / '(' NL* list ')' / if / loop / for / case / '[[' ( any / NL / '(' / ')' / '&&' / '||' / REDIR / '|' / '&' / !']]' ANY )* ']]' / ARITH
+    compound <- '{' NL* list '}' / '(' NL* list ')' / if / loop / for / case / '[[' ( !']]' ANY )* ']]' / ARITH
     function <- ( WORD / NAME ) '(' ')' NL* compound redirect* / 'function' ( WORD / NAME ) ( '(' ')' )? NL* compound redirect*
     then <- NL* list
     if <- 'if' then 'then' then ( 'elif' then 'then' then )* ( 'else' then )? 'fi'

@@ -55,6 +55,8 @@ class Checker:
             return "merge conflict"
         if not text[at:].strip():
             return "truncated"
+        if text.lstrip()[:1] in ("{", "[") and language != "json" and self.accepts(text, "json"):
+            return "written in json"
         for other in GRAMMARS:
             if other != language and other not in ("json", "shell") and self.accepts(text, other):
                 return f"written in {other}"

@@ -105,8 +105,10 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
                 return links
             size = n
             turn += 1
-            heads, tails = links.select(F.col("v").alias("u")).distinct(), links.select(F.col("u").alias("v")).distinct()
-            links = ws.write(links.join(heads, "u", "left_semi").join(tails, "v", "left_semi").select("u", "v"), f"rest{turn}")
+            for _ in range(3):
+                heads, tails = links.select(F.col("v").alias("u")).distinct(), links.select(F.col("u").alias("v")).distinct()
+                links = links.join(heads, "u", "left_semi").join(tails, "v", "left_semi").select("u", "v")
+            links = ws.write(links, f"rest{turn}")
         return links
 
     found = []
@@ -139,10 +141,10 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 
 def _spread(ws: Workspace, links: DataFrame, color: DataFrame, name: str, max_rounds: int) -> DataFrame:
-    """The smallest color that reaches each node along links; two hops a round."""
+    """The smallest color that reaches each node along links; four hops a round."""
     for i in range(max_rounds):
         step = lambda c: c.union(links.join(c, links.u == c.node).select(F.col("v").alias("node"), "color")).groupBy("node").agg(F.min("color").alias("color"))
-        new = ws.write(step(step(color)), f"{name}-{i}")
+        new = ws.write(step(step(step(step(color)))), f"{name}-{i}")
         changed = new.join(color.withColumnRenamed("color", "old"), "node").where("old <> color").limit(1).count()
         color = new
         if not changed:

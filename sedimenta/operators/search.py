@@ -34,12 +34,12 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: fl
     """
     asked = queries.select(F.col("qid").alias("query"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     entries = postings(docs, id_col, text_col)
-    stats = docs.select(F.size(T.tokens(F.col(text_col))).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("avgdl"))
+    stats = docs.select(F.size(T.tokens(F.col(text_col))).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("avgdl")).first()
     used = entries.join(asked.select("term").distinct(), "term", "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = used.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighed = used.join(df, "term")
+    idf = F.ln(1 + (F.lit(stats.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
     return weighed.select("term", "id", part.alias("part")).join(asked, "term").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 

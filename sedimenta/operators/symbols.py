@@ -28,20 +28,26 @@ def calls_from_flow(flow: DataFrame) -> DataFrame:
 
 
 def name_index(symbols: DataFrame) -> DataFrame:
-    """Per project and name the symbols of that name; module bodies are left out."""
-    return symbols.where("name <> '<module>'").groupBy("project", "name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("symbol_id")), ",").alias("symbol_ids"))
+    """project, name, symbol_id, n: the symbols of each name, and how many share it; module bodies are left out. One row per symbol, so a
+    name that everyone uses makes no endless row."""
+    named = symbols.where("name <> '<module>'").select("project", "name", "symbol_id").distinct()
+    return named.join(named.groupBy("project", "name").agg(F.count("*").alias("n")), ["project", "name"])
 
 
 def reverse_index(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("callee").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("caller")), ",").alias("callers"))
+    """callee, caller, n: every caller of a symbol once, and how many there are."""
+    pairs = calls.select("callee", "caller").distinct()
+    return pairs.join(pairs.groupBy("callee").agg(F.count("*").alias("n")), "callee")
 
 
-def context(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """Every symbol with the totals of its callers and callees and the first 30 of each by id."""
+def context(symbols: DataFrame, calls: DataFrame, shown: int = 30) -> DataFrame:
+    """Every symbol with the totals of its callers and callees and the first of each by id. Totals are added up before the shuffle, and only
+    the first rows of a group are kept before it is sorted."""
+
     def side(me: str, other: str, name: str) -> DataFrame:
-        ranked = calls.withColumn("_r", F.row_number().over(Window.partitionBy(me).orderBy(other)))
-        shown = F.array_sort(F.collect_list(F.when(F.col("_r") <= 30, F.col(other))))
-        return ranked.groupBy(F.col(me).alias("node_id")).agg(F.count("*").alias(f"n_{name}"), F.array_join(shown, ",").alias(name))
+        first = calls.withColumn("_r", F.row_number().over(Window.partitionBy(me).orderBy(other))).where(F.col("_r") <= shown)
+        listed = first.groupBy(F.col(me).alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list(other)), ",").alias(name))
+        return listed.join(calls.groupBy(F.col(me).alias("node_id")).agg(F.count("*").alias(f"n_{name}")), "node_id")
 
     out = symbols.select("node_id", "project", "name", "file", "line")
     for s in (side("callee", "caller", "callers"), side("caller", "callee", "callees")):

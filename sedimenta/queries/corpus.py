@@ -104,7 +104,7 @@ def chunk_cap_invariant(spark, d):
 
 
 def merge_regions(spark, d):
-    return C.merge_regions(_t(spark, d, "chunks").select("project", "start_line", (F.col("end_line") + 1).alias("end_line")), ["project"])
+    return C.merge_regions(_t(spark, d, "chunks").select("project", "rel_path", "start_line", (F.col("end_line") + 1).alias("end_line")), ["project", "rel_path"])
 
 
 def declarations(spark, d):
@@ -204,10 +204,10 @@ SQL = {
     "chunk_lines": f"WITH {_windows('documents', 'doc_id', 'text', 10, 2)} SELECT doc_id, start_line, end_line, length(chunk) AS n_chars FROM cut",
     "chunk_strategy": """SELECT doc_id, CASE WHEN length(text) / len(string_split(text, chr(10))) > 200 THEN 'characters' WHEN len(string_split(text, chr(10))) <= 20 THEN 'whole' ELSE 'windows' END AS strategy FROM documents""",
     "chunk_cap_invariant": "SELECT doc_id, true AS ok FROM documents",
-    "merge_regions": """WITH r AS (SELECT project, start_line AS s, end_line + 1 AS e FROM chunks),
-        o AS (SELECT *, max(e) OVER (PARTITION BY project ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
-        i AS (SELECT *, sum(CASE WHEN coalesce(reach, -1) < s THEN 1 ELSE 0 END) OVER (PARTITION BY project ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
-        SELECT project, min(s) AS start_line, max(e) AS end_line FROM i GROUP BY project, island""",
+    "merge_regions": """WITH r AS (SELECT project, rel_path, start_line AS s, end_line + 1 AS e FROM chunks),
+        o AS (SELECT *, max(e) OVER (PARTITION BY project, rel_path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+        i AS (SELECT *, sum(CASE WHEN coalesce(reach, -1) < s THEN 1 ELSE 0 END) OVER (PARTITION BY project, rel_path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
+        SELECT project, rel_path, min(s) AS start_line, max(e) AS end_line FROM i GROUP BY project, rel_path, island""",
     "artifact_concat": f"WITH {_ARTIFACTS} SELECT artifact, files, length(content) AS n_chars, sha256(content)[1:16] AS hash FROM art",
     "artifact_chunks": f"""WITH {_ARTIFACTS}, {_windows('art', 'artifact', 'content', 100, 10)},
         h AS (SELECT *, sha256('context:' || artifact || ':' || start_line) AS h FROM cut)

@@ -232,8 +232,8 @@ SQL = {
         SELECT project, root, node, min(hop) AS hop FROM w GROUP BY ALL HAVING min(hop) > 0""",
     "cyclic_files": f"""WITH RECURSIVE {_E}, l AS (SELECT DISTINCT project, src, dst FROM r), w AS (SELECT project, src AS a, dst AS b FROM l UNION SELECT w.project, w.a, l.dst FROM w JOIN l ON l.project = w.project AND l.src = w.b)
         SELECT x.project, x.a AS file, min(x.b) AS component FROM w x JOIN w y ON y.project = x.project AND y.a = x.b AND y.b = x.a GROUP BY x.project, x.a""",
-    "name_index": f"WITH {_S} SELECT project, name, count(*) AS n, string_agg(DISTINCT symbol_id, ',' ORDER BY symbol_id) AS symbol_ids FROM s WHERE name <> '<module>' GROUP BY project, name",
-    "reverse_index": f"WITH {_S} SELECT callee, count(*) AS n, string_agg(caller, ',' ORDER BY caller) AS callers FROM c GROUP BY callee",
+    "name_index": f"WITH {_S}, d AS (SELECT DISTINCT project, name, symbol_id FROM s WHERE name <> '<module>') SELECT *, count(*) OVER (PARTITION BY project, name) AS n FROM d",
+    "reverse_index": f"WITH {_S} SELECT callee, caller, count(*) OVER (PARTITION BY callee) AS n FROM c",
     "symbol_context": f"""WITH {_S}, a AS (SELECT callee AS node_id, count(*) AS n, string_agg(caller, ',' ORDER BY caller) FILTER (rn <= 30) AS l FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY caller) AS rn FROM c) GROUP BY callee),
         b AS (SELECT caller AS node_id, count(*) AS n, string_agg(callee, ',' ORDER BY callee) FILTER (rn <= 30) AS l FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY callee) AS rn FROM c) GROUP BY caller)
         SELECT s.node_id, project, name, file, line, coalesce(a.n, 0) AS n_callers, coalesce(a.l, '') AS callers, coalesce(b.n, 0) AS n_callees, coalesce(b.l, '') AS callees FROM s LEFT JOIN a USING (node_id) LEFT JOIN b USING (node_id)""",

@@ -73,14 +73,13 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     taken = whole.unionByName(extra).groupBy("doc_id").agg(F.any_value("source").alias("source"), F.any_value("n_tokens").alias("n_tokens"), F.sum("repeats").alias("repeats"))
     taken = ws.write(taken, "taken")
     got = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"), F.sum("repeats").alias("texts"))
-    everything = taken.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("all_tokens"))
+    everything = taken.agg(F.sum(F.col("n_tokens") * F.col("repeats"))).first()[0] or 0
     shares = (
         goal.join(have, "source", "left")
         .join(got, "source", "left")
-        .crossJoin(F.broadcast(everything))  # one row
         .select(
             "source", "weight", "max_repeats", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("available", "tokens", "texts", "repeats")),
-            F.round(F.col("weight") / F.lit(scale or 1.0), 6).alias("scaled_weight"), F.round(F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0)), 6).alias("share"),
+            F.round(F.col("weight") / F.lit(scale or 1.0), 6).alias("scaled_weight"), F.round(F.coalesce(F.try_divide(F.col("tokens"), F.lit(everything)), F.lit(0.0)), 6).alias("share"),
         )
     )
     return Mixture(taken, shares)

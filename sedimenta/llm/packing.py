@@ -2,9 +2,9 @@
 
 A configuration is a multiset of sizes that fits into a container. The program chooses how often each configuration is used so that every
 size of the length histogram is covered by as few containers as possible. It is solved by multiplicative weights: each size has a weight,
-the best configuration under the weights is found by knapsack dynamic programming, and the weights of the sizes it covers shrink. The
-fractional solution is rounded up as far as the histogram holds the configuration and it leaves no gap to speak of, and what is left
-is packed largest size first, each time filled up as well as possible.
+the best configurations under the weights are found by knapsack dynamic programming, and the weights of the sizes they cover shrink, until
+every size is covered. The fractional solution is rounded, down and then up, as far as the histogram holds the configuration and it leaves
+no gap to speak of, and what is left is packed largest size first, each time filled up as well as possible.
 Everything works on the histogram, whose size is bounded by the capacity, so the cost doesn't grow with the number of texts.
 """
 
@@ -25,48 +25,61 @@ from sedimenta.plans.workspace import Workspace
 CAPACITY = 2048
 
 
-def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """Counts of each size in the configuration of the greatest value, and that value, by dynamic programming over the capacity."""
+def best_values(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to the capacity the greatest value that fits, and the size (its place) taken first for it or -1, by dynamic
+    programming."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         n = fits[c]
         if n:
             v = best[c - sizes[:n]] + values[:n]
             i = int(np.argmax(v))
             if v[i] > best[c]:
                 best[c], pick[c] = v[i], i
-    counts, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if pick[c] >= 0:
-            counts[pick[c]] += 1
-            c -= int(sizes[pick[c]])
-        else:
-            c -= 1
-    return counts, float(best[capacity])
+    return best, pick
 
 
-def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, steps: int, eps: float = 0.12) -> dict[tuple, float]:
-    """Configurations with how often each is used, by multiplicative weights (fractional covering).
+def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, steps: int, eps: float = 0.12) -> tuple[dict[tuple, float], float]:
+    """Configurations with how often each is used, by multiplicative weights (fractional covering), and a lower bound of their sum.
 
-    Of each configuration found, as much is taken as covers its scarcest size once; weights of covered sizes shrink by the share covered.
-    The sum is scaled at the end so that the least covered size is covered exactly.
+    A round prices once and takes, the least covered sizes first, the best configuration with each size as long as its value is within
+    eps of the best one: as much of it as covers eps of its scarcest size; weights of covered sizes shrink by the share covered. Rounds
+    go on until every size is covered, and from then on until the sum is within eps of the bound, for steps rounds in all at most. The
+    sum is scaled at the end so that the least covered size is covered exactly.
     """
-    weight = sizes / capacity / need
+    weight = sizes / capacity
     used: dict[tuple, float] = {}
     covered = np.zeros(len(sizes))
-    for _ in range(steps):
-        counts, _ = best_configuration(sizes, weight, capacity)
-        on = counts > 0
-        amount = float(np.min(need[on] / counts[on])) * eps
-        key = tuple((int(s), int(n)) for s, n in zip(sizes[on], counts[on], strict=True))
-        used[key] = used.get(key, 0.0) + amount
-        covered[on] += amount * counts[on]
-        weight[on] *= np.exp(-amount * counts[on] / need[on])
-    # sizes that are still short are left to the rounding
-    level = np.quantile(covered / need, 0.5)
-    return {k: v / level for k, v in used.items()} if level > 0 else {}
+    bound, rounds = 0.0, 0
+    while True:
+        best, pick = best_values(sizes, weight, capacity)
+        top, first = best[capacity], pick.tolist()
+        bound = max(bound, float(weight @ need / top))
+        near = np.flatnonzero(best[capacity - sizes] + weight >= (1 - eps) * top)
+        for i in near[np.argsort((covered / need)[near], kind="stable")].tolist():
+            counts, c = Counter([i]), capacity - int(sizes[i])
+            while c > 0:
+                if first[c] >= 0:
+                    counts[first[c]] += 1
+                    c -= int(sizes[first[c]])
+                else:
+                    c -= 1
+            on = np.array(sorted(counts))
+            times = np.array([counts[x] for x in on.tolist()], float)
+            if weight[on] @ times < (1 - eps) * top:
+                continue
+            amount = float(np.min(need[on] / times)) * eps
+            key = tuple((int(s), int(n)) for s, n in zip(sizes[on], times, strict=True))
+            used[key] = used.get(key, 0.0) + amount
+            covered[on] += amount * times
+            weight[on] *= np.exp(-amount * times / need[on])
+        weight /= weight.max()
+        rounds += 1
+        level = float(np.min(covered / need))
+        if level > 0 and (rounds >= steps or sum(used.values()) / level <= (1 + eps) * bound):
+            return {k: v / level for k, v in used.items()}, bound
 
 
 def fill_up(left: Counter, room: int) -> list[int]:
@@ -111,14 +124,14 @@ def plan_containers(histogram: dict[int, int], capacity: int, steps: int = 200)
     sizes = np.array(sorted(left), np.int64)
     if len(sizes) and steps:
         need = np.array([left[int(s)] for s in sizes], float)
-        solved = fractional(sizes, need, capacity, steps)
-        for key, amount in sorted(solved.items(), key=lambda x: (-sum(s * n for s, n in x[0]), x[0])):
-            if sum(s * n for s, n in key) < capacity * 0.995:
-                continue  # a configuration with a gap is left to the last step
-            config = dict(key)
-            times = min([math.ceil(amount), *(left[s] // n for s, n in config.items())])
-            if times > 0:
-                use(config, times)
+        solved, _ = fractional(sizes, need, capacity, steps)
+        # a configuration with a gap is left to the last step
+        full = sorted((k for k in solved if sum(s * n for s, n in k) >= capacity * 0.995), key=lambda k: (math.floor(solved[k]) - solved[k], k))
+        for rounded in (math.floor, lambda amount: math.ceil(amount) - math.floor(amount)):
+            for key in full:
+                times = min([rounded(solved[key]), *(left[s] // n for s, n in key)])
+                if times > 0:
+                    use(dict(key), times)
     while left:
         top = max(left)
         rest = left.copy()

@@ -3,13 +3,14 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sedimenta.llm import encoding_repair as E
 from sedimenta.llm import provenance as P
 from sedimenta.llm.credentials import Candidate, candidates, redact, redacted, scan
 from sedimenta.llm.mixing import epochs, mix_sources
-from sedimenta.llm.packing import fill_report, fill_up, pack, plan_containers
+from sedimenta.llm.packing import fill_report, fill_up, fractional, pack, plan_containers
 from sedimenta.llm.splitting import split_oversized, split_text
 from sedimenta.llm.tokens import running_totals, token_counts
 
@@ -123,6 +124,21 @@ def test_plan_holds_the_histogram():
         plan_containers({101: 1}, 100)
 
 
+def test_program_covers_every_size():
+    r = random.Random(11)
+    need = Counter(r.choice((r.randrange(1, 60), r.randrange(1, 401))) for _ in range(3000))
+    sizes = np.array(sorted(need))
+    for steps in (1, 200):
+        solved, bound = fractional(sizes, np.array([need[int(s)] for s in sizes], float), 400, steps)
+        covered: Counter = Counter()
+        for key, amount in solved.items():
+            assert sum(s * n for s, n in key) <= 400
+            for s, n in key:
+                covered[s] += amount * n
+        assert min(covered[s] / n for s, n in need.items()) == pytest.approx(1)
+        assert sum(s * n for s, n in need.items()) / 400 <= bound + 1e-6 <= sum(solved.values()) + 1e-3
+
+
 def test_pack(spark):
     r = random.Random(3)
     rows = [(i, " ".join(["word"] * r.randrange(0, 60)), "x") for i in range(120)] + [(500, "word " * 300, "x"), (501, None, "x"), (502, "", "x")]

@@ -42,8 +42,8 @@ _COPIED = re.compile(
 )
 _COMMENT_LINE = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;|\"\"\"|''')")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
-_NUMBERS = re.compile(r"(?:[-+]?(?:0[xX][\da-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[a-zA-Z]?\s*,\s*){8,}")
-_BLOB = re.compile(r"(?=[^\s\"'`]*\d)(?:[A-Za-z0-9+/=_%-]|\\x[\da-fA-F]{2}){40,}")
+_NUMBERS = re.compile(r"(?=[-+\d])(?:[-+]?(?:0[xX][\da-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[a-zA-Z]?\s*,\s*){8,}")
+_BLOB = re.compile(r"(?<![A-Za-z0-9+/=_%-])(?=[^\s\"'`]*\d)(?:[A-Za-z0-9+/=_%-]|\\x[\da-fA-F]{2}){40,}")
 _VALUE = r"(?:[-+]?[\d.]+[a-zA-Z]?|\"[^\"]*\"|'[^']*'|0x[\da-fA-F]+)"
 _ROW = re.compile(rf"\s*[\[{{(]?\s*{_VALUE}(?:\s*,\s*{_VALUE}){{3,}}\s*,?\s*[\])}}]?\s*,?\s*")
 _TOKENS = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|[^\w\s]")
@@ -118,8 +118,7 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = b[["project", "rel_path"]].reset_index(drop=True)
         rows["kind"] = [kind_of(p, t, x) for p, t, x in zip(b["rel_path"], b["text"], b["language"], strict=True)]
-        code = [x in PROGRAMS for x in b["language"]]
-        rows["prints"] = [winnow(t, hasher).view(np.int64) if k is None and c else np.empty(0, np.int64) for t, k, c in zip(b["text"], rows["kind"], code, strict=True)]
+        rows["prints"] = [winnow(t, hasher).view(np.int64) for t in b["text"]]
         yield rows
 
 
@@ -127,21 +126,28 @@ def provenance(files: DataFrame, projects: int = PROJECTS, share: float = SHARE)
     """One row per file: project, rel_path, kind (generated, minified, vendored, data; null: hand-written), recurring.
 
     files: project, rel_path, language, text; other columns are ignored. recurring is the share of a file's winnowing fingerprints that
-    occur in at least `projects` projects, each time in a folder of the same two names (a copy keeps its library's folder; without that,
-    files that repositories took from one another and edited would count as third-party code). From
-    `share` on, a file that nothing else tells is a vendored copy. It is null for files told
-    by path or text and for those in no programming language. Fingerprints are counted per project first, so a fingerprint that all
-    files share costs no more than one row per project. Null text counts as empty, null project as one project.
+    occur in at least `projects` projects: in any folder if a file told by path or text has the fingerprint too, else each time in a
+    folder of the same two names (a copy keeps its library's folder; without that, files that repositories took from one another and
+    edited would count as third-party code). Fingerprints of all files count, whatever their language and whether told or not. From
+    `share` on, a file that nothing else tells is a vendored copy. It is null for files told by path or text and for those without
+    tokens. Fingerprints are counted per project and folder first, so a fingerprint that all files share costs no more than one row for
+    each of these. Null text counts as empty, null project as one project.
     """
     ws = Workspace(files.sparkSession, "provenance")
     rows = files.select("project", "rel_path", "language", F.coalesce("text", F.lit("")).alias("text"))
     marked = ws.write(rows.mapInPandas(_marks, "project string, rel_path string, kind string, prints array<long>"), "marked")
     folder = F.regexp_extract(F.regexp_replace("rel_path", r"\\\\", "/"), r"(?:^|/)([^/]+/[^/]+)/[^/]*$", 1)
-    each = marked.where("size(prints) > 0").select("project", "rel_path", F.explode("prints").alias("print"), F.xxhash64(folder).alias("folder"), (folder != "").alias("named"))
+    told = F.col("kind").isNotNull().alias("told")
+    each = marked.where("size(prints) > 0").select("project", "rel_path", told, F.explode("prints").alias("print"), F.xxhash64(folder).alias("folder"), (folder != "").alias("named"))
     key = ["print", "folder"]
-    spread = each.where("named").select(*key, "project").distinct().groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= projects).select(*key)
+    placed = each.groupBy(*key, "named", F.xxhash64("project").alias("project")).agg(F.max("told").alias("told"))
+    alike = placed.where("named").groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= projects).select(*key)
+    known = each.where("told").select("print").distinct()
+    anywhere = placed.join(known, "print", "left_semi").select("print", "project").distinct().groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= projects)
+    spread = alike.union(placed.join(anywhere, "print", "left_semi").select(*key)).distinct()
+    each = each.where("not told")
     recurring = each.join(spread, key).groupBy("project", "rel_path").agg(F.count("*").alias("hits"))
-    out = marked.select("project", "rel_path", "kind", F.size("prints").alias("prints")).join(recurring, ["project", "rel_path"], "left")
+    out = marked.select("project", "rel_path", "kind", F.when(F.col("kind").isNull(), F.size("prints")).alias("prints")).join(recurring, ["project", "rel_path"], "left")
     part = F.when(F.col("prints") > 0, F.coalesce("hits", F.lit(0)) / F.col("prints"))
     return out.withColumn("recurring", part).select(
         "project", "rel_path", F.coalesce("kind", F.when((F.col("recurring") >= share) & (F.col("prints") >= 4), F.lit("vendored"))).alias("kind"), "recurring"

@@ -41,6 +41,9 @@ _COPIED = re.compile(
     re.I,
 )
 _COMMENT_LINE = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;|\"\"\"|''')")
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+_COLLECTED = ("*/", "-->")  # ends of blocks all of whose lines are looked at; a docstring may speak of anything
+_OPENER = re.compile(r"^\s*(?:<\?|<!doctype|['\"]use strict['\"]|---|package\s+[\w.]+;?\s*$|@charset)", re.I)
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _NUMBERS = re.compile(r"(?=[-+\d])(?:[-+]?(?:0[xX][\da-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[a-zA-Z]?\s*,\s*){8,}")
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/=_%-])(?=[^\s\"'`]*\d)(?:[A-Za-z0-9+/=_%-]|\\x[\da-fA-F]{2}){40,}")
@@ -51,11 +54,27 @@ PROGRAMS = ("python", "javascript", "typescript", "go", "java", "rust", "shell")
 
 
 def _header(text: str) -> list[str]:
-    """The comment lines among the first 20 lines, without comment marks."""
+    """The comment lines of the head, however long it is, and those among the first 20 lines, without comment marks."""
     out = []
-    for line in text[:4000].split("\n")[:20]:
-        if _COMMENT_LINE.match(line):
+    head, close = True, ""
+    at = n = 0
+    while at <= len(text) and (head or n < 20):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        at, n = end + 1, n + 1
+        mark = _COMMENT_LINE.match(line)
+        if mark or close and close in _COLLECTED:
             out.append(re.sub(r"^\s*(?:#+!?|//+|/\*+!?|\*+/?|<!--|--|;+|\"\"\"|''')\s?|\s*(?:\*/|-->|\"\"\"|''')\s*$", "", line).strip())
+        if close:
+            close = "" if close in line else close
+        elif mark and head:
+            opened = mark.group().strip()
+            close = _BLOCKS.get(opened, "")
+            if close and close in line[mark.end() :]:
+                close = ""
+        elif line.strip() and not _OPENER.match(line):
+            head = False
     return out
 
 

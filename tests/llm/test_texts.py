@@ -29,6 +29,18 @@ def test_kinds():
     assert kind("", "", None) is None
 
 
+def test_banners_below_long_licences():
+    licence = [f"Permission is granted, part {i} of the licence." for i in range(28)]
+    lines = lambda mark, banner: "\n".join(f"{mark} {x}" for x in [*licence, "", banner]) + "\n\n"
+    block = "/*\n" + "\n".join(licence) + "\n*/\n\n"
+    for banner, kind in (("Code generated by x. DO NOT EDIT.", "generated"), ("Copied from kit 1.2.3 (MIT), see NOTICE", "vendored")):
+        assert P.kind_of("a.py", lines("#", banner) + CODE, "python") == kind and P.kind_of("a.go", block + f"// {banner}\npackage a\n", "go") == kind
+        assert P.kind_of("a.js", "/*\n" + "\n".join([*licence, banner]) + "\n*/\nf();\n", "javascript") == kind
+        assert P.kind_of("a.js", "// " + "long " * 1000 + f"\n// {banner}\nf();\n", "javascript") == kind
+        assert P.kind_of("a.py", CODE + f"# {banner}\n", "python") is None
+    assert P.kind_of("a.py", lines("#", "nothing else") + CODE, "python") is None and P.kind_of("a.js", "/* never closed", "javascript") is None
+
+
 def test_recurring_copies(spark):
     body = "\n".join(f"def name{i}(alpha{i}, beta{i}):\n    return alpha{i} * {i} + beta{i}" for i in range(40))
     own = lambda k: body.replace("name", f"n{k}x").replace("alpha", f"a{k}q").replace("beta", f"b{k}z")

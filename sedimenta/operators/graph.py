@@ -83,12 +83,17 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
     return reach(links, targets, max(1, min(10, depth)), ("project",)).where("hop > 0")
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+_MAX_ROUNDS = 1_000_000  # more than any table needs; beyond it an error is raised
+
+
+def strongly_connected(edges: DataFrame, max_rounds: int = _MAX_ROUNDS) -> DataFrame:
     """project, file, component of all files on a cycle of links (a self-link is one); component is the smallest file of it.
 
-    First, files without links to or from others of the rest are peeled off until none is left to peel. Then, in turns, the smallest name
+    First, files without links to or from others of the rest are peeled off until none is left to peel, and files with one link in and one
+    out are spliced out, so that a long ring takes rounds by the logarithm of its length; they are put back at the end. Then, in turns, the smallest name
     spreads forward over the rest; what its owner can be reached from, among the files that got its name, is the owner's component and is
-    taken out. Every round is one join and one aggregation of what is left.
+    taken out. Every round is one join and one aggregation of what is left; rounds go on until nothing changes, and an error is raised
+    if one of the loops hasn't ended after max_rounds.
     """
     ws = Workspace(edges.sparkSession, "scc")
     split = F.concat_ws("\x1f", "project", F.col("src")), F.concat_ws("\x1f", "project", F.col("dst"))
@@ -109,9 +114,11 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
                 heads, tails = links.select(F.col("v").alias("u")).distinct(), links.select(F.col("u").alias("v")).distinct()
                 links = links.join(heads, "u", "left_semi").join(tails, "v", "left_semi").select("u", "v")
             links = ws.write(links, f"rest{turn}")
-        return links
+        raise RuntimeError("peeling did not settle")
 
     found = []
+    rest, spliced = _splice(ws, peeled(rest), max_rounds)
+    size = -1
     rest = peeled(rest)
     for _ in range(max_rounds):
         if rest.isEmpty():
@@ -127,43 +134,80 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         left = rest.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti")
         size = -1
         rest = peeled(ws.write(left.select("u", "v"), f"left{turn}"))
+    else:
+        raise RuntimeError("cycles did not settle")
     out = None
     for f in found:
         out = f.select("node", F.col("color").alias("component")) if out is None else out.union(f.select("node", F.col("color").alias("component")))
-    alone = loops.select("node", F.col("node").alias("component"))
+    for r in spliced:
+        loops = loops.union(r.where("before = after").select(F.col("before").alias("node")))
+    alone = loops.distinct().select("node", F.col("node").alias("component"))
     if out is None:
         every = alone
     else:
         big = out.join(out.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component")
         every = big.union(alone.join(big, "node", "left_anti").select("node", "component"))
+    for i, r in reversed(list(enumerate(spliced))):
+        ends = [every.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("before", "after")]
+        back = r.join(ends[0], "before").join(ends[1], "after").where("of_before = of_after").select("node", F.col("of_before").alias("component"))
+        every = ws.write(back.union(every.join(back, "node", "left_anti")), f"whole{i}")
+    least = every.groupBy("component").agg(F.min("node").alias("least"))
+    every = every.join(least, "component").select("node", F.col("least").alias("component"))
     part = lambda c, i: F.split(c, "\x1f", 2)[i]
     return every.select(part(F.col("node"), 0).alias("project"), part(F.col("node"), 1).alias("file"), part(F.col("component"), 1).alias("component"))
 
 
+def _splice(ws: Workspace, links: DataFrame, max_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (u, v) without most of the nodes that have one link in and one out, and per round the nodes spliced out (node, before, after).
+
+    A round takes the nodes whose random mark is above those of both neighbours, so no two are linked. Where both neighbours are one
+    node, that node is on a cycle, but no link is left of it. It ends when hardly any link goes.
+    """
+    rounds: list[DataFrame] = []
+    for i in range(max_rounds):
+        n = links.count()
+        if n == 0:
+            return links, rounds
+        into = links.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("i"), F.min("u").alias("before")).where("i = 1")
+        out = links.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("o"), F.min("v").alias("after")).where("o = 1")
+        mark = {x: F.xxhash64(x, F.lit(i)) for x in ("node", "before", "after")}
+        chosen = into.join(out, "node").where((mark["node"] > mark["before"]) & (mark["node"] > mark["after"])).select("node", "before", "after")
+        chosen = ws.write(chosen, f"spliced{i}")
+        gone = chosen.count()
+        if gone:
+            rounds.append(chosen)
+            left = links.join(chosen.select(F.col("node").alias("u")), "u", "left_anti").join(chosen.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v")
+            links = ws.write(left.union(chosen.where("before <> after").select("before", "after")).distinct(), f"splicing{i}")
+        if n > 100 and gone < 0.02 * n or not gone and i > 3:
+            return links, rounds
+    raise RuntimeError("splicing did not settle")
+
+
 def _spread(ws: Workspace, links: DataFrame, color: DataFrame, name: str, max_rounds: int) -> DataFrame:
     """The smallest color that reaches each node along links; four hops a round."""
     for i in range(max_rounds):
         step = lambda c: c.union(links.join(c, links.u == c.node).select(F.col("v").alias("node"), "color")).groupBy("node").agg(F.min("color").alias("color"))
         new = ws.write(step(step(step(step(color)))), f"{name}-{i}")
         changed = new.join(color.withColumnRenamed("color", "old"), "node").where("old <> color").limit(1).count()
+        ws.drop(*[f"{name}-{i - 1}"] * (i > 0))
         color = new
         if not changed:
-            break
-    return color
+            return color
+    raise RuntimeError("names did not settle")
 
 
 def _flood(ws: Workspace, links: DataFrame, start: DataFrame, name: str, max_rounds: int) -> DataFrame:
-    """All nodes that start (node, color) reaches along links, with the color."""
-    names = [f"{name}-0"]
-    schema = ws.write(start, names[0]).schema
+    """All nodes that start (node, color) reaches along links, with the color; four hops a round."""
+    seen = ws.write(start, f"{name}-0")
+    n = seen.count()
     for i in range(1, max_rounds):
-        last = ws.read(schema, names[-1])
-        new = links.join(last, links.u == last.node).select(F.col("v").alias("node"), "color").distinct()
-        new = new.join(ws.read(schema, *names), ["node", "color"], "left_anti")
-        if ws.write(new, f"{name}-{i}").isEmpty():
-            break
-        names.append(f"{name}-{i}")
-    return ws.read(schema, *names)
+        step = lambda c: c.union(links.join(c, links.u == c.node).select(F.col("v").alias("node"), "color")).distinct()
+        seen = ws.write(step(step(step(step(seen)))), f"{name}-{i}")
+        before, n = n, seen.count()
+        ws.drop(f"{name}-{i - 1}")
+        if n == before:
+            return seen
+    raise RuntimeError("the flood did not settle")
 
 
 def mermaid(edges: DataFrame, cyclic: DataFrame, most: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sedimenta import sqlapi
@@ -88,6 +89,30 @@ def test_strongly_connected(spark):
     assert graph.strongly_connected(edges.where("project = 'q'")).count() == 0
 
 
+def test_long_cycles(spark):
+    r = random.Random(6)
+    ring = [f"r{i:04}" for i in range(1000)]
+    r.shuffle(ring)
+    links = list(zip(ring, ring[1:] + ring[:1])) + [("a", ring[0]), (ring[5], "z"), ("s", "s"), ("s", "t"), ("t", "u"), ("u", "s"), ("u", "w"), ("w", "x"), ("x", "w"), ("x", "x")]
+    edges = spark.createDataFrame([("p", a, b, "import") for a, b in links], "project string, src string, dst string, type string")
+    got = {r.file: r.component for r in graph.strongly_connected(edges).collect()}
+    assert got == {x: "r0000" for x in ring} | {x: "s" for x in "stu"} | {x: "w" for x in "wx"}
+    with pytest.raises(RuntimeError):
+        graph.strongly_connected(edges, 2)
+
+
+def test_cycles_against_reachability(spark):
+    r = random.Random(8)
+    links = {(f"{k:02}", f"n{r.randrange(40):02}", f"n{r.randrange(40):02}") for k in range(12) for _ in range(30 + 3 * k)}
+    reach = set(links)
+    while more := {(k, a, d) for k, a, b in reach for q, c, d in links if k == q and b == c} - reach:
+        reach |= more
+    both = {(k, a, b) for k, a, b in reach if (k, b, a) in reach}
+    wanted = {(k, a): min(c for q, b, c in both if (q, b) == (k, a)) for k, a, _ in both}
+    edges = spark.createDataFrame([(*x, "import") for x in links], "project string, src string, dst string, type string")
+    assert {(x.project, x.file): x.component for x in graph.strongly_connected(edges).collect()} == wanted
+
+
 def test_reach_and_impact(spark):
     edges = spark.createDataFrame([("p", "b", "a", "import"), ("p", "c", "b", "import"), ("p", "a", "c", "import"), ("p", "d", "c", "import"), ("p", "d", "c", "import")], "project string, src string, dst string, type string")
     got = {(r.node, r.hop) for r in graph.impact(edges, spark.createDataFrame([("p", "a")], "project string, root string"), 2).collect()}

@@ -58,7 +58,9 @@ _BINDING = re.compile(r"(?:^|[^\w.-])([A-Za-z_$][\w.$-]*)[\"'`]?\]?\s*(?::\s*[&\
 _BARE = re.compile(r"(?im)(?:^|[\s;,({])(?:export\s+)?([A-Za-z_][\w.-]*)[ \t]*(?:=|:[ \t])[ \t]*((?:(?:bearer|basic|token|digest|[\w-]*(?:key|token|auth\w*|secret)[\w-]*:)[ \t]+){1,2})?([^\s\"'`#;,(){}<>|\\][^\s\"'`;,()<>|\\]{4,})(?=[\s;,)]|$)")
 _URL = re.compile(r"[A-Za-z][\w+.-]*://([^\s:/@\"'`]*):([^\s/@\"'`]+(?:@[^\s/@\"'`]+)??)@([\w.${}<>\[\]-]+)")
 _SCHEME = re.compile(r"(?:(?:proxy-)?authorization\s*[:=]\s*)?(bearer|basic|token|apikey|digest)\s+(\S{6,})$|([\w-]*(?:key|token|auth|secret|password)[\w-]*)\s*:\s*(\S{6,})$", re.I)
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.{0,6000}?)(?:-----END|\Z)", re.S)
+_BLOCK = re.compile(r"-----BEGIN (?:((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)|[A-Z0-9 ]+)-----")
+_END = re.compile(r"-----END [A-Z0-9 ]+-----")
+_BODY = re.compile(r"(?:\\[nr]|[\s\"'`#*/+,;|>()\\-]|[A-Za-z0-9+/=]{16,}(?!\w)|(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash):[^\n\\]*)*+")
 _BASE64_LINE = re.compile(r"[A-Za-z0-9+/=]{16,}")
 # in a comment: a word for a credential, then what may be one
 _REMARK = re.compile(r"(?im)^[ \t]*(#|//|/?\*|--|<!--|;|>)[^\n]*?\b((?:[\w-]+ )?(?:password|passwd|passphrase|pwd|pw|token|secret|key|login|credentials?|creds|pass)s?)\b(?:[ \t]*(?:is|was|:|=|/|->|-|for \w+|to \w+)[ \t]*|[ \t]+)([^\s\"'`,;()<>{}]{8,})")
@@ -79,13 +81,13 @@ def candidates(text: str, language: str | None, path: str = "") -> list[Candidat
     """Places of a text that may hold a credential, by start."""
     out: list[Candidate] = []
     taken: list[tuple[int, int]] = []
-    for m in _PEM.finditer(text):
-        body = m.group(1)
-        if len(_BASE64_LINE.findall(body)) and sum(map(len, _BASE64_LINE.findall(body))) >= 32:
-            spans = [(m.start(1) + x.start(), m.start(1) + x.end()) for x in _BASE64_LINE.finditer(body)]
-            out.append(Candidate(m.start(), spans, _bound_name(text, m.start()), body, "pem"))
-            taken.append(m.span())
-    pem = [(m.start(), m.end()) for m in re.finditer(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", text, re.S)] if "-----BEGIN" in text else []
+    pem: list[tuple[int, int]] = []
+    for m in _BLOCK.finditer(text) if "-----BEGIN" in text else ():
+        end, over = _block_end(text, m.end())
+        lines = list(_BASE64_LINE.finditer(text, m.end(), end))
+        if m.group(1) and sum(len(x.group()) for x in lines) >= 32:
+            out.append(Candidate(m.start(), [x.span() for x in lines], _bound_name(text, m.start()), text[m.end() : end], "pem"))
+        pem.append((m.start(), over))
     if "://" in text:
         for m in _URL.finditer(text):
             out.append(Candidate(m.start(), [m.span(2)], _bound_name(text, m.start()), m.group(2), "url", _in_comment(text, m.start())))
@@ -105,7 +107,7 @@ def candidates(text: str, language: str | None, path: str = "") -> list[Candidat
             g = 2 if scheme.group(2) else 4
             a = parts[-1][1] - len(scheme.group(g))
             out.append(Candidate(lo, [(a, parts[-1][1])], _bound_name(text, lo) + " " + (scheme.group(1) or scheme.group(3)), scheme.group(g), "header", _in_comment(text, lo)))
-        elif not spaced and len(value) <= 4096 and "{" not in value[:2] + value[-1:]:
+        elif not spaced and "{" not in value[:2] + value[-1:]:
             if len(parts) > 1 and not raw.count("+") and len(value) < 16:
                 continue
             out.append(Candidate(lo, parts, _bound_name(text, lo), value, "literal", _in_comment(text, lo)))
@@ -129,13 +131,26 @@ def candidates(text: str, language: str | None, path: str = "") -> list[Candidat
         lo, hi = m.span(3)
         if not _inside(pem, lo, hi) and not _inside(taken, lo, hi) and not _inside([(c.spans[0][0], c.spans[-1][1]) for c in out if c.spans], lo, hi):
             out.append(Candidate(lo, [(lo, hi)], m.group(2), m.group(3), "bare", True))
-    for m in re.finditer(r"(?i)\b(?:authorization|[\w-]*(?:api-key|token|secret))\s*:\s*(?:(?:bearer|basic|token)\s+)?([\w+/=.~-]{12,})", text) if ":" in text else ():
+    low = text.lower()
+    headed = ":" in text and (not text.isascii() or any(x in low for x in ("authorization", "api-key", "token", "secret")))
+    for m in re.finditer(r"(?i)\b(?:authorization|[\w-]*(?:api-key|token|secret))\s*:\s*(?:(?:bearer|basic|token)\s+)?([\w+/=.~-]{12,})", text) if headed else ():
         lo, hi = m.span(1)
         if not _inside([(c.spans[0][0], c.spans[-1][1]) for c in out if c.spans], lo, hi) and not _inside(pem, lo, hi):
             out.append(Candidate(lo, [(lo, hi)], m.group().split(":")[0], m.group(1), "header", _in_comment(text, lo)))
     return sorted(out, key=lambda c: c.start)
 
 
+def _block_end(text: str, at: int) -> tuple[int, int]:
+    """Where the body of a block that begins at a place ends, and where its END line does. A block without END ends with the last line
+    that may belong to it."""
+    end, begin = text.find("-----END", at), text.find("-----BEGIN", at)
+    if end >= 0 and (begin < 0 or end < begin):
+        m = _END.match(text, end)
+        return end, m.end() if m else end
+    end = _BODY.match(text, at, begin if begin >= 0 else len(text)).end()
+    return end, end
+
+
 def _inside(spans: list[tuple[int, int]], lo: int, hi: int) -> bool:
     return any(lo < b and a < hi for a, b in spans)
 
@@ -163,8 +178,7 @@ def _class(c: str) -> str:
 
 
 def bigrams(value: str) -> list[str]:
-    v = value[:400]
-    return [a + b for a, b in zip("^" + v, v)]
+    return [a + b for a, b in zip("^" + value, value)]
 
 
 class Markov:
@@ -278,7 +292,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for c in candidates(text, language, path or ""):
                 line += text.count("\n", at, c.start)
                 at = c.start
-                rows.append((chunk_id, line, c.kind, c.name, c.value[:400], c.comment, path, language, [x for x, _ in c.spans], [x for _, x in c.spans], weak_label(c)))
+                rows.append((chunk_id, line, c.kind, c.name, c.value, c.comment, path, language, [x for x, _ in c.spans], [x for _, x in c.spans], weak_label(c)))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATES.split(", ")]).astype({"label": "Int32"})
 
 

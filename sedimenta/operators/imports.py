@@ -16,7 +16,7 @@ _SCRIPT = {
 }
 PATTERNS: dict[str, dict[str, tuple[str, ...]]] = {
     "javascript": _SCRIPT, "typescript": _SCRIPT, "vue": _SCRIPT, "svelte": _SCRIPT,
-    "python": {"import": (r"(?m)^\s*from\s+([.\w]+)\s+import\b", r"(?m)^\s*import\s+([\w.]+)", r"(?m)^\s*import\s+[\w.]+(?:\s+as\s+\w+)?\s*,\s*([\w.]+)")},
+    "python": {"import": (r"(?m)^\s*from\s+([.\w]+)\s+import\b", r"(?m)^\s*import\s+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)")},
     "go": {"import": (r"(?m)^import\s+(?:[\w.]+\s+)?\"([^\"\n]+)\"", r"(?m)^\t(?:[\w.]+\s+)?\"([^\"\n]+)\"\s*$")},
     "java": {"import": (r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",)},
     "kotlin": {"import": (r"(?m)^\s*import\s+([\w.]+(?:\.\*)?)",)}, "scala": {"import": (r"(?m)^\s*import\s+([\w.]+)",)}, "swift": {"import": (r"(?m)^\s*import\s+(?:\w+\s+)?([\w.]+)",)},
@@ -28,6 +28,7 @@ PATTERNS: dict[str, dict[str, tuple[str, ...]]] = {
     "lua": {"import": (r"\b(?:require|dofile|loadfile)\s*\(?\s*['\"]([^'\"\n]+)['\"]",)}, "gdscript": {"import": (r"\b(?:preload|load)\(\s*['\"]([^'\"\n]+)['\"]", r"(?m)^extends\s+['\"]([^'\"\n]+)['\"]")},
     "html": {"import": (r"(?i)\b(?:href|src)=['\"]([^'\"\n]+)['\"]",)},
 }
+_LISTS = PATTERNS["python"]["import"][1:]
 # What is tried for a path without a file of that name.
 SCRIPT_ENDS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.mjs")
 
@@ -48,7 +49,9 @@ def extract(chunks: DataFrame) -> DataFrame:
 
 
 def _matches(pattern: str, kind: str) -> Column:
-    return F.transform(F.regexp_extract_all(F.col("content"), F.lit(pattern), 1), lambda x: F.struct(x.alias("specifier"), F.lit(kind).alias("kind")))
+    # a python import names several modules
+    names = F.flatten(F.transform(F.regexp_extract_all(F.col("content"), F.lit(pattern), 1), lambda x: F.split(x, r"\s*,\s*"))) if pattern in _LISTS else F.regexp_extract_all(F.col("content"), F.lit(pattern), 1)
+    return F.transform(names, lambda x: F.struct((F.regexp_extract(x, r"^[\w.]+", 0) if pattern in _LISTS else x).alias("specifier"), F.lit(kind).alias("kind")))
 
 
 def _first_existing(rows: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def import_resolution(spark, d):
 
 
 def module_targets(spark, d):
-    """Python and Go imports by module name."""
+    """Imports of python, java, rust and lua by module name."""
     c = _t(spark, d, "chunks")
     return I.resolve_modules(I.extract(c), S.files_from_chunks(c))
 

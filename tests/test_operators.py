@@ -154,6 +154,12 @@ def test_imports(spark):
     assert {(r.specifier, r.target) for r in imports.resolve_modules(found, files).collect()} >= {(".y", "m/y.py"), ("os", None)}
 
 
+def test_python_import_lists(spark):
+    text = "import a, b.c as d, e,f\nfrom g import h, i\nimport j as k\nif x:\n    import l, m, n\n"
+    chunks = spark.createDataFrame([("1", "p", "a.py", text, "python")], "chunk_id string, project string, rel_path string, content string, language string")
+    assert {(r.specifier, r.n) for r in imports.extract(chunks).collect()} == {(x, 1) for x in ("a", "b.c", "e", "f", "g", "j", "l", "m", "n")}
+
+
 def test_symbols():
     source = "class A:\n    def __init__(self):\n        def inner(): pass\n    async def m(self): ...\n\ndef f():\n    return 1\n"
     assert [(n, k, a) for n, _, k, a, _ in python_symbols(source)] == [("A", "class", 1), ("__init__", "constructor", 2), ("inner", "function", 3), ("m", "method", 4), ("f", "function", 6)]

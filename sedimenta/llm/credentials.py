@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,13 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.llm.source_files import language_of
 from sedimenta.plans.workspace import Workspace
 
 SAMPLE = 30_000  # labelled candidates that the regression is fitted on, at most
 
 # Words of identifiers and forms of values.
 _CREDENTIAL = re.compile(
-    r"pass(?:w(?:or)?d|phrase|code|_?phrase)?(?![a-z])|passw|pwd|(?:^|[_\W])pw(?![a-z])|pass_|secret|token|api[_-]?key|credential|(?:access|private|signing|signature|encryption|encrypt|license|deploy|auth|client|service|account|admin|master|ssh|tls|storage|session|webhook|consumer|shared|root|db|hmac|jwt|crypt\w*|api|app|aes|host|server|user|bot|refresh|bearer|cookie|write|read|vault|backup|smtp|ftp|svc|pat|personal|publish|push|upload|subscription|instance|integration|broker|queue|cache|login|security)[_-]?(?:key|pw|pass|pin|cred|creds|identity)(?![a-z])|ssh[_-]?identity|auth[_-]?header|authorization|bearer|creds?(?![a-z])|login|signer|(?:^|_)pin$|_key$",
+    r"pass(?:w(?:or)?d|phrase|code|_?phrase)?(?![a-z])|passw|pwd|(?:^|[_\W])pw(?![a-z])|pass_|secret|token|api[_-]?key|credential|(?:access|private|signing|signature|encryption|encrypt|license|deploy|auth|client|service|account|admin|master|ssh|tls|storage|session|webhook|consumer|shared|root|db|hmac|jwt|crypt\w*|api|app|aes|host|server|user|bot|refresh|bearer|cookie|write|read|vault|backup|smtp|ftp|svc|pat|personal|publish|push|upload|subscription|instance|integration|broker|queue|cache|login|security)[_-]?(?:key|pw|pass|pin|cred|creds|identity)(?![a-z])|ssh[_-]?identity|auth[_-]?header|authorization|bearer|creds?(?![a-z])|login|signer|(?:^|_)pin$|_key$|(?:^|[_.-])auth$",
     re.I,
 )
 _BENIGN = re.compile(
@@ -64,7 +66,9 @@ _BODY = re.compile(r"(?:\\[nr]|[\s\"'`#*/+,;|>()\\-]|[A-Za-z0-9+/=]{16,}(?!\w)|(
 _BASE64_LINE = re.compile(r"[A-Za-z0-9+/=]{16,}")
 # in a comment: a word for a credential, then what may be one
 _REMARK = re.compile(r"(?im)^[ \t]*(#|//|/?\*|--|<!--|;|>)[^\n]*?\b((?:[\w-]+ )?(?:password|passwd|passphrase|pwd|pw|token|secret|key|login|credentials?|creds|pass)s?)\b(?:[ \t]*(?:is|was|:|=|/|->|-|for \w+|to \w+)[ \t]*|[ \t]+)([^\s\"'`,;()<>{}]{8,})")
-_COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|<!--|;|>)")
+_LOGIN = re.compile(r"(?:\s|^)(?:-u|--user|--proxy-user)[ =]$")  # what a command has before a login
+_LINE_END = re.compile(r"\n")
+_COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|<!--|;|>)")
 
 
 @dataclass
@@ -77,23 +81,58 @@ class Candidate:
     comment: bool = False
 
 
+class _Lines:
+    """The lines of a text and where in each a comment begins."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts = [0, *(m.end() for m in _LINE_END.finditer(text))]
+        self.comments: dict[int, int] = {}
+
+    def start(self, at: int) -> int:
+        return self.starts[bisect_right(self.starts, at) - 1]
+
+    def in_comment(self, at: int) -> bool:
+        start = self.start(at)
+        begins = self.comments.get(start)
+        if begins is None:
+            end = self.text.find("\n", start)
+            end = end if end >= 0 else len(self.text)
+            m = _COMMENT.match(self.text, start, end)
+            marks = [m.end()] if m else [x + 3 for x in (self.text.find(mark, start, end) for mark in (" # ", " // ")) if x >= 0]
+            begins = self.comments[start] = min(marks, default=len(self.text) + 1)
+        return begins <= at
+
+    def bound_name(self, at: int, since: int = 0) -> str:
+        """The identifier that what stands at a place is bound to. A binding holds no literal but the quoted name itself, so it begins
+        no earlier than since, the start of the literal before."""
+        head = self.text[max(self.start(at), since) : at].rstrip("\"'`")
+        m = _BINDING.search(head)
+        if not m:
+            return ""
+        return "login " * bool(_LOGIN.search(head, 0, m.start(1))) + m.group(1)
+
+
 def candidates(text: str, language: str | None, path: str = "") -> list[Candidate]:
     """Places of a text that may hold a credential, by start."""
+    lines = _Lines(text)
     out: list[Candidate] = []
     taken: list[tuple[int, int]] = []
     pem: list[tuple[int, int]] = []
     for m in _BLOCK.finditer(text) if "-----BEGIN" in text else ():
         end, over = _block_end(text, m.end())
-        lines = list(_BASE64_LINE.finditer(text, m.end(), end))
-        if m.group(1) and sum(len(x.group()) for x in lines) >= 32:
-            out.append(Candidate(m.start(), [x.span() for x in lines], _bound_name(text, m.start()), text[m.end() : end], "pem"))
+        body = list(_BASE64_LINE.finditer(text, m.end(), end))
+        if m.group(1) and sum(len(x.group()) for x in body) >= 32:
+            out.append(Candidate(m.start(), [x.span() for x in body], lines.bound_name(m.start()), text[m.end() : end], "pem"))
         pem.append((m.start(), over))
     if "://" in text:
         for m in _URL.finditer(text):
-            out.append(Candidate(m.start(), [m.span(2)], _bound_name(text, m.start()), m.group(2), "url", _in_comment(text, m.start())))
+            out.append(Candidate(m.start(), [m.span(2)], lines.bound_name(m.start()), m.group(2), "url", lines.in_comment(m.start())))
             taken.append(m.span())
+    last = before = 0
     for m in _LITERALS.finditer(text):
         lo, hi = m.span()
+        before, last = last, lo
         if hi - lo < 8:
             continue
         raw = m.group()
@@ -106,23 +145,23 @@ def candidates(text: str, language: str | None, path: str = "") -> list[Candidat
         if scheme and (scheme.group(2) or scheme.group(4)):
             g = 2 if scheme.group(2) else 4
             a = parts[-1][1] - len(scheme.group(g))
-            out.append(Candidate(lo, [(a, parts[-1][1])], _bound_name(text, lo) + " " + (scheme.group(1) or scheme.group(3)), scheme.group(g), "header", _in_comment(text, lo)))
+            out.append(Candidate(lo, [(a, parts[-1][1])], lines.bound_name(lo, before) + " " + (scheme.group(1) or scheme.group(3)), scheme.group(g), "header", lines.in_comment(lo)))
         elif not spaced and "{" not in value[:2] + value[-1:]:
             if len(parts) > 1 and not raw.count("+") and len(value) < 16:
                 continue
-            out.append(Candidate(lo, parts, _bound_name(text, lo), value, "literal", _in_comment(text, lo)))
+            out.append(Candidate(lo, parts, lines.bound_name(lo, before), value, "literal", lines.in_comment(lo)))
     loose = language not in ("python", "javascript", "typescript", "go", "java", "rust", "json")
     if loose or "=" in text:
         for m in _BARE.finditer(text):
             lo = m.start(3)
-            comment = _in_comment(text, lo)
+            comment = lines.in_comment(lo)
             if (loose or comment) and not _inside(taken, lo, m.end(3)) and not _inside(pem, lo, m.end(3)):
                 name, value = m.group(1), m.group(3)
                 inner = re.match(r"([A-Za-z_][\w.-]*)[=:](?=[^=:/])", value)
                 if inner and len(value) > inner.end() + 4:
                     name, value, lo = inner.group(1), value[inner.end() :], lo + inner.end()
                 if comment:
-                    name = " ".join([*re.findall(r"[\w-]+", _line_head(text, m.start(1)))[-2:], name])
+                    name = " ".join([*re.findall(r"[\w-]+", text[lines.start(m.start(1)) : m.start(1)])[-2:], name])
                 kind = "header" if m.group(2) else "bare"
                 out.append(Candidate(lo, [(lo, m.end(3))], (name + " " + (m.group(2) or "")).strip(" :\t"), value, kind, comment))
     for m in _REMARK.finditer(text):
@@ -136,7 +175,7 @@ def candidates(text: str, language: str | None, path: str = "") -> list[Candidat
     for m in re.finditer(r"(?i)\b(?:authorization|[\w-]*(?:api-key|token|secret))\s*:\s*(?:(?:bearer|basic|token)\s+)?([\w+/=.~-]{12,})", text) if headed else ():
         lo, hi = m.span(1)
         if not _inside([(c.spans[0][0], c.spans[-1][1]) for c in out if c.spans], lo, hi) and not _inside(pem, lo, hi):
-            out.append(Candidate(lo, [(lo, hi)], m.group().split(":")[0], m.group(1), "header", _in_comment(text, lo)))
+            out.append(Candidate(lo, [(lo, hi)], m.group().split(":")[0], m.group(1), "header", lines.in_comment(lo)))
     return sorted(out, key=lambda c: c.start)
 
 
@@ -155,21 +194,6 @@ def _inside(spans: list[tuple[int, int]], lo: int, hi: int) -> bool:
     return any(lo < b and a < hi for a, b in spans)
 
 
-def _line_head(text: str, at: int) -> str:
-    return text[max(text.rfind("\n", 0, at) + 1, at - 160) : at]
-
-
-def _in_comment(text: str, at: int) -> bool:
-    head = _line_head(text, at)
-    return bool(_COMMENT.match(head)) or " # " in head or " // " in head
-
-
-def _bound_name(text: str, at: int) -> str:
-    head = _line_head(text, at).rstrip("\"'`")
-    m = _BINDING.search(head)
-    return m.group(1) if m else ""
-
-
 _DAMP = {"literal": 0, "bare": 1, "url": 2, "header": 3, "pem": 4}
 
 
@@ -177,7 +201,13 @@ def _class(c: str) -> str:
     return "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c if ord(c) < 128 else "w"
 
 
+_BEYOND = re.compile(r"[^\x20-\x7e]")
+
+
 def bigrams(value: str) -> list[str]:
+    """The pairs of characters; those beyond printable ASCII count as one."""
+    if not value.isascii() or not value.isprintable():
+        value = _BEYOND.sub("\x7f", value)
     return [a + b for a, b in zip("^" + value, value)]
 
 
@@ -255,22 +285,23 @@ def features(c: Candidate, markov: Markov, path: str, language: str | None) -> l
 
 
 class Model:
-    """Logistic regression by Newton steps with a ridge, calibrated on held-out rows by Platt's scaling."""
+    """Logistic regression by Newton steps with a ridge, calibrated on held-out rows by Platt's scaling. Each row counts with its weight
+    in both."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, markov: Markov):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, markov: Markov):
         self.markov = markov
         held = np.arange(len(y)) % 5 == 0
-        self.w = self._fit(x[~held], y[~held], 1.0)
+        self.w = self._fit(x[~held], y[~held], weight[~held], 1.0)
         z = np.c_[np.ones(held.sum()), x[held] @ self.w]
-        self.scale = self._fit(z, y[held], 1.0) if 0 < y[held].sum() < held.sum() else np.array([0.0, 1.0])
+        self.scale = self._fit(z, y[held], weight[held], 1.0) if 0 < y[held].sum() < held.sum() else np.array([0.0, 1.0])
 
     @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
         w = np.zeros(x.shape[1])
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-            step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+            h = (x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+            step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
@@ -296,40 +327,52 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATES.split(", ")]).astype({"label": "Int32"})
 
 
+def _with_language(chunks: DataFrame) -> DataFrame:
+    """chunks with a null language told by the extension or, failing that, by another row of the chunk. Only the rows that the extension
+    doesn't tell are joined."""
+    told = chunks.withColumn("language", F.coalesce("language", language_of(F.col("rel_path"))))
+    other = chunks.where("language is not null").groupBy("chunk_id").agg(F.max("language").alias("_other"))
+    rest = told.where("language is null").join(other, "chunk_id", "left")
+    return told.where("language is not null").unionByName(rest.withColumn("language", F.col("_other")).drop("_other"))
+
+
 def extract(chunks: DataFrame) -> DataFrame:
     """The candidates of chunks (chunk_id, rel_path, content, language, start_line), each with its line in the file, the places of its
-    parts in the content and its weak label. Null content has none; a null start_line counts as 1. A map without shuffle."""
+    parts in the content and its weak label. Null content has none; a null start_line counts as 1; a null language is told by the
+    extension or the chunk's other row. A map without shuffle but for rows whose language the extension doesn't tell."""
     usable = chunks.where("content is not null").select("chunk_id", "rel_path", "content", "language", F.coalesce("start_line", F.lit(1)).alias("start_line"))
-    return usable.mapInPandas(_extract, CANDIDATES)
+    return _with_language(usable).mapInPandas(_extract, CANDIDATES)
 
 
-def train(found: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits the scorer: character counts over all labelled candidates, the regression on at most sample rows, half of each label, chosen
-    by hash so that executors send no more than these."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.substring(F.concat(F.lit("^"), F.col("value")), i, F.lit(2)))
+def train(found: DataFrame, sample: int | None = SAMPLE) -> Model:
+    """Fits the scorer: character counts over all labelled candidates, the regression on at most sample rows (None: all), half of each
+    label, chosen by hash. A row weighs as much as the rows of its label that it stands for, so the rates of the labels, and with them the
+    calibration, don't depend on the sample. Executors send counts of an alphabet's pairs and the features of the sample, no values."""
+    ascii_only = F.regexp_replace("value", "[^ -~]", "\x7f")
+    pairs = F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.substring(F.concat(F.lit("^"), F.col("_value")), i, F.lit(2)))
     labelled = found.where("label is not null")
-    counted = labelled.where("kind <> 'pem' and length(value) > 0").select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count()
-    # pairs of characters in literals; the alphabet bounds them, and rare ones beyond ASCII carry no weight
-    counts = counted.where(r"pair rlike '^[\\x20-\\x7e]{2}$'").collect()
-    markov = Markov([tuple(r) for r in counts])
+    counted = labelled.where("kind <> 'pem' and length(value) > 0").withColumn("_value", ascii_only).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count()
+    markov = Markov([tuple(r) for r in counted.collect()])  # at most 96 x 96 pairs for each label
     amounts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    part = F.pmod(F.xxhash64("chunk_id", "line", "value"), F.lit(1_000_000)) / 1_000_000
-    picked = []
-    for label, n in sorted(amounts.items()):
-        rows = labelled.where((F.col("label") == label) & (part < 0.95 * sample / 2 / n))
-        picked += rows.select("kind", "name", "value", "comment", "path", "language", "label").limit(sample // 2).collect()
-    picked.sort(key=lambda r: hash_order(r.value + r.name))
-    if len({r.label for r in picked}) < 2:
-        return Model(np.zeros((10, len(features(Candidate(0, [], "", "x", "literal"), markov, "", None)))), np.zeros(10), markov)
-    x = np.array([features(Candidate(0, [], r.name, r.value, r.kind, r.comment), markov, r.path or "", r.language) for r in picked])
-    return Model(x, np.array([r.label for r in picked], float), markov)
+    if len(amounts) < 2:
+        return Model(np.zeros((10, len(features(Candidate(0, [], "", "x", "literal"), markov, "", None)))), np.zeros(10), np.ones(10), markov)
+    part = F.pmod(F.xxhash64("chunk_id", "line", "value", "name"), F.lit(1_000_000_000))
+    share = {label: 1e9 if sample is None else 1e9 * 0.95 * sample / 2 / n for label, n in amounts.items()}
+    rows = labelled.withColumn("part", part).where(" or ".join(f"(label = {label} and part < {s})" for label, s in share.items()))
 
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = [
+                np.array(features(Candidate(0, [], name, value, kind, comment), markov, path or "", language), "float32").tobytes()
+                for name, value, kind, comment, path, language in b[["name", "value", "kind", "comment", "path", "language"]].itertuples(index=False)
+            ]
+            yield pd.DataFrame({"part": b["part"], "label": b["label"], "x": x})
 
-def hash_order(text: str) -> int:
-    h = 1469598103934665603
-    for c in text[:64]:
-        h = (h ^ ord(c)) * 1099511628211 % 2**64
-    return h
+    picked = sorted(map(tuple, rows.mapInPandas(measure, "part long, label int, x binary").collect()))
+    y = np.array([label for _, label, _ in picked], float)
+    taken = Counter(y.tolist())
+    weight = np.array([amounts[int(v)] / taken[v] for v in y.tolist()])
+    return Model(np.stack([np.frombuffer(x, "float32") for _, _, x in picked]).astype(float), y, weight, markov)
 
 
 def redacted(text: str, found: list[Candidate]) -> str:
@@ -363,7 +406,7 @@ def _possible(c: Candidate) -> bool:
     return c.kind == "pem" or not (_REFERENCE.fullmatch(c.value) or _PLACEHOLDER.fullmatch(c.value) or _HASHED.fullmatch(c.value) or _PUBLIC.match(c.value))
 
 
-def scan(chunks: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def scan(chunks: DataFrame, threshold: float = 0.5, sample: int | None = SAMPLE) -> DataFrame:
     """The credentials of chunks: chunk_id, line, kind, name, starts, ends (places in the content), score. The candidates are written
     once; the scorer is trained on them and applied to them. Repeated rows give repeated results."""
     found = Workspace(chunks.sparkSession, "credentials").write(extract(chunks), "candidates")

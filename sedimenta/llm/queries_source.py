@@ -44,7 +44,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The content of each chunk that holds credentials, without them."""
-    once = _chunks(spark, d).dropDuplicates(["chunk_id"])
+    row = F.max(F.struct("content", "rel_path", "start_line")).alias("row")
+    once = _chunks(spark, d).groupBy("chunk_id").agg(row, F.max("language").alias("language")).select("chunk_id", "row.*", "language")
     return redact(once, scan(once))
 
 

@@ -2,13 +2,14 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from sedimenta.llm import encoding_repair as E
 from sedimenta.llm import provenance as P
-from sedimenta.llm.credentials import Candidate, candidates, redact, redacted, scan
+from sedimenta.llm.credentials import Candidate, candidates, extract, redact, redacted, scan, scored, train
 from sedimenta.llm.mixing import epochs, mix_sources
 from sedimenta.llm.packing import fill_report, fill_up, fractional, pack, plan_containers
 from sedimenta.llm.splitting import split_oversized, split_text
@@ -125,6 +126,31 @@ def test_credentials_of_any_length(spark):
     assert len(c.value) > 7000
 
 
+def test_names_and_comments_on_long_lines():
+    head = 'f("a", "bcdefgh"); ' * 40
+    (c,) = [c for c in candidates(head + 'api_key' + " " * 300 + '= "q8Zr2LmX9vTb4NcK7wJd"', "javascript") if c.value.startswith("q8Z")]
+    assert c.name == "api_key" and not c.comment
+    (c,) = [c for c in candidates("x = 1\n  // " + "note " * 100 + 'key: "q8Zr2LmX9vTb4NcK7wJd"\n', "javascript") if c.value.startswith("q8Z")]
+    assert c.name == "key" and c.comment
+    (c,) = candidates("curl -u bob:'q8Zr2LmX9vTb4NcK7wJd' https://h.example", "shell")
+    assert c.name == "login bob"
+
+
+def test_language_of_the_other_row_or_the_extension(spark):
+    noise = [(f"r{i}", "conf/x.yaml", t, lang, 1) for i, (t, lang) in enumerate(credential_rows())]
+    rows = [("a", "x.py", "token = obj.field_name_9x\n", None, 1), ("b", "run", "token = obj.field_name_9x\n", None, 1), ("b", "run", "token = obj.field_name_9x\n", "go", 1), ("c", "run2", "token = obj.field_name_9x\n", None, 1)]
+    found = extract(spark.createDataFrame(noise + rows, "chunk_id string, rel_path string, content string, language string, start_line int"))
+    assert {r.chunk_id for r in found.where("chunk_id in ('a', 'b', 'c')").collect()} == {"c"}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1/chunks.parquet").exists(), reason="no tables")
+def test_the_sample_keeps_the_calibration(spark):
+    found = extract(spark.read.parquet("/root/testdata/sf0.1/chunks.parquet")).persist()
+    lines = [{(r.chunk_id, r.line) for r in scored(found, train(found, n)).select("chunk_id", "line").collect()} for n in (30_000, None)]
+    found.unpersist()
+    assert len(lines[1]) > 1000 and len(lines[0] ^ lines[1]) <= 0.01 * len(lines[1])
+
+
 def test_splitting():
     r = random.Random(2)
     texts = ["", "a" * 501, "é" * 99 + "\r\n" * 300, "\n" * 400, "# A\n\none two. three!\n\n" * 40, "".join(r.choice("ab \n.😀\r") for _ in range(900))]

@@ -58,7 +58,8 @@ _LITERALS = re.compile(rf"(?:{_QUOTED})(?:(?:[ \t]*(?:\+|\.\.)\s*|[ \t]+(?:\\\n[
 _ONE = re.compile(_QUOTED)
 _BINDING = re.compile(r"(?:^|[^\w.-])([A-Za-z_$][\w.$-]*)[\"'`]?\]?\s*(?::\s*[&\w<>\[\]'. |]+?)?\s*(?:=>|:=|==|[:=])\s*(?:[brfu]{0,2}|new\s+\w+\(|String\.from\(|\[\]byte\()?$")
 _BARE = re.compile(r"(?im)(?:^|[\s;,({])(?:export\s+)?([A-Za-z_][\w.-]*)[ \t]*(?:=|:[ \t])[ \t]*((?:(?:bearer|basic|token|digest|[\w-]*(?:key|token|auth\w*|secret)[\w-]*:)[ \t]+){1,2})?([^\s\"'`#;,(){}<>|\\][^\s\"'`;,()<>|\\]{4,})(?=[\s;,)]|$)")
-_URL = re.compile(r"[A-Za-z][\w+.-]*://([^\s:/@\"'`]*):([^\s/@\"'`]+(?:@[^\s/@\"'`]+)??)@([\w.${}<>\[\]-]+)")
+_URL_LOGIN = re.compile(r"://([^\s:/@\"'`]*):([^\s/@\"'`]+(?:@[^\s/@\"'`]+)??)@([\w.${}<>\[\]-]+)")
+_SCHEME_CHARS = frozenset("+.-_0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _SCHEME = re.compile(r"(?:(?:proxy-)?authorization\s*[:=]\s*)?(bearer|basic|token|apikey|digest)\s+(\S{6,})$|([\w-]*(?:key|token|auth|secret|password)[\w-]*)\s*:\s*(\S{6,})$", re.I)
 _BLOCK = re.compile(r"-----BEGIN (?:((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)|[A-Z0-9 ]+)-----")
 _END = re.compile(r"-----END [A-Z0-9 ]+-----")
@@ -66,6 +67,7 @@ _BODY = re.compile(r"(?:\\[nr]|[\s\"'`#*/+,;|>()\\-]|[A-Za-z0-9+/=]{16,}(?!\w)|(
 _BASE64_LINE = re.compile(r"[A-Za-z0-9+/=]{16,}")
 # in a comment: a word for a credential, then what may be one
 _REMARK = re.compile(r"(?im)^[ \t]*(#|//|/?\*|--|<!--|;|>)[^\n]*?\b((?:[\w-]+ )?(?:password|passwd|passphrase|pwd|pw|token|secret|key|login|credentials?|creds|pass)s?)\b(?:[ \t]*(?:is|was|:|=|/|->|-|for \w+|to \w+)[ \t]*|[ \t]+)([^\s\"'`,;()<>{}]{8,})")
+_COMMENT_SIGNS = frozenset("#/*-<;>")
 _LOGIN = re.compile(r"(?:\s|^)(?:-u|--user|--proxy-user)[ =]$")  # what a command has before a login
 _LINE_END = re.compile(r"\n")
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|<!--|;|>)")
@@ -103,6 +105,16 @@ class _Lines:
             begins = self.comments[start] = min(marks, default=len(self.text) + 1)
         return begins <= at
 
+    def commented(self) -> list[tuple[int, int]]:
+        """The lines that hold a comment."""
+        out, at = [], 0
+        for line in self.text.split("\n"):
+            end = at + len(line)
+            if (line.lstrip()[:1] in _COMMENT_SIGNS or " # " in line or " // " in line) and self.in_comment(end):
+                out.append((at, end))
+            at = end + 1
+        return out
+
     def bound_name(self, at: int, since: int = 0) -> str:
         """The identifier that what stands at a place is bound to. A binding holds no literal but the quoted name itself, so it begins
         no earlier than since, the start of the literal before."""
@@ -125,10 +137,9 @@ def candidates(text: str, language: str | None, path: str = "") -> list[Candidat
         if m.group(1) and sum(len(x.group()) for x in body) >= 32:
             out.append(Candidate(m.start(), [x.span() for x in body], lines.bound_name(m.start()), text[m.end() : end], "pem"))
         pem.append((m.start(), over))
-    if "://" in text:
-        for m in _URL.finditer(text):
-            out.append(Candidate(m.start(), [m.span(2)], lines.bound_name(m.start()), m.group(2), "url", lines.in_comment(m.start())))
-            taken.append(m.span())
+    for lo, m in _url_logins(text):
+        out.append(Candidate(lo, [m.span(2)], lines.bound_name(lo), m.group(2), "url", lines.in_comment(lo)))
+        taken.append((lo, m.end()))
     last = before = 0
     for m in _LITERALS.finditer(text):
         lo, hi = m.span()
@@ -151,8 +162,9 @@ def candidates(text: str, language: str | None, path: str = "") -> list[Candidat
                 continue
             out.append(Candidate(lo, parts, lines.bound_name(lo, before), value, "literal", lines.in_comment(lo)))
     loose = language not in ("python", "javascript", "typescript", "go", "java", "rust", "json")
-    if loose or "=" in text:
-        for m in _BARE.finditer(text):
+    parts = [(0, len(text))] if loose else lines.commented()
+    for begin, end in parts:
+        for m in _BARE.finditer(text, begin, end):
             lo = m.start(3)
             comment = lines.in_comment(lo)
             if (loose or comment) and not _inside(taken, lo, m.end(3)) and not _inside(pem, lo, m.end(3)):
@@ -179,6 +191,23 @@ def candidates(text: str, language: str | None, path: str = "") -> list[Candidat
     return sorted(out, key=lambda c: c.start)
 
 
+def _url_logins(text: str) -> Iterator[tuple[int, re.Match]]:
+    """Start and match of each login in a URL; the scheme is what stands before the colon."""
+    at = done = 0
+    while (at := text.find("://", at)) >= 0:
+        m = _URL_LOGIN.match(text, at)
+        lo = at
+        while lo > done and (text[lo - 1] in _SCHEME_CHARS or text[lo - 1].isalnum()):
+            lo -= 1
+        while lo < at and not ("a" <= text[lo] <= "z" or "A" <= text[lo] <= "Z"):
+            lo += 1
+        if m and lo < at:
+            yield lo, m
+            at = done = m.end()
+        else:
+            at += 3
+
+
 def _block_end(text: str, at: int) -> tuple[int, int]:
     """Where the body of a block that begins at a place ends, and where its END line does. A block without END ends with the last line
     that may belong to it."""
@@ -191,7 +220,7 @@ def _block_end(text: str, at: int) -> tuple[int, int]:
 
 
 def _inside(spans: list[tuple[int, int]], lo: int, hi: int) -> bool:
-    return any(lo < b and a < hi for a, b in spans)
+    return bool(spans) and any(lo < b and a < hi for a, b in spans)
 
 
 _DAMP = {"literal": 0, "bare": 1, "url": 2, "header": 3, "pem": 4}
@@ -226,8 +255,9 @@ class Markov:
             self.table[pair] = max(-4.0, min(4.0, p[1] - p[0]))
 
     def __call__(self, value: str) -> float:
+        get = self.table.get
         pairs = bigrams(value)
-        return sum(self.table.get(p, 0.0) for p in pairs) / max(1, len(pairs))
+        return sum([get(p, 0.0) for p in pairs]) / max(1, len(pairs))
 
 
 def _words(value: str) -> bool:
@@ -240,7 +270,7 @@ def _words(value: str) -> bool:
 
 def _entropy(value: str) -> float:
     n = len(value)
-    return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
+    return -sum([k / n * math.log2(k / n) for k in Counter(value).values()]) if n else 0.0
 
 
 def weak_label(c: Candidate) -> int | None:
@@ -266,21 +296,27 @@ def weak_label(c: Candidate) -> int | None:
     return None if credential or len(v) >= 20 else 0
 
 
+def _path_kinds(path: str) -> tuple[bool, bool, bool]:
+    """Whether a path is one of configuration, of locks, of tests or examples."""
+    low = path.lower()
+    return ".env" in low or "config" in low or "secret" in low, "lock" in low, "test" in low or "example" in low
+
+
 def features(c: Candidate, markov: Markov, path: str, language: str | None) -> list[float]:
     v, name = c.value, c.name
     n = len(v)
     formed = bool(_FORMAT.search(v))
     credential, benign = bool(_CREDENTIAL.search(name)), bool(_BENIGN.search(name)) and not formed
     llr = markov(v) if c.kind != "pem" else 1.0
-    classes = len({_class(x) for x in v if x.isalnum()})
+    used = set(v)
+    classes = len({_class(x) for x in used if x.isalnum()})
     uuid, hexed = bool(_UUID.fullmatch(v)), bool(_HEX.fullmatch(v))
-    low = path.lower()
     return [
-        1.0, llr, min(4.0, math.log(n + 1)) - 3, _entropy(v) / 4 - 0.8, float(classes == 3), float(classes == 1), sum(x.isdigit() for x in v) / n,
+        1.0, llr, min(4.0, math.log(n + 1)) - 3, _entropy(v) / 4 - 0.8, float(classes == 3), float(classes == 1), sum(map(str.isdigit, v)) / n,
         float(credential), float(benign), float(credential and not benign), float(credential) * llr, float(not name), float(uuid), float(hexed), float((uuid or hexed) and not credential),
         float(formed), float(bool(_PLACEHOLDER.fullmatch(v))), float(bool(_REFERENCE.fullmatch(v))), float(bool(_HASHED.fullmatch(v) or _PUBLIC.match(v))), float(bool(_words(v))),
-        float(len(set(v)) < 4), float("/" in v and c.kind == "literal"), float(v.startswith(("http", "/", ".", "@", "-", "data:"))), float(c.comment),
-        *(float(_DAMP[c.kind] == k) for k in range(5)), float(".env" in low or "config" in low or "secret" in low), float("lock" in low), float("test" in low or "example" in low), float(language in ("json", "yaml", "plaintext", None)),
+        float(len(used) < 4), float("/" in v and c.kind == "literal"), float(v.startswith(("http", "/", ".", "@", "-", "data:"))), float(c.comment),
+        *(float(_DAMP[c.kind] == k) for k in range(5)), *map(float, _path_kinds(path)), float(language in ("json", "yaml", "plaintext", None)),
     ]
 
 
@@ -327,31 +363,33 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATES.split(", ")]).astype({"label": "Int32"})
 
 
-def _with_language(chunks: DataFrame) -> DataFrame:
-    """chunks with a null language told by the extension or, failing that, by another row of the chunk. Only the rows that the extension
-    doesn't tell are joined."""
-    told = chunks.withColumn("language", F.coalesce("language", language_of(F.col("rel_path"))))
-    other = chunks.where("language is not null").groupBy("chunk_id").agg(F.max("language").alias("_other"))
-    rest = told.where("language is null").join(other, "chunk_id", "left")
-    return told.where("language is not null").unionByName(rest.withColumn("language", F.col("_other")).drop("_other"))
-
-
 def extract(chunks: DataFrame) -> DataFrame:
     """The candidates of chunks (chunk_id, rel_path, content, language, start_line), each with its line in the file, the places of its
     parts in the content and its weak label. Null content has none; a null start_line counts as 1; a null language is told by the
-    extension or the chunk's other row. A map without shuffle but for rows whose language the extension doesn't tell."""
-    usable = chunks.where("content is not null").select("chunk_id", "rel_path", "content", "language", F.coalesce("start_line", F.lit(1)).alias("start_line"))
-    return _with_language(usable).mapInPandas(_extract, CANDIDATES)
+    extension, else stays null. A map without shuffle."""
+    usable = chunks.where("content is not null").select(
+        "chunk_id", "rel_path", "content", F.coalesce("language", language_of(F.col("rel_path"))).alias("language"), F.coalesce("start_line", F.lit(1)).alias("start_line")
+    )
+    return usable.mapInPandas(_extract, CANDIDATES)
+
+
+def told_by_other_rows(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """found without the candidates of rows of unknown language whose chunk has another row that tells it. Only these are joined."""
+    unknown = found.where("language is null")
+    if unknown.isEmpty():
+        return found
+    told = chunks.where("language is not null and content is not null").select("chunk_id").distinct()
+    return found.where("language is not null").unionByName(unknown.join(told, "chunk_id", "left_anti"))
 
 
 def train(found: DataFrame, sample: int | None = SAMPLE) -> Model:
     """Fits the scorer: character counts over all labelled candidates, the regression on at most sample rows (None: all), half of each
     label, chosen by hash. A row weighs as much as the rows of its label that it stands for, so the rates of the labels, and with them the
     calibration, don't depend on the sample. Executors send counts of an alphabet's pairs and the features of the sample, no values."""
-    ascii_only = F.regexp_replace("value", "[^ -~]", "\x7f")
-    pairs = F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.substring(F.concat(F.lit("^"), F.col("_value")), i, F.lit(2)))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.substring(F.concat(F.lit("^"), F.col("value")), i, F.lit(2)))
     labelled = found.where("label is not null")
-    counted = labelled.where("kind <> 'pem' and length(value) > 0").withColumn("_value", ascii_only).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count()
+    counted = labelled.where("kind <> 'pem' and length(value) > 0").select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count()
+    counted = counted.groupBy("label", F.regexp_replace("pair", "[^ -~]", "\x7f").alias("pair")).agg(F.sum("count").alias("n"))
     markov = Markov([tuple(r) for r in counted.collect()])  # at most 96 x 96 pairs for each label
     amounts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(amounts) < 2:
@@ -391,11 +429,19 @@ def scored(found: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The candidates whose calibrated score reaches the threshold, with it."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, float] = {}
         for b in batches:
-            scores = [
-                model.score(c, path or "", language) if _possible(c := Candidate(0, [], name, value, kind, comment)) else 0.0
-                for name, value, kind, comment, path, language in b[["name", "value", "kind", "comment", "path", "language"]].itertuples(index=False)
-            ]
+            scores = []
+            for name, value, kind, comment, path, language in b[["name", "value", "kind", "comment", "path", "language"]].itertuples(index=False):
+                key = (name, value, kind, comment, _path_kinds(path or ""), language)
+                score = known.get(key)
+                if score is None:
+                    c = Candidate(0, [], name, value, kind, comment)
+                    score = model.score(c, path or "", language) if _possible(c) else 0.0
+                    if len(known) > 50_000:
+                        known.clear()
+                    known[key] = score
+                scores.append(score)
             yield b.assign(score=scores)[[x >= threshold for x in scores]]
 
     return found.mapInPandas(go, CANDIDATES + ", score double")
@@ -410,6 +456,7 @@ def scan(chunks: DataFrame, threshold: float = 0.5, sample: int | None = SAMPLE)
     """The credentials of chunks: chunk_id, line, kind, name, starts, ends (places in the content), score. The candidates are written
     once; the scorer is trained on them and applied to them. Repeated rows give repeated results."""
     found = Workspace(chunks.sparkSession, "credentials").write(extract(chunks), "candidates")
+    found = told_by_other_rows(found, chunks)
     return scored(found, train(found, sample), threshold).select("chunk_id", "line", "kind", "name", "starts", "ends", "score")
 
 

@@ -9,7 +9,7 @@ import pytest
 
 from sedimenta.llm import encoding_repair as E
 from sedimenta.llm import provenance as P
-from sedimenta.llm.credentials import Candidate, candidates, extract, redact, redacted, scan, scored, train
+from sedimenta.llm.credentials import Candidate, candidates, extract, redact, redacted, scan, scored, told_by_other_rows, train
 from sedimenta.llm.mixing import epochs, mix_sources
 from sedimenta.llm.packing import fill_report, fill_up, fractional, pack, plan_containers
 from sedimenta.llm.splitting import split_oversized, split_text
@@ -139,7 +139,8 @@ def test_names_and_comments_on_long_lines():
 def test_language_of_the_other_row_or_the_extension(spark):
     noise = [(f"r{i}", "conf/x.yaml", t, lang, 1) for i, (t, lang) in enumerate(credential_rows())]
     rows = [("a", "x.py", "token = obj.field_name_9x\n", None, 1), ("b", "run", "token = obj.field_name_9x\n", None, 1), ("b", "run", "token = obj.field_name_9x\n", "go", 1), ("c", "run2", "token = obj.field_name_9x\n", None, 1)]
-    found = extract(spark.createDataFrame(noise + rows, "chunk_id string, rel_path string, content string, language string, start_line int"))
+    chunks = spark.createDataFrame(noise + rows, "chunk_id string, rel_path string, content string, language string, start_line int")
+    found = told_by_other_rows(extract(chunks), chunks)
     assert {r.chunk_id for r in found.where("chunk_id in ('a', 'b', 'c')").collect()} == {"c"}
 
 

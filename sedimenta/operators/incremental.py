@@ -2,97 +2,180 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, MapType, StructField, StructType
 
-FINGERPRINTS = "part int, source string, n bigint, sum_a decimal(38,0), sum_b decimal(38,0)"
+from sedimenta.plans.workspace import remove
+
+FINGERPRINTS = "part int, source string, n bigint, a bigint, b bigint, c bigint, d bigint"
+LAYOUT = "scope string, first int, parts int"
+PART_ROWS = 250_000  # input rows that a partition is laid out for
+LEAST_PARTS = 16
+GROWTH = 4  # a table that outgrows its layout by this gets a new one
 
 
 def partition_of(buckets: int, *keys: str) -> Column:
-    """A partition number from the hash of the key, so that one large project is spread over all partitions."""
+    """A partition number from the hash of the whole key."""
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def _hash(df: DataFrame, *seed: Column) -> Column:
+    """A hash of all columns by name; nulls count, so shifting a value to another column changes it."""
+    cols = []
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        c = F.col(f"`{f.name}`")
+        cols += [c.cast("string") if isinstance(f.dataType, MapType) else c, c.isNull()]
+    return F.xxhash64(*seed, *cols)
+
+
 def fingerprints(df: DataFrame, source: str, part: Column) -> DataFrame:
-    """Per partition: row count and two sums of row hashes. Sums don't depend on the order of rows and combine map-side."""
-    cols = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(df.columns)]
-    a, b = F.xxhash64(*cols), F.xxhash64(F.lit(source), *cols)
-    return df.select(part.alias("part"), a.alias("a"), b.alias("b")).groupBy("part").agg(
-        F.lit(source).alias("source"),
-        F.count("*").alias("n"),
-        F.sum(F.col("a").cast("decimal(20,0)")).cast("decimal(38,0)").alias("sum_a"),
-        F.sum(F.col("b").cast("decimal(20,0)")).cast("decimal(38,0)").alias("sum_b"),
+    """Per partition: row count and sums of the halves of two row hashes; a column _part isn't hashed. Sums don't depend on the order of
+    rows and combine map-side; halves keep them within 64 bits up to two thousand million rows a partition."""
+    rows = df.drop("_part")
+    x, y = _hash(rows), _hash(rows, F.lit("second"))
+    low, high = (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda h: F.shiftrightunsigned(h, 32))
+    halves = (("a", "x", low), ("b", "x", high), ("c", "y", low), ("d", "y", high))
+    return df.select(part.alias("part"), x.alias("x"), y.alias("y")).groupBy("part").agg(
+        F.lit(source).alias("source"), F.count("*").alias("n"), *(F.sum(half(F.col(h))).alias(name) for name, h, half in halves)
     )
 
 
 class IncrementalTable:
     """A result table kept partition by partition.
 
+    Partitions follow the first key column, the scope: scopes of few rows share partitions by their hash, those of many get several of
+    their own by the hash of the remaining keys. So a change within one scope touches few partitions, and a scope with a third of all
+    rows is spread. How many partitions there are comes from the number of rows at the first refresh, and again when the table has grown
+    by GROWTH. With buckets, there are so many partitions instead, by the hash of the whole key.
+
     refresh() compares each partition's fingerprints of every input with those of the last finished run, recomputes the partitions that
     differ and replaces each of them as a whole by dynamic partition overwrite. A partition whose new result is empty is replaced too:
-    every replaced partition holds one marker row. The fingerprints are published last, as a new generation named by one small pointer
-    file, so a run that dies repeats its partitions the next time and neither skips nor doubles any.
+    every replaced partition holds one marker row. Before the overwrite the partitions are noted as an intent, and the fingerprints are
+    published last, as a new generation named by one small file. A run that dies at any point thus leaves an intent, whose partitions
+    the next run recomputes whatever their fingerprints say, as they may hold rows of the inputs that the dead run saw. One writer at a
+    time; what dead runs left is removed by the next one that finishes.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 48):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-        jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        self._fs = self._path("x").getFileSystem(sc._jsc.hadoopConfiguration())
-        if self._fs.exists(self._path("layout")):
-            had = int(spark.read.text(f"{self.root}/layout").first()[0])
-            if had != buckets:
-                raise ValueError(f"the table has {had} partitions, not {buckets}")
-        else:
-            spark.range(1).select(F.lit(str(buckets)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/layout")
-
-    def _published(self) -> DataFrame:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("."))] if self._fs.exists(self._path(".")) else []
-        done = sorted((n for n in names if n.startswith("done-")), reverse=True)
-        if not done:
-            return self.spark.createDataFrame([], FINGERPRINTS)
-        return self.spark.read.schema(FINGERPRINTS).parquet(f"{self.root}/{done[0].replace('done-', 'prints-')}")
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, part_rows: int = PART_ROWS):
+        self.spark, self.root, self.buckets, self.part_rows = spark, root.rstrip("/"), buckets, part_rows
+        self._jvm = spark.sparkContext._jvm
+        self._path = lambda name: self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path("."))
+        last = self._last()
+        if last and last["buckets"] != buckets:
+            raise ValueError(f"the table has {last['buckets']} partitions, not {buckets}")
+
+    def _names(self, prefix: str) -> list[str]:
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._path("."))) if n.startswith(prefix))
+
+    def _put(self, name: str, content: dict) -> None:
+        """Writes a small file that is there as a whole or not at all."""
+        out = self._fs.create(self._path(f"_{name}"), True)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        self._fs.rename(self._path(f"_{name}"), self._path(name))
+
+    def _get(self, name: str) -> dict:
+        stream = self._fs.open(self._path(name))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _last(self) -> dict | None:
+        done = self._names("done-")
+        return self._get(done[-1]) | {"number": int(done[-1].split("-")[1])} if done else None
+
+    def _lay_out(self, inputs: dict[str, DataFrame], keys: tuple[str, ...], name: str) -> int:
+        """Writes which partitions belong to which scope, a row for each scope of more than part_rows rows, of which there are no more than
+        partitions, and one with a null scope for all others. Returns the number of rows."""
+        rows = reduce(DataFrame.unionByName, [df.select(F.xxhash64(keys[0]).alias("scope")) for df in inputs.values()])
+        counted = rows.groupBy("scope").agg(F.count("*").alias("n"))
+        few = F.sum(F.when(F.col("n") <= self.part_rows, F.col("n")))
+        total, small = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(few, F.lit(0))).first()
+        first = max(LEAST_PARTS, min(100_000, 4 * small // self.part_rows))
+        layout = [(None, 0, first)]
+        for r in counted.where(F.col("n") > self.part_rows).orderBy("scope").collect() if small < total else ():
+            layout.append((str(r.scope), first, 1 + r.n // self.part_rows))
+            first += layout[-1][2]
+        self.spark.createDataFrame(layout, LAYOUT).coalesce(1).write.parquet(f"{self.root}/{name}")
+        return int(total)
+
+    def _placed(self, df: DataFrame, keys: tuple[str, ...], layout: str) -> DataFrame:
+        """df with the column _part."""
+        if self.buckets:
+            return df.withColumn("_part", partition_of(self.buckets, *keys))
+        table = self.spark.read.schema(LAYOUT).parquet(f"{self.root}/{layout}")
+        shared = table.where("scope is null").first().parts
+        own = F.broadcast(table.where("scope is not null").select(F.col("scope").alias("_scope"), F.col("first").alias("_first"), F.col("parts").alias("_parts")))
+        spread = F.col("_first") + F.pmod(F.xxhash64(*(keys[1:] or keys)), F.col("_parts"))
+        part = F.when(F.col("_first").isNull(), F.pmod(F.xxhash64(keys[0]), F.lit(shared))).otherwise(spread)
+        joined = df.withColumn("_scope", F.xxhash64(keys[0]).cast("string")).join(own, "_scope", "left")
+        return joined.withColumn("_part", part.cast("int")).drop("_scope", "_first", "_parts")
+
+    def _prints(self, inputs: dict[str, DataFrame], keys: tuple[str, ...], layout: str, name: str) -> DataFrame:
+        every = [fingerprints(self._placed(df, keys, layout), source, F.col("_part")) for source, df in inputs.items()]
+        reduce(DataFrame.unionByName, every).write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(FINGERPRINTS).parquet(f"{self.root}/{name}")
 
     def refresh(self, inputs: dict[str, DataFrame], keys: tuple[str, ...], compute: Callable[..., DataFrame], changed_only: bool = False) -> DataFrame:
         """Brings the table up to date and returns it.
 
         inputs: name -> DataFrame with the key columns; compute gets the inputs, reduced to the changed partitions, by name and returns
         rows that hold the key columns. With changed_only, returns just the partitions recomputed in this run. Null keys form an
-        ordinary key; empty inputs leave empty partitions.
+        ordinary key; empty inputs give an empty table, at the first refresh too.
         """
-        part = partition_of(self.buckets, *keys)
-        prints = [fingerprints(df, name, part) for name, df in inputs.items()]
-        generation = f"{uuid.uuid4().hex}"
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("."))]
-        number = 1 + max([int(n.split("-")[1]) for n in names if n.startswith("done-")], default=0)
-        tag = f"{number:012d}-{generation}"
-        reduce(DataFrame.unionByName, prints).select("part", "source", "n", "sum_a", "sum_b").write.parquet(f"{self.root}/prints-{tag}")
-        now = self.spark.read.schema(FINGERPRINTS).parquet(f"{self.root}/prints-{tag}")
-        old = self._published()
-        differs = now.alias("x").join(old.alias("y"), ["part", "source"], "full_outer").where(
-            ~(F.col("x.n").eqNullSafe(F.col("y.n")) & F.col("x.sum_a").eqNullSafe(F.col("y.sum_a")) & F.col("x.sum_b").eqNullSafe(F.col("y.sum_b")))
-        )
-        # at most one row per partition of a fixed number of partitions
-        changed = sorted(r[0] for r in differs.select("part").distinct().limit(self.buckets + 1).collect())
-        schema = None
-        if changed:
-            rows = compute(**{name: df.where(part.isin(changed)) for name, df in inputs.items()})
-            rows = rows.withColumns({"_marker": F.lit(False), "_part": part})
-            markers = self.spark.createDataFrame([(p,) for p in changed], "_part int").withColumn("_marker", F.lit(True))
-            out = rows.unionByName(markers, allowMissingColumns=True).repartition(len(changed), "_part")
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.root}/rows")
-            schema = StructType([f for f in rows.schema.fields if f.name not in ("_marker", "_part")])
-        self._fs.create(self._path(f"done-{tag}"), True).close()
-        table = self.spark.read.parquet(f"{self.root}/rows") if schema is None else self.spark.read.schema(
-            StructType([*schema.fields, StructField("_marker", BooleanType())]).add("_part", IntegerType())
-        ).parquet(f"{self.root}/rows")
-        if changed_only:
-            table = table.where(F.col("_part").isin(changed))
+        last, intents = self._last(), self._names("intent-")
+        number = last["number"] + 1 if last else 1
+        tag = f"{number:012d}-{uuid.uuid4().hex}"
+        layout = last["layout"] if last else f"layout-{tag}"
+        laid = last["rows"] if last else self._lay_out(inputs, keys, layout)
+        now = self._prints(inputs, keys, layout, f"prints-{tag}")
+        total = now.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not self.buckets and total > GROWTH * max(laid, self.part_rows):
+            tag, last = f"{number:012d}-{uuid.uuid4().hex}", None
+            layout = f"layout-{tag}"
+            laid = self._lay_out(inputs, keys, layout)
+            now = self._prints(inputs, keys, layout, f"prints-{tag}")
+        old = self.spark.read.schema(FINGERPRINTS).parquet(f"{self.root}/{last['prints']}") if last else self.spark.createDataFrame([], FINGERPRINTS)
+        same = reduce(lambda p, q: p & q, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("n", "a", "b", "c", "d")))
+        differs = now.alias("x").join(old.alias("y"), ["part", "source"], "full_outer").where(~same)
+        # at most one number per partition
+        changed = {r[0] for r in differs.select("part").distinct().collect()}
+        for n in intents:
+            left = self._get(n)
+            changed |= set(left["parts"]) if left["layout"] == layout else set()
+        parts = sorted(changed)
+        name, schema = layout.replace("layout", "rows"), last["schema"] if last else None
+        if parts:
+            chosen = {k: self._placed(df, keys, layout).where(F.col("_part").isin(parts)).drop("_part") if last else df for k, df in inputs.items()}
+            rows = compute(**chosen)
+            schema = rows.schema.json()
+            self._put(f"intent-{tag}", {"layout": layout, "parts": parts})
+            rows = self._placed(rows, keys, layout).withColumn("_marker", F.lit(False))
+            markers = self.spark.createDataFrame([(p,) for p in parts], "_part int").withColumn("_marker", F.lit(True))
+            out = rows.unionByName(markers, allowMissingColumns=True).repartition(len(parts), "_part")
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.root}/{name}")
+        elif schema is None:
+            schema = compute(**{k: df.where("false") for k, df in inputs.items()}).schema.json()
+        self._put(f"done-{tag}", {"layout": layout, "prints": f"prints-{tag}", "rows": laid, "schema": schema, "buckets": self.buckets})
+        kept = {f"prints-{tag}", layout, name, f"done-{tag}"}
+        for n in [x for kind in ("intent-", "prints-", "layout-", "rows-", "done-") for x in self._names(kind)]:
+            if n not in kept:
+                remove(self.spark, f"{self.root}/{n}")
+        shape = StructType.fromJson(json.loads(schema))
+        if not self._fs.exists(self._path(name)):
+            return self.spark.createDataFrame([], shape)
+        extra = [StructField("_marker", BooleanType()), StructField("_part", IntegerType())]
+        table = self.spark.read.schema(StructType([*shape.fields, *extra])).parquet(f"{self.root}/{name}")
+        table = table.where(F.col("_part").isin(parts)) if changed_only else table
         return table.where(~F.col("_marker")).drop("_marker", "_part")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +36,14 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    table = I.IncrementalTable(spark, f"{shared_dir(spark)}/pending-{uuid.uuid4().hex}")
-    done = I.refresh_pending(table, _t(spark, d, "file_changes"), _t(spark, d, "file_hashes"), _t(spark, d, "index_runs"))
-    return done.select("project", "rel_path", "action")
+    """Two refreshes of the table kept for this folder: with what was there when the newest run began, then with everything. The second,
+    like that of a later call, recomputes only the partitions with changes since."""
+    changes, hashes, runs = (_t(spark, d, n) for n in ("file_changes", "file_hashes", "index_runs"))
+    table = I.IncrementalTable(spark, f"{shared_dir(spark)}/pending-{hashlib.sha256(d.encode()).hexdigest()[:16]}")
+    newest = runs.agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"), F.max("started_at").alias("began")).first()
+    if newest.run_id is not None and newest.began is not None:
+        I.refresh_pending(table, changes.where(F.col("ts") < F.lit(newest.began)), hashes.where(F.col("run_id") != newest.run_id), runs.where(F.col("run_id") != newest.run_id))
+    return I.refresh_pending(table, changes, hashes, runs).select("project", "rel_path", "action")
 
 
 def p6_projects(spark: SparkSession, d: str) -> DataFrame:

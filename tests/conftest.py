@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from sedimenta.plans.workspace import close_workspaces  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,4 +22,5 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    close_workspaces()
     s.stop()

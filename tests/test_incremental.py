@@ -57,3 +57,55 @@ def test_fingerprints_ignore_order_not_copies(spark):
     prints = lambda d: sorted(map(tuple, fingerprints(d, "s", partition_of(2, "k")).collect()))
     assert prints(one) == prints(other)
     assert prints(one) != prints(one.union(one.limit(1)))
+
+
+def test_a_run_that_dies_after_the_overwrite_leaves_no_stale_rows(spark, tmp_path, monkeypatch):
+    schema = "project string, rel_path string, v int"
+    data = lambda v: {"data": spark.createDataFrame([("p", "a", v), ("q", "b", 7)], schema)}
+    work = lambda data: data.withColumn("double", data.v * 2)
+    for kind in ({}, {"buckets": 4}):
+        root = f"file://{tmp_path}/t{len(kind)}"
+        assert {r.v for r in IncrementalTable(spark, root, **kind).refresh(data(1), ("project", "rel_path"), work).collect()} == {1, 7}
+        table = IncrementalTable(spark, root, **kind)
+        put = table._put
+
+        def dies(name, content):
+            if name.startswith("done-"):
+                raise RuntimeError("lost")
+            put(name, content)
+
+        monkeypatch.setattr(table, "_put", dies)
+        with pytest.raises(RuntimeError):
+            table.refresh(data(2), ("project", "rel_path"), work)
+        assert {r.v for r in IncrementalTable(spark, root, **kind).refresh(data(1), ("project", "rel_path"), work).collect()} == {1, 7}
+        assert {(r.v, r.double) for r in IncrementalTable(spark, root, **kind).refresh(data(2), ("project", "rel_path"), work).collect()} == {(2, 4), (7, 14)}
+        assert sum(n.startswith(("done-", "intent-", "prints-")) for n in (x.name for x in (tmp_path / f"t{len(kind)}").iterdir())) == 2
+
+
+def test_first_refresh_on_empty_inputs(spark, tmp_path):
+    schema = "project string, rel_path string, v int"
+    table = IncrementalTable(spark, f"file://{tmp_path}/t")
+    first = table.refresh({"data": spark.createDataFrame([], schema)}, ("project", "rel_path"), lambda data: data.withColumn("double", data.v * 2))
+    assert first.columns == ["project", "rel_path", "v", "double"] and first.count() == 0
+    rows = [("p", "a", 1)]
+    assert table.refresh({"data": spark.createDataFrame(rows, schema)}, ("project", "rel_path"), lambda data: data.withColumn("double", data.v * 2)).count() == 1
+
+
+def test_partitions_follow_scopes_and_size(spark, tmp_path):
+    schema, seen = "project string, rel_path string, v int", []
+
+    def work(data):
+        seen.append({r.project for r in data.select("project").distinct().collect()})
+        return data
+
+    rows = [("big", f"f{i}", i) for i in range(120)] + [(f"p{k}", f"f{i}", i) for k in range(60) for i in range(2)] + [(None, None, 0)]
+    table = IncrementalTable(spark, f"file://{tmp_path}/t", part_rows=20)
+    refresh = lambda rows: table.refresh({"data": spark.createDataFrame(rows, schema)}, ("project", "rel_path"), work)
+    assert refresh(rows).count() == len(rows)
+    small = [(p, f, v + (p == "p7")) for p, f, v in rows]
+    assert refresh(small).count() == len(rows) and "p7" in seen[-1] and len(seen[-1]) < 30 and "big" not in seen[-1]
+    big = [(p, f, v + (f == "f100")) for p, f, v in small]
+    assert sorted(map(str, refresh(big).collect())) == sorted(map(str, spark.createDataFrame(big, schema).collect())) and seen[-1] == {"big"}
+    grown = big + [(f"n{i}", "x", i) for i in range(1000)]
+    assert refresh(grown).count() == len(grown) and len(seen[-1]) > 1000
+    assert refresh(grown).count() == len(grown) and len(seen) == 4

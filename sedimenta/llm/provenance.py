@@ -21,7 +21,7 @@ _LOCK = re.compile(
     r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.ya?ml|bun\.lockb?|composer\.lock|Gemfile\.lock|Cargo\.lock|poetry\.lock|uv\.lock|pdm\.lock|Pipfile\.lock|go\.sum|mix\.lock|pubspec\.lock|Podfile\.lock|packages\.lock\.json|flake\.lock|gradle\.lockfile|deno\.lock)$"
 )
 _GENERATED_NAME = re.compile(
-    r"(?:^|/)[^/]*(?:_pb2(?:_grpc)?\.pyi?|\.pb(?:\.gw|\.validate)?\.(?:go|cc|h|rs|ts|js|java)|_grpc\.pb\.go|\.g\.(?:dart|cs|ts|js)|\.designer\.cs|\.freezed\.dart|[._-]generated\.\w+|[._-]gen\.\w+|\.auto\.\w+|_autogen\.\w+|_string\.go|\.twirp\.go|zz_generated[^/]*|bindata\.go|mock_[^/]+_generated\.go|[^/]*OuterClass\.java|[^/]*Grpc\.java)$"
+    r"(?:^|/)[^/]*(?:_pb2(?:_grpc)?\.pyi?|\.pb(?:\.gw|\.validate)?\.(?:go|cc|h|rs|ts|js|java)|_grpc\.pb\.go|\.g\.(?:dart|cs|ts|js)|\.designer\.cs|\.freezed\.dart|[._-]generated\.\w+|[._-]gen\.\w+|\.auto\.\w+|_autogen\.\w+|_string\.go|\.twirp\.go|zz_generated[^/]*|bindata\.go|mock_[^/]+_generated\.go|[^/]*OuterClass\.java|[^/]*Grpc\.java|_pb(?:_service)?\.(?:d\.)?(?:ts|js|mjs|rb|go))$"
     r"|(?:^|/)(?:generated|autogen|auto[-_]generated|gen|__generated__|generated[-_]sources|generated[-_]src|\.generated|_generated|codegen[-_]out(?:put)?|gen-(?:go|py|js|java|src)|auto_gen|generated[-_]code)/",
     re.I,
 )
@@ -31,7 +31,7 @@ _VENDORED_PATH = re.compile(
     re.I,
 )
 _BANNER = re.compile(
-    r"^\W*(?:code\s+generated\b.*(?:do not edit|by\b).*|(?:this|the following) (?:file|code|module|class|source)\b.{0,40}\b(?:is|was|has been)\b.{0,25}\bgenerated\b.*|auto-?\s?generated\b(?!\s*:\s*(?:no|false)).*|automatically\s+generated\b.*|<auto-?generated\b.*|@generated\b(?:\s*$|\s+(?:by|from|with|signedsource|<).*)|generated\s+(?:by|from|with|using|automatically|code|file|source)\b.*"
+    r"^\W*(?:code\s+generated\b.*(?:do not edit|by\b).*|(?:this|the following) (?:file|code|module|class|source)\b.{0,40}\b(?:is|was|has been)\b.{0,25}\bgenerated\b.*|auto-?\s?generated\b(?!\s*:\s*(?:no|false)).*|automatically\s+(?:generated|produced|created|built|written|derived|compiled)\b.*|(?:created|produced|emitted|written|compiled)\s+(?:by|with|from)\b.*(?:codegen|code generator|generator\b|compiler\b|protoc\b|\.(?:proto|idl|xsd|graphql|thrift|avsc|wsdl|fbs)\b).*|source:\s*\S+\.(?:proto|idl|xsd|graphql|thrift|avsc|wsdl|fbs)|(?:any |all )?(?:manual |local )?(?:edits|changes|modifications)\b.{0,40}\b(?:lost|overwritten)\b.*|<auto-?generated\b.*|@generated\b(?:\s*$|\s+(?:by|from|with|signedsource|<).*)|generated\s+(?:by|from|with|using|automatically|code|file|source)\b.*"
     r"|machine[- ]generated\b.*|do not (?:edit|modify)\b.*(?:generated|overwrit|changes will)|diese datei wurde\b.*(?:erzeugt|generiert).*|(?:ce )?fichier\b.*\bg[ée]n[ée]r[ée].*|(?:este )?(?:archivo|fichero|arquivo)\b.*\b(?:generado|gerado).*|(?:этот )?файл\b.*сгенерирован.*|.*(?:自動生成|自动生成).*)\W*$",
     re.I,
 )
@@ -49,6 +49,9 @@ _NUMBERS = re.compile(r"(?=[-+\d])(?:[-+]?(?:0[xX][\da-fA-F]+|\d[\d_]*(?:\.\d+)?
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/=_%-])(?=[^\s\"'`]*\d)(?:[A-Za-z0-9+/=_%-]|\\x[\da-fA-F]{2}){40,}")
 _VALUE = r"(?:[-+]?[\d.]+[a-zA-Z]?|\"[^\"]*\"|'[^']*'|0x[\da-fA-F]+)"
 _ROW = re.compile(rf"\s*[\[{{(]?\s*{_VALUE}(?:\s*,\s*{_VALUE}){{3,}}\s*,?\s*[\])}}]?\s*,?\s*")
+_ENTRY = re.compile(rf"\s*(?:{_VALUE}\s*(?::|=>)\s*)?[\[({{]?\s*{_VALUE}(?:\s*,\s*{_VALUE})*\s*[\])}}]?\s*,?\s*")
+_ENTRY_STARTS = frozenset("\"'[({-0123456789")
+_ENTRIES = 8  # so many lines of one form in a row are a table
 _TOKENS = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|[^\w\s]")
 PROGRAMS = ("python", "javascript", "typescript", "go", "java", "rust", "shell")
 
@@ -88,13 +91,32 @@ def minified(text: str) -> bool:
     return sum(map(len, dense)) > 0.6 * size
 
 
+def _table_rows(lines: list[str]) -> int:
+    """The size of the lines that are rows of literals: of four or more, or in a row of lines of one form with numbers."""
+    size = run = 0
+    form, pending = None, 0
+    for line in [*lines, ""]:
+        this = None
+        if line.lstrip()[:1] in _ENTRY_STARTS and _ENTRY.fullmatch(line):
+            bare = _STRING.sub("s", line)
+            this = (bare.count(","), ":" in bare or "=>" in bare) if any(map(str.isdigit, bare)) else None
+        if this is None or this != form:
+            size += pending if run >= _ENTRIES else 0
+            form, run, pending = this, 0, 0
+        if this is not None and not _ROW.fullmatch(line):
+            run += 1
+            pending += len(line) + 1
+        elif _ROW.fullmatch(line):
+            size += len(line) + 1
+    return size
+
+
 def data_share(text: str) -> float:
     """The share of a text that is numbers in lists, rows of literals or encoded blobs."""
     size = len(text)
     numbers = sum(len(m.group()) for m in _NUMBERS.finditer(text))
     blobs = sum(len(m.group()) for m in _BLOB.finditer(text))
-    rows = sum(len(x) + 1 for x in text.split("\n") if _ROW.fullmatch(x))
-    return max(numbers, rows) / size + blobs / size if size else 0.0
+    return max(numbers, _table_rows(text.split("\n"))) / size + blobs / size if size else 0.0
 
 
 def mostly_data(text: str) -> bool:

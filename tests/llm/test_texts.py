@@ -30,6 +30,19 @@ def test_kinds():
     assert kind("", "", None) is None
 
 
+def test_banners_and_tables_of_other_forms():
+    kind = P.kind_of
+    for banner in ("Automatically produced from the x schema at build time. Manual edits are lost.", "Created by x-idl-codegen 8.8.8 (y.idl)", "source: a/b.proto", "Any manual changes to this file will be overwritten"):
+        assert kind("a.py", f"# {banner}\n" + CODE, "python") == "generated", banner
+    for remark in ("created by bob, see the generators folder", "source: the wiki", "edits go through review", "skips what was automatically created by tools"):
+        assert kind("a.py", f"# {remark}\n" + CODE, "python") is None, remark
+    assert kind("a/b_pb.ts", CODE, "typescript") == "generated" and kind("a/b_pbx.ts", CODE, "typescript") is None
+    assert kind("a.js", "module.exports = {\n" + "".join(f'  "{i:X}A": {i * 37},\n' for i in range(90)) + "};\n", "javascript") == "data"
+    assert kind("a.py", "t = {\n" + "".join(f'    "k{i}": ({i}, {i}.5, 2.{i}),\n' for i in range(90)) + "}\n", "python") == "data"
+    assert kind("a.py", "t = {\n" + "".join(f'    "k{i}": name_{i}({i}),\n' for i in range(90)) + "}\n", "python") is None
+    assert kind("a.js", "module.exports = {\n" + '  "a": 1,\n  "b": "text",\n  "c": [\n    true\n  ],\n' * 20 + "};\n", "javascript") is None
+
+
 def test_banners_below_long_licences():
     licence = [f"Permission is granted, part {i} of the licence." for i in range(28)]
     lines = lambda mark, banner: "\n".join(f"{mark} {x}" for x in [*licence, "", banner]) + "\n\n"

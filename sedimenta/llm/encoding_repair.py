@@ -5,6 +5,9 @@ read as has a state of its own. A state emits a text with the probability that a
 the state's inverse transform, and it can emit only what its encoding pair can have produced. So all emissions come from one model, which
 is trained on the collection itself: first on all texts, then again on the characters labelled clean. Viterbi decoding runs on spans: a
 span that a pair can have produced is one step, all else between spans is the same in every state.
+
+Most texts are clean, and their runs of characters beyond ASCII recur. So the gains of a run under all pairs are worked out once and kept,
+and only a text whose gains add up to what a state costs is decoded; for all others the clean state is known to be the best path.
 """
 
 from __future__ import annotations
@@ -12,9 +15,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -134,6 +137,7 @@ PAIRS = tuple(
 _WIDE = re.compile("[぀-ヿ㐀-鿿가-힣豈-﫿＀-￯]")
 
 
+@cache
 def _class(c: str) -> str:
     """The context class of a character: itself, or its kind for ASCII and for the large scripts."""
     o = ord(c)
@@ -144,18 +148,32 @@ def _class(c: str) -> str:
     return c if o < 0x10000 else "E"
 
 
-def _counts(text: str) -> Counter:
+_RUN = re.compile(r"[^\x00-\x7f]+")
+_FRAMED = re.compile(r"(?:[\x00-\x7f])?[^\x00-\x7f]+[\x00-\x7f]?")
+_ASCII_CLASSES = bytes(ord(_class(chr(i))) if i < 128 else 0 for i in range(256))
+
+
+def _counts(texts: Iterable[str]) -> Counter:
     """Counts of class pairs, each at least partly beyond ASCII or a start of such, and of characters."""
+    framed: Counter = Counter()
+    plain: Counter = Counter()
+    for text in texts:
+        text = f" {text} "
+        framed.update(_FRAMED.findall(text))
+        kinds = text.encode("ascii", "ignore").translate(_ASCII_CLASSES)
+        for k in b"aA0 .":
+            plain[chr(k)] += kinds.count(k)
     out: Counter = Counter()
-    text = f" {text} "
-    for m in re.finditer(r"(?:[\x00-\x7f])?[^\x00-\x7f]+[\x00-\x7f]?", text):
-        s = m.group()
+    for s, n in framed.items():
         cls = [_class(c) for c in s]
-        out.update(zip(cls, cls[1:]))
-        out.update(("", c) for c in s if ord(c) > 127)
-    plain = Counter(map(_class, re.sub(r"[^\x00-\x7f]", "", text)))
+        for pair in zip(cls, cls[1:]):
+            out[pair] += n
+        for c in s:
+            if ord(c) > 127:
+                out["", c] += n
     for k, n in plain.items():
-        out[k, "*"] += n
+        if n:
+            out[k, "*"] += n
     return out
 
 
@@ -233,18 +251,74 @@ def _on_purpose(text: str, lo: int, hi: int, restored: str | None = None) -> boo
     return re.search(mark + "$", line[: lo - start]).group() + restored + re.match(mark, line[hi - start :]).group() in line
 
 
+_LATIN_CARRIED = [k for k, p in enumerate(PAIRS) if p.true in ("gbk", "big5", "cp932", "euc_jp")]  # their trail bytes may be ASCII
+_HOLED = [k for k, p in enumerate(PAIRS) if p.true == "utf-8" and p.read == "latin"]  # a question mark may stand for a lost byte
+_INSIDE = [k for k in range(len(PAIRS)) if k not in _LATIN_CARRIED]  # what they produce lies within a run beyond ASCII, but for holes
+_HOLE = re.compile(r"[^\x00-\x7f]\?")
+_KEPT = 100_000
+
+
 class Decoder:
     """Labels and restores one text at a time."""
 
     def __init__(self, model: CharacterModel):
         self.model, self.gains = model, {}
         self.suspect = re.compile(r"[^\x00-\x7f]")
+        mapped = {c for k in _INSIDE if not PAIRS[k].wide_carrier for c, b in PAIRS[k].to_byte.items() if b > 127}
+        self.mapped = re.compile("[" + "".join(map(re.escape, sorted(mapped))) + "]")
+        self.carried = PAIRS[_LATIN_CARRIED[0]].pattern
+        self.wide = [k for k in _INSIDE if PAIRS[k].wide_carrier]
+        self.runs: dict[tuple, dict[int, float]] = {}
+        self.pieces: dict[tuple, dict[int, float]] = {}
+
+    def _gains_of(self, known: dict, pairs: list[int], s: str, left: str, right: str) -> dict[int, float]:
+        """By pair the sum of the positive gains of the spans in s, where it is above 0."""
+        key = (s, left, right)
+        got = known.get(key)
+        if got is None:
+            got = {}
+            for k in pairs:
+                total = 0.0
+                for m in PAIRS[k].pattern.finditer(s):
+                    lo, hi = m.span()
+                    total += max(0.0, self._gain(k, m.group(), s[lo - 1] if lo else left, s[hi] if hi < len(s) else right)[1])
+                if total > 0:
+                    got[k] = total
+            if len(known) > _KEPT:
+                known.clear()
+            known[key] = got
+        return got
+
+    def promising(self, text: str) -> list[int]:
+        """The pairs whose gains in the text are more than entering and leaving their state costs."""
+        total: dict[int, float] = {}
+        end = len(text)
+        latin = False
+        for m in _RUN.finditer(text):
+            s = m.group()
+            lo, hi = m.span()
+            if self.mapped.search(s):
+                pairs, latin = _INSIDE, True
+            elif len(s) > 1:
+                pairs = self.wide
+            else:
+                continue
+            for k, gain in self._gains_of(self.runs, pairs, s, _plain(text[lo - 1]) if lo else " ", _plain(text[hi]) if hi < end else " ").items():
+                total[k] = total.get(k, 0.0) + gain
+        for m in self.carried.finditer(text) if latin else ():
+            lo, hi = m.span()
+            for k, gain in self._gains_of(self.pieces, _LATIN_CARRIED, m.group(), text[lo - 1] if lo else " ", text[hi] if hi < end else " ").items():
+                total[k] = total.get(k, 0.0) + gain
+        found = {k for k, gain in total.items() if gain > 2 * PAIRS[k].cost}
+        if _HOLE.search(text):
+            found |= set(_HOLED)
+        return sorted(found)
 
     def spans(self, text: str) -> list[tuple[int, int, int, float, str]]:
         """Labelled spans of one pass: start, end, number of the pair, gain in nats, restored text."""
         found = []
-        for k, pair in enumerate(PAIRS):
-            own = []
+        for k in self.promising(text):
+            pair, own = PAIRS[k], []
             for m in pair.pattern.finditer(text):
                 lo, hi = m.span()
                 restored, gain = self._gain(k, m.group(), text[lo - 1] if lo else " ", text[hi] if hi < len(text) else " ")
@@ -331,38 +405,53 @@ def _lost_letters(text: str) -> list[str]:
     return words if len(words) > 1 else []
 
 
+def _plain(c: str) -> str:
+    """One character for all ASCII characters of a class: as neighbours they score alike."""
+    return _class(c) if c < "\x80" else c
+
+
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: Counter = Counter()
     for b in batches:
-        for text in b["text"]:
-            total.update(_counts(text))
+        total.update(_counts(b["text"]))
     yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["a", "b", "n"])
 
 
-def _train(texts: DataFrame) -> CharacterModel:
-    """Counts over all texts, added map-side and then by key. The result has an entry per pair of character classes that occurs; these
-    and the characters are bounded by Unicode, not by the collection."""
-    rows = texts.mapInPandas(_count_batches, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return CharacterModel([tuple(r) for r in rows.collect()])
+def _summed(counts: DataFrame) -> Counter:
+    """Counts added map-side and by key. There is an entry per pair of character classes that occurs; these and the characters are bounded
+    by Unicode, not by the collection."""
+    return Counter({(r.a, r.b): r.n for r in counts.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").collect()})
+
+
+def _model(counts: Counter) -> CharacterModel:
+    return CharacterModel([(a, b, n) for (a, b), n in counts.items() if n > 0])
 
 
 def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each garbled text: the id, restored (the text with what could be restored), complete (nothing was lost) and pairs.
 
-    Other columns are ignored; null, empty and pure ASCII texts are never garbled; repeated rows give repeated results. Characters quoted
-    on purpose are left as they are.
+    The second model is that of all texts as the first one repairs them; as only repaired texts change, their counts before are taken off
+    and those after added. Other columns are ignored; null, empty and pure ASCII texts are never garbled; repeated rows give repeated
+    results. Characters quoted on purpose are left as they are.
     """
     ws = Workspace(documents.sparkSession, "encoding")
     kind = documents.schema[id_col].dataType
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(r"text is not null and text rlike '[^\\x00-\\x7f]|[A-Za-z][?]+[A-Za-z]'")
-    first = _train(texts)
+    counts = _summed(texts.select("text").mapInPandas(_count_batches, "a string, b string, n long"))
+    first = _model(counts)
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(first)
+        total: Counter = Counter()
         for b in batches:
-            yield pd.DataFrame({"text": [decoder(t)[1] for t in b["text"]]})
-
-    second = _train(texts.select("text").mapInPandas(clean, "text string"))
+            pairs = [(text, decoder(text)[1]) for text in b["text"]]
+            changed = [(x, y) for x, y in pairs if x != y]
+            total.update(_counts(y for _, y in changed))
+            total.subtract(_counts(x for x, _ in changed))
+        yield pd.DataFrame([(a, b, n) for (a, b), n in total.items() if n], columns=["a", "b", "n"])
+
+    counts.update(_summed(texts.select("text").mapInPandas(changes, "a string, b string, n long")))
+    second = _model(counts)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(second)

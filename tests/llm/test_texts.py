@@ -293,3 +293,20 @@ def test_encoding_repair(spark):
     assert set(got) == {*wanted, 2006}
     assert {i: got[i].restored for i in wanted} == wanted and not got[2006].complete
     assert E.repair_encoding(docs.where("false")).count() == 0
+
+
+def test_pairs_left_out_gain_nothing():
+    r = random.Random(9)
+    words = "été élève naïve größer Straße straße? może łódź señal mañana привет Её мир данных データ処理 日本語 数据 处理 plain text x=1 “quoted” — 😀".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(150)]
+    for t in list(texts):
+        for true, read in (("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1251"), ("koi8-r", "cp1251"), ("cp1251", "latin-1"), ("gbk", "latin-1"), ("utf-8", "gbk"), ("cp1250", "cp1252")):
+            cut = r.randint(0, len(t))
+            texts.append(t[:cut] + t[cut:].encode(true, "ignore").decode(read, "replace"))
+    decoder = E.Decoder(E._model(E._counts(texts)))
+    for t in texts:
+        kept = set(decoder.promising(t))
+        for k, pair in enumerate(E.PAIRS):
+            spans = [(m.group(), t[m.start() - 1] if m.start() else " ", t[m.end()] if m.end() < len(t) else " ") for m in pair.pattern.finditer(t)]
+            gain = sum(max(0.0, decoder._gain(k, *s)[1]) for s in spans)
+            assert k in kept or gain <= 2 * pair.cost + 1e-6, (t, pair.name)

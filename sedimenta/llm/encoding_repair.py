@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def _class(c: str) -> str:
     return c if o < 0x10000 else "E"
 
 
-_RUN = re.compile(r"[^\x00-\x7f]+")
+_RUN = re.compile(r"([^\x00-\x7f]+)")
 _FRAMED = re.compile(r"(?:[\x00-\x7f])?[^\x00-\x7f]+[\x00-\x7f]?")
 _ASCII_CLASSES = bytes(ord(_class(chr(i))) if i < 128 else 0 for i in range(256))
 
@@ -263,52 +264,41 @@ class Decoder:
 
     def __init__(self, model: CharacterModel):
         self.model, self.gains = model, {}
-        self.suspect = re.compile(r"[^\x00-\x7f]")
         mapped = {c for k in _INSIDE if not PAIRS[k].wide_carrier for c, b in PAIRS[k].to_byte.items() if b > 127}
         self.mapped = re.compile("[" + "".join(map(re.escape, sorted(mapped))) + "]")
-        self.carried = PAIRS[_LATIN_CARRIED[0]].pattern
+        self.carried = re.compile(f"({PAIRS[_LATIN_CARRIED[0]].pattern.pattern})")
         self.wide = [k for k in _INSIDE if PAIRS[k].wide_carrier]
-        self.runs: dict[tuple, dict[int, float]] = {}
-        self.pieces: dict[tuple, dict[int, float]] = {}
-
-    def _gains_of(self, known: dict, pairs: list[int], s: str, left: str, right: str) -> dict[int, float]:
-        """By pair the sum of the positive gains of the spans in s, where it is above 0."""
-        key = (s, left, right)
-        got = known.get(key)
-        if got is None:
-            got = {}
-            for k in pairs:
-                total = 0.0
-                for m in PAIRS[k].pattern.finditer(s):
-                    lo, hi = m.span()
-                    total += max(0.0, self._gain(k, m.group(), s[lo - 1] if lo else left, s[hi] if hi < len(s) else right)[1])
-                if total > 0:
-                    got[k] = total
-            if len(known) > _KEPT:
-                known.clear()
-            known[key] = got
+        self.runs: dict[tuple[str, str, str], dict[int, float]] = {}
+        self.pieces: dict[tuple[str, str, str], dict[int, float]] = {}
+
+    def _gains_of(self, key: tuple[str, str, str], pairs: list[int]) -> dict[int, float]:
+        """By pair the sum of the positive gains of the spans in key's middle, where it is above 0."""
+        left, s, right = key
+        left, right, got = left or " ", right or " ", {}
+        for k in pairs:
+            total = 0.0
+            for m in PAIRS[k].pattern.finditer(s):
+                lo, hi = m.span()
+                total += max(0.0, self._gain(k, m.group(), s[lo - 1] if lo else left, s[hi] if hi < len(s) else right)[1])
+            if total > 0:
+                got[k] = total
         return got
 
     def promising(self, text: str) -> list[int]:
         """The pairs whose gains in the text are more than entering and leaving their state costs."""
         total: dict[int, float] = {}
-        end = len(text)
-        latin = False
-        for m in _RUN.finditer(text):
-            s = m.group()
-            lo, hi = m.span()
-            if self.mapped.search(s):
-                pairs, latin = _INSIDE, True
-            elif len(s) > 1:
-                pairs = self.wide
-            else:
-                continue
-            for k, gain in self._gains_of(self.runs, pairs, s, _plain(text[lo - 1]) if lo else " ", _plain(text[hi]) if hi < end else " ").items():
-                total[k] = total.get(k, 0.0) + gain
-        for m in self.carried.finditer(text) if latin else ():
-            lo, hi = m.span()
-            for k, gain in self._gains_of(self.pieces, _LATIN_CARRIED, m.group(), text[lo - 1] if lo else " ", text[hi] if hi < end else " ").items():
-                total[k] = total.get(k, 0.0) + gain
+        for known, parts, latin in ((self.runs, _RUN.split(text), False), (self.pieces, self.carried.split(text), True)):
+            for i in range(1, len(parts), 2):
+                key = parts[i - 1][-1:], parts[i], parts[i + 1][:1]
+                gains = known.get(key)
+                if gains is None:
+                    if len(known) > _KEPT:
+                        known.clear()
+                    pairs = _LATIN_CARRIED if latin else _INSIDE if self.mapped.search(key[1]) else self.wide
+                    gains = known[key] = self._gains_of(key, pairs)
+                if gains:
+                    for k, gain in gains.items():
+                        total[k] = total.get(k, 0.0) + gain
         found = {k for k, gain in total.items() if gain > 2 * PAIRS[k].cost}
         if _HOLE.search(text):
             found |= set(_HOLED)
@@ -347,7 +337,8 @@ class Decoder:
         borders = sorted({0, len(text), *(x[0] for x in found), *(x[1] for x in found)})
         place = {b: i for i, b in enumerate(borders)}
         steps = len(borders) - 1
-        foreign = [len(self.suspect.findall(text, borders[i], borders[i + 1])) for i in range(steps)]
+        before = np.concatenate([[0], np.cumsum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) > 127)])
+        foreign = np.diff(before[borders]).tolist()
         gains = {k: [-8.0 * n for n in foreign] for k in states}
         for lo, hi, k, gain, _ in found:
             for i in range(place[lo], place[hi]):
@@ -399,17 +390,17 @@ class Decoder:
         return bool(names), fixed, not lost, names
 
 
+_MARKS = re.compile(r"\?+")
+
+
 def _lost_letters(text: str) -> list[str]:
     """Words with question marks in the place of letters; at least two such words make a case."""
+    if sum(text[m.start() - 1 : m.start()].isalpha() and text[m.end() : m.end() + 1].isalpha() for m in _MARKS.finditer(text)) < 2:
+        return []
     words = [w for w in re.findall(r"(?<![\w?/&.=`(])[^\W\d_]+(?:\?{1,3}[^\W\d_]+)+(?![\w?/.=:(`])", text)]
     return words if len(words) > 1 else []
 
 
-def _plain(c: str) -> str:
-    """One character for all ASCII characters of a class: as neighbours they score alike."""
-    return _class(c) if c < "\x80" else c
-
-
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: Counter = Counter()
     for b in batches:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from functools import cache, cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -339,29 +339,28 @@ class Decoder:
         steps = len(borders) - 1
         before = np.concatenate([[0], np.cumsum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) > 127)])
         foreign = np.diff(before[borders]).tolist()
-        gains = {k: [-8.0 * n for n in foreign] for k in states}
+        number = {k: j for j, k in enumerate(states)}
+        gains = [[-8.0 * n] * len(states) for n in foreign]
         for lo, hi, k, gain, _ in found:
+            j, rate = number[k], gain / (hi - lo)
             for i in range(place[lo], place[hi]):
-                gains[k][i] = gain * (borders[i + 1] - borders[i]) / (hi - lo)
-        cost = {k: PAIRS[k].cost for k in states}
-        best = {None: 0.0} | {k: -cost[k] for k in states}
+                gains[i][j] = rate * (borders[i + 1] - borders[i])
+        cost = [PAIRS[k].cost for k in states]
+        clean, best = 0.0, [-c for c in cost]
         back = []
-        for i in range(steps):
-            top = max(states, key=lambda k: best[k] - cost[k])
-            new, came = {}, {}
-            clean, leave = best[None], best[top] - cost[top]
-            new[None], came[None] = (clean, None) if clean >= leave else (leave, top)
-            for k in states:
-                stay, enter = best[k], clean - cost[k]
-                v, came[k] = (stay, k) if stay >= enter else (enter, None)
-                new[k] = v + gains[k][i]
-            best = new
-            back.append(came)
-        state = max(best, key=lambda k: best[k] - (0 if k is None else cost[k]))
+        for row in gains:
+            leave, top = max((b - c, -j) for j, (b, c) in enumerate(zip(best, cost)))
+            entered = [b < clean - c for b, c in zip(best, cost)]
+            best = [(clean - c if e else b) + g for b, c, e, g in zip(best, cost, entered, row)]
+            back.append((-1 if clean >= leave else -top, entered))
+            clean = max(clean, leave)
+        leave, top = max((b - c, -j) for j, (b, c) in enumerate(zip(best, cost)))
+        state = -1 if clean >= leave else -top
         labels = [None] * steps
         for i in range(steps - 1, -1, -1):
-            labels[i] = state
-            state = back[i][state]
+            labels[i] = None if state < 0 else states[state]
+            came, entered = back[i]
+            state = came if state < 0 else -1 if entered[state] else state
         out = []
         for x in found:
             if all(labels[i] == x[2] for i in range(place[x[0]], place[x[1]])):
@@ -401,11 +400,16 @@ def _lost_letters(text: str) -> list[str]:
     return words if len(words) > 1 else []
 
 
-def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entries(counts: Counter) -> pa.RecordBatch:
+    rows = [(a, b, n) for (a, b), n in counts.items() if n]
+    return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["a", "b", "n"])
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
     for b in batches:
-        total.update(_counts(b["text"]))
-    yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["a", "b", "n"])
+        total.update(_counts(b.column(0).to_pylist()))
+    yield _entries(total)
 
 
 def _summed(counts: DataFrame) -> Counter:
@@ -428,27 +432,29 @@ def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ws = Workspace(documents.sparkSession, "encoding")
     kind = documents.schema[id_col].dataType
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(r"text is not null and text rlike '[^\\x00-\\x7f]|[A-Za-z][?]+[A-Za-z]'")
-    counts = _summed(texts.select("text").mapInPandas(_count_batches, "a string, b string, n long"))
+    counts = _summed(texts.select("text").mapInArrow(_count_batches, "a string, b string, n long"))
     first = _model(counts)
 
-    def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(first)
         total: Counter = Counter()
         for b in batches:
-            pairs = [(text, decoder(text)[1]) for text in b["text"]]
+            pairs = [(text, decoder(text)[1]) for text in b.column(0).to_pylist()]
             changed = [(x, y) for x, y in pairs if x != y]
             total.update(_counts(y for _, y in changed))
             total.subtract(_counts(x for x, _ in changed))
-        yield pd.DataFrame([(a, b, n) for (a, b), n in total.items() if n], columns=["a", "b", "n"])
+        yield _entries(total)
 
-    counts.update(_summed(texts.select("text").mapInPandas(changes, "a string, b string, n long")))
+    counts.update(_summed(texts.select("text").mapInArrow(changes, "a string, b string, n long")))
     second = _model(counts)
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(second)
         for b in batches:
-            rows = [(i, *decoder(t)) for i, t in zip(b["id"], b["text"], strict=True)]
-            yield pd.DataFrame([(i, fixed, full, names) for i, bad, fixed, full, names in rows if bad], columns=["id", "restored", "complete", "pairs"])
+            results = [decoder(t) for t in b.column(1).to_pylist()]
+            bad = [r for r in results if r[0]]
+            columns = [pa.array([r[1] for r in bad], pa.string()), pa.array([r[2] for r in bad], pa.bool_()), pa.array([r[3] for r in bad], pa.list_(pa.string()))]
+            yield pa.record_batch([b.column(0).filter(pa.array([r[0] for r in results], pa.bool_())), *columns], names=["id", "restored", "complete", "pairs"])
 
-    done = texts.mapInPandas(label, f"id {kind.simpleString()}, restored string, complete boolean, pairs array<string>")
+    done = texts.mapInArrow(label, f"id {kind.simpleString()}, restored string, complete boolean, pairs array<string>")
     return ws.write(done, "repaired").withColumnRenamed("id", id_col)

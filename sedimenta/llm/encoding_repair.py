@@ -348,19 +348,29 @@ class Decoder:
         cost = [PAIRS[k].cost for k in states]
         clean, best = 0.0, [-c for c in cost]
         back = []
+        every = range(len(states))
         for row in gains:
-            leave, top = max((b - c, -j) for j, (b, c) in enumerate(zip(best, cost)))
-            entered = [b < clean - c for b, c in zip(best, cost)]
-            best = [(clean - c if e else b) + g for b, c, e, g in zip(best, cost, entered, row)]
-            back.append((-1 if clean >= leave else -top, entered))
-            clean = max(clean, leave)
+            leave, top, entered = -math.inf, -1, 0
+            for j in every:
+                b, c = best[j], cost[j]
+                if b - c > leave:
+                    leave, top = b - c, j
+                if b < clean - c:
+                    b = clean - c
+                    entered |= 1 << j
+                best[j] = b + row[j]
+            if clean >= leave:
+                top = -1
+            else:
+                clean = leave
+            back.append((top, entered))
         leave, top = max((b - c, -j) for j, (b, c) in enumerate(zip(best, cost)))
         state = -1 if clean >= leave else -top
         labels = [None] * steps
         for i in range(steps - 1, -1, -1):
             labels[i] = None if state < 0 else states[state]
             came, entered = back[i]
-            state = came if state < 0 else -1 if entered[state] else state
+            state = came if state < 0 else -1 if entered >> state & 1 else state
         out = []
         for x in found:
             if all(labels[i] == x[2] for i in range(place[x[0]], place[x[1]])):
@@ -431,7 +441,7 @@ def repair_encoding(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     ws = Workspace(documents.sparkSession, "encoding")
     kind = documents.schema[id_col].dataType
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(r"text is not null and text rlike '[^\\x00-\\x7f]|[A-Za-z][?]+[A-Za-z]'")
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("octet_length(text) <> length(text) or text rlike '[A-Za-z][?]+[A-Za-z]'")
     counts = _summed(texts.select("text").mapInArrow(_count_batches, "a string, b string, n long"))
     first = _model(counts)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +88,80 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
 _MAX_ROUNDS = 1_000_000  # more than any table needs; beyond it an error is raised
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = _MAX_ROUNDS) -> DataFrame:
+LOCAL_LINKS = 500_000  # a project of at most so many links is solved in one task
+
+
+def cycle_members(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 the smallest node of their strongly connected component, -1 for those on no cycle; depth-first search with an
+    explicit stack, in time by nodes and links."""
+    order = np.argsort(u, kind="stable")
+    heads = v[order].tolist()
+    first = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=n))]).tolist()
+    at, low, index, out = first[:-1].copy(), [0] * n, [0] * n, [-1] * n
+    open_, done, count = [], [False] * n, 0
+    for root in range(n):
+        if index[root]:
+            continue
+        path = [root]
+        while path:
+            x = path[-1]
+            if not index[x]:
+                count += 1
+                index[x] = low[x] = count
+                open_.append(x)
+            if at[x] < first[x + 1]:
+                y = heads[at[x]]
+                at[x] += 1
+                if not index[y]:
+                    path.append(y)
+                elif not done[y] and index[y] < low[x]:
+                    low[x] = index[y]
+                continue
+            path.pop()
+            if path and low[x] < low[path[-1]]:
+                low[path[-1]] = low[x]
+            if low[x] == index[x]:
+                members = [open_.pop()]
+                while members[-1] != x:
+                    members.append(open_.pop())
+                least = min(members)
+                for m in members:
+                    done[m] = True
+                    out[m] = least if len(members) > 1 else -1
+    result = np.array(out, np.int64)
+    loops = u[u == v]
+    result[loops] = np.where(result[loops] < 0, loops, result[loops])
+    return result
+
+
+def strongly_connected(edges: DataFrame, max_rounds: int | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
     """project, file, component of all files on a cycle of links (a self-link is one); component is the smallest file of it.
 
+    Cycles lie within a project. A project of at most local_links links goes to one task, which finds them in one walk; larger ones are
+    solved by rounds of joins. Both are exact. With max_rounds, all are solved by rounds, and an error is raised if so many aren't enough.
+    A null project counts as the empty string.
+    """
+    local_links = local_links if max_rounds is None else 0
+    links = edges.where("src is not null and dst is not null").select(F.coalesce("project", F.lit("")).alias("project"), "src", "dst").distinct()
+    sizes = links.groupBy("project").agg(F.count("*").alias("n")).where(F.col("n") > local_links).select("project")
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([group["src"].to_numpy(object), group["dst"].to_numpy(object)]))
+        u, v = (np.searchsorted(names, group[c].to_numpy(object)) for c in ("src", "dst"))
+        least = cycle_members(len(names), u, v)
+        on = np.flatnonzero(least >= 0)
+        return pd.DataFrame({"project": group["project"].iloc[0], "file": names[on], "component": names[least[on]]})
+
+    shape = "project string, file string, component string"
+    if sizes.isEmpty():
+        return links.groupBy("project").applyInPandas(walk, shape)
+    found = links.join(sizes, "project", "left_anti").groupBy("project").applyInPandas(walk, shape)
+    return found.unionByName(_by_rounds(links.join(sizes, "project", "left_semi"), max_rounds or _MAX_ROUNDS))
+
+
+def _by_rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """strongly_connected by joins.
+
     First, files without links to or from others of the rest are peeled off until none is left to peel, and files with one link in and one
     out are spliced out, so that a long ring takes rounds by the logarithm of its length; they are put back at the end. Then, in turns, the smallest name
     spreads forward over the rest; what its owner can be reached from, among the files that got its name, is the owner's component and is
@@ -97,7 +170,7 @@ def strongly_connected(edges: DataFrame, max_rounds: int = _MAX_ROUNDS) -> DataF
     """
     ws = Workspace(edges.sparkSession, "scc")
     split = F.concat_ws("\x1f", "project", F.col("src")), F.concat_ws("\x1f", "project", F.col("dst"))
-    links = edges.where("dst is not null").select(split[0].alias("u"), split[1].alias("v")).distinct()
+    links = edges.select(split[0].alias("u"), split[1].alias("v")).distinct()
     loops = links.where("u = v").select(F.col("u").alias("node"))
     rest = ws.write(links.where("u <> v"), "rest0")
     turn, size = 0, -1

@@ -113,6 +113,15 @@ def test_cycles_against_reachability(spark):
     assert {(x.project, x.file): x.component for x in graph.strongly_connected(edges).collect()} == wanted
 
 
+def test_cycles_in_one_task_and_by_rounds_agree(spark):
+    r = random.Random(5)
+    rows = [(f"p{k}" if k else None, f"{r.randint(0, 30):03}", f"{r.randint(0, 30):03}", "import") for k in range(4) for _ in range(45)]
+    rows += [("ring", f"{i:04}", f"{(i + 1) % 2000:04}", "import") for i in range(2000)]
+    edges = spark.createDataFrame(rows, "project string, src string, dst string, type string")
+    found = [{(x.project, x.file, x.component) for x in graph.strongly_connected(edges, local_links=n).collect()} for n in (500_000, 1000, 0)]
+    assert found[0] == found[1] == found[2] and {(p, c) for p, _, c in found[0] if p == "ring"} == {("ring", "0000")} and sum(p == "ring" for p, _, _ in found[0]) == 2000
+
+
 def test_reach_and_impact(spark):
     edges = spark.createDataFrame([("p", "b", "a", "import"), ("p", "c", "b", "import"), ("p", "a", "c", "import"), ("p", "d", "c", "import"), ("p", "d", "c", "import")], "project string, src string, dst string, type string")
     got = {(r.node, r.hop) for r in graph.impact(edges, spark.createDataFrame([("p", "a")], "project string, root string"), 2).collect()}

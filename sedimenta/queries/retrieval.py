@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import search as R
+from sedimenta.operators.vector_index import VectorIndex
 from sedimenta.streaming import changes as W
 
 
@@ -35,7 +36,7 @@ def postings(spark, d):
 
 
 def bm25_topk(spark, d):
-    return R.top_k(R.bm25(_docs(spark, d), _asked(spark, d), "doc_id", "text"), ["query"], 10).select("query", F.col("id").alias("doc_id"), "score", "rank")
+    return R.bm25_top_k(_docs(spark, d), _asked(spark, d), "doc_id", "text", 10).select("query", F.col("id").alias("doc_id"), "score", "rank")
 
 
 def _dense(spark, d, k):
@@ -46,6 +47,11 @@ def dense_topk(spark, d):
     return _dense(spark, d, 10).select("query", F.col("id").alias("vec_id"), "score", "rank")
 
 
+def ann_topk(spark, d):
+    """The same search through the index by cells, at a recall of 0.9 or more."""
+    return VectorIndex(_vectors(spark, d)).search(_probes(spark, d), 10).select("query", F.col("id").alias("vec_id"), "score", "rank")
+
+
 def cosine_pairs(spark, d):
     """The cosine of each vector and the one of the next id."""
     v = _vectors(spark, d)
@@ -55,15 +61,15 @@ def cosine_pairs(spark, d):
 
 def hybrid_rrf(spark, d):
     """Both kinds of search fused for documents that have a vector of their id."""
-    lexical = R.top_k(R.bm25(_docs(spark, d), _asked(spark, d), "doc_id", "text"), ["query"], 30)
+    lexical = R.bm25_top_k(_docs(spark, d), _asked(spark, d), "doc_id", "text", 30)
     fused = R.rrf([lexical, _dense(spark, d, 30)])
     return R.top_k(fused, ["query"], 10).select("query", F.col("id").alias("doc_id"), "score", "rank")
 
 
 def _filtered(spark, d, condition):
-    scored = R.bm25(_docs(spark, d), _asked(spark, d), "doc_id", "text")
-    kept = _docs(spark, d).where(condition).select(F.col("doc_id").alias("id"))
-    return R.top_k(scored.join(kept, "id", "left_semi"), ["query"], 10).select("query", F.col("id").alias("doc_id"), "score", "rank")
+    """Statistics come from all documents, scores only for those that pass."""
+    hits = R.bm25_top_k(_docs(spark, d), _asked(spark, d), "doc_id", "text", 10, keep=F.expr(condition))
+    return hits.select("query", F.col("id").alias("doc_id"), "score", "rank")
 
 
 def search_file_filter(spark, d):
@@ -121,7 +127,7 @@ def watched_changes(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    postings, bm25_topk, dense_topk, cosine_pairs, hybrid_rrf, search_file_filter, search_lang_filter, artifact_search, search_min_score, multi_collection_topk, rrf_merge, cosine_merge, hashed_embeddings,
+    postings, bm25_topk, dense_topk, ann_topk, cosine_pairs, hybrid_rrf, search_file_filter, search_lang_filter, artifact_search, search_min_score, multi_collection_topk, rrf_merge, cosine_merge, hashed_embeddings,
     debounce_sessions, tumbling_counts, watched_changes,
 )}
 

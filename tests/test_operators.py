@@ -8,6 +8,7 @@ from sedimenta import sqlapi
 from sedimenta.functions import language, paths, text
 from sedimenta.operators import chunking, components, graph, imports, maintenance, search, symbols
 from sedimenta.operators.declared import pattern_symbols, python_symbols
+from sedimenta.operators.vector_index import VectorIndex
 from sedimenta.sources.tables import scan_tree
 from sedimenta.streaming import changes
 
@@ -145,6 +146,35 @@ def test_search_operators(spark):
     assert [h.id for h in sorted((h for h in got if h.query == 0), key=lambda h: h["rank"])][:2] == [0, 103]
 
 
+def test_bm25_top_k_equals_all_scores(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(r.choices(words, weights=[1 / (j + 1) for j in range(60)], k=r.randint(0, 30))), i % 3) for i in range(400)] + [(1000, None, 0), (None, "w1 w2", 0), (1001, "İ w1,W2\tw3", 0)]
+    docs = spark.createDataFrame(rows, "id long, text string, score int").repartition(5)
+    asked = docs.where("id % 40 = 0").select(F.col("id").cast("string").alias("qid"), "text").union(spark.createDataFrame([("none", "zzz"), ("empty", "")], "qid string, text string"))
+    want = search.top_k(search.bm25(docs.where("id is not null"), asked, "id", "text"), ["query"], 7)
+    key = lambda df: sorted((h.query, h["rank"], h.id, round(h.score, 6)) for h in df.collect())
+    for block in (3, 1000):
+        assert key(search.bm25_top_k(docs, asked, "id", "text", 7, block=block)) == key(want)
+    few = search.top_k(search.bm25(docs.where("id is not null"), asked, "id", "text").join(docs.where("score = 1").select("id"), "id"), ["query"], 7)
+    assert key(search.bm25_top_k(docs, asked, "id", "text", 7, keep=F.col("score") == 1)) == key(few)
+    assert search.bm25_top_k(docs.where("false"), asked, "id", "text", 7).count() == 0 and search.bm25_top_k(docs, asked.where("false"), "id", "text", 7).count() == 0
+
+
+def test_vector_index(spark):
+    r = np.random.default_rng(2)
+    middles = r.normal(size=(30, 16))
+    rows = [(f"v{i}", [float(x) for x in (middles[i % 30] + 0.3 * r.normal(size=16) if i < 2500 else r.normal(size=16))]) for i in range(3000)] + [("null", None), ("short", [1.0]), ("zero", [0.0] * 16), ("empty", [])]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(6)
+    asked = vectors.where("id like 'v%50' or id in ('null', 'zero')").withColumnRenamed("id", "qid")
+    want = {(h.query, h.id) for h in search.dense_top_k(vectors, asked, 10).collect()}
+    index = VectorIndex(vectors, sample=1500)
+    got = index.search(asked, 10).collect()
+    assert len({(h.query, h.id) for h in got} & want) >= 0.9 * len(want) and index.table.count() == 3000 and index.probes < len(index.centres)
+    assert max(h["rank"] for h in got) == 10 and all(h.score > 0.999 for h in got if h.query == h.id)
+    assert VectorIndex(vectors.where("false")).search(asked).count() == 0
+
+
 def test_merges(spark):
     hits = spark.createDataFrame([(1, "x", 1, 7, 10, 0.9), (1, "x", 2, 7, 11, 0.5), (1, "y", 1, 7, 12, None), (2, "x", 1, 8, 13, 0.4)], "query int, label string, rank int, key int, id long, score double")
     assert {(r.query, r.label): round(r.score, 6) for r in search.rrf_merge(hits).collect()} == {(1, "x"): round(1 / 61 + 1 / 62, 6), (1, "y"): round(1 / 61, 6), (2, "x"): round(1 / 61, 6)}

@@ -5,10 +5,16 @@ two texts agree in a symbol with the probability of their Jaccard similarity s.
 ball of radius one is enumerated (the segment with each symbol in turn left out) into one index; texts that meet in any of them are
 candidates. Candidates are verified by the complete distance of their codes, and what stays by that of their sets. With 14 segments of 4 symbols a pair at s = 0.6 stays
 undetected with probability 0.0001, one at 0.7 with 0.000001.
+
+A crowded bucket, as boilerplate or a large family makes it, isn't joined as it is: its texts are compared by their complete codes, in
+blocks that a task each gets two of, and only pairs that are close enough leave the task. A very large one is parted first by an index
+inside, of the balls of radius two of every other segment. A pair at s = 0.6 that met in the bucket agrees in two of four symbols of one of
+the 13 other segments but for a probability of 1e-9, so crowding adds nothing to what stays undetected.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,6 +31,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 _KNOWN_TOKENS = 400_000
 SEGMENTS, WIDTH = 14, 4
 CROWDED = 512
+SPLIT, BLOCK = 32_768, 4096  # texts from which on a bucket is parted by an index inside; texts of a block
 BROADCAST_ROWS = 200_000  # ids of 36 characters: under 20 MB
 
 
@@ -113,14 +120,71 @@ def _fingerprint(run: int, symbols: int):
 
 
 def _keys(segments: int, width: int):
+    """Rows num, segment, key of the balls of radius one."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = segments * width
+        segment = np.repeat(np.arange(segments, dtype=np.int32), width)
         for batch in batches:
             code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, n)
             keys = ball_keys(code, segments, width)
             num = np.repeat(batch.column(0).to_numpy(), n)
-            at = np.tile(np.arange(n, dtype=np.int32), len(code))
-            yield pa.record_batch([pa.array(num), pa.array(at), pa.array(keys.ravel().view(np.int64))], names=["num", "at", "key"])
+            yield pa.record_batch([pa.array(num), pa.array(np.tile(segment, len(code))), pa.array(keys.ravel().view(np.int64))], names=["num", "segment", "key"])
+
+    return go
+
+
+def _inner_keys(segments: int, width: int):
+    """From rows num, segment, key, code of very large buckets the rows of the indexes inside: for each other segment and each way to leave
+    out two of its symbols one, whose key stands for the bucket and what remains of that segment."""
+    kept = list(itertools.combinations(range(width), max(1, width - 2)))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _multipliers(segments * len(kept), 16).reshape(segments, len(kept))
+        weights = _multipliers(width, 17)
+        for batch in batches:
+            code = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(len(batch), segments, width)
+            num, segment, key = (batch.column(i).to_numpy() for i in range(3))
+            with np.errstate(over="ignore"):
+                weighted = _mixed(code.astype(np.uint64) + np.uint64(1)) * weights
+                inner = np.stack([weighted[:, :, list(c)].sum(axis=2, dtype=np.uint64) for c in kept], axis=2)
+                inner = _mixed(_mixed(inner + place) + _mixed(key.view(np.uint64))[:, None, None])
+            other = np.arange(segments) != segment[:, None]
+            times = (segments - 1) * len(kept)
+            yield pa.record_batch([pa.array(np.repeat(num, times)), pa.array(np.repeat(segment, times)), pa.array(inner[other].ravel().view(np.int64))], names=["num", "segment", "key"])
+
+    return go
+
+
+def _compare(segments: int, width: int, least: int):
+    """The close pairs of a block with itself (side 0 alone) or of two blocks. A pair is given in the first segment alone in which it meets,
+    so that pairs of texts that meet everywhere leave once."""
+
+    def go(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        num = group.column("num").to_numpy()
+        code = np.frombuffer(b"".join(group.column("code").to_pylist()), np.uint16).reshape(len(num), -1)
+        segment = group.column("segment")[0].as_py()
+        p = np.flatnonzero(side == 0)
+        q = np.flatnonzero(side == 1) if side.any() else p
+        found = []
+        columns = np.ascontiguousarray(code[q].T)
+        for at in range(0, len(p), 256):
+            part = code[p[at : at + 256]]
+            agree = np.zeros((len(part), len(q)), np.uint8)
+            for s, column in enumerate(columns):
+                agree += part[:, s, None] == column
+            i, j = np.nonzero(agree >= least)
+            i, j = p[at + i], q[j]
+            on = num[i] < num[j] if q is p else num[i] != num[j]
+            i, j = i[on], j[on]
+            for lo in range(0, len(i), 50_000):
+                x, y = i[lo : lo + 50_000], j[lo : lo + 50_000]
+                meets = (code[x] == code[y]).reshape(len(x), segments, width).sum(axis=2) >= width - 1
+                first = np.argmax(meets, axis=1) == segment
+                found.append(np.stack([num[x[first]], num[y[first]]]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return go
 
@@ -148,27 +212,40 @@ def _sets(run: int):
     return go
 
 
-def _candidates(ws: Workspace, coded: DataFrame, segments: int, width: int, crowded: int) -> DataFrame:
-    """Distinct pairs a < b of the numbers of coded(num, code) that meet in an index.
+def _crowded(ws: Workspace, rows: DataFrame, groups: int, crowded: int, name: str) -> DataFrame | None:
+    """key, n of the buckets of more than crowded rows; None if there are none. They are looked for among groups of buckets first, whose
+    counts add up before the shuffle."""
+    group = F.pmod(F.col("key"), F.lit(groups))
+    full = ws.write(rows.groupBy(group.alias("group")).count().where(F.col("count") > crowded).select("group"), f"full{name}")
+    if full.isEmpty():
+        return None
+    hot = rows.withColumn("group", group).join(full, "group", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    hot = ws.write(hot, f"hot{name}")
+    return None if hot.isEmpty() else hot
 
-    A bucket of more than crowded texts isn't joined as it is: its texts are indexed again within the bucket by the balls of all other
-    segments, which parts texts that share only the bucket's symbols and keeps similar ones together. Crowded buckets are looked for among
-    groups of buckets first, whose counts add up before the shuffle.
-    """
-    indexed = coded.mapInArrow(_keys(segments, width), "num long, at int, key long")
+
+def _meet(rows: DataFrame) -> DataFrame:
+    a, b = rows.alias("a"), rows.alias("b")
+    return a.join(b, F.col("a.key") == F.col("b.key")).where("a.num < b.num").select(F.col("a.num").alias("a"), F.col("b.num").alias("b"))
+
+
+def _candidates(ws: Workspace, coded: DataFrame, segments: int, width: int, crowded: int, least: int, split: int, block: int) -> DataFrame:
+    """Distinct pairs a < b of the numbers of coded(num, code) that meet in an index; those of crowded buckets are close already."""
+    rows = coded.mapInArrow(_keys(segments, width), "num long, segment int, key long")
     groups = max(1024, coded.count() * segments * width // 64)
-    group = F.pmod(F.col("key"), F.lit(groups))
-    full = indexed.groupBy(group.alias("group")).count().where(F.col("count") > crowded).select("group")
-    full = ws.write(full, "full")
-    hot = indexed.withColumn("group", group).join(full, "group", "left_semi").groupBy("key").count().where(F.col("count") > crowded).select("key")
-    hot = ws.write(hot, "hot") if not full.isEmpty() else None
-    pairs = indexed.select("num", "key")
-    if hot is not None and not hot.isEmpty():
-        inside = indexed.join(hot, "key", "left_semi").join(indexed.select("num", F.col("at").alias("other_at"), F.col("key").alias("other")), "num")
-        inner = inside.where(F.floor(F.col("at") / width) != F.floor(F.col("other_at") / width)).select("num", F.xxhash64("key", "other").alias("key"))
-        pairs = pairs.join(hot, "key", "left_anti").select("num", "key").unionByName(inner)
-    a, b = pairs.alias("a"), pairs.alias("b")
-    return a.join(b, F.col("a.key") == F.col("b.key")).where("a.num < b.num").select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct()
+    hot = _crowded(ws, rows, groups, crowded, "")
+    if hot is None:
+        return _meet(rows.select("num", "key")).distinct()
+    inside = ws.write(rows.join(hot, "key"), "inside")
+    parted = inside.where(F.col("n") > split).join(coded, "num").select("num", "segment", "key", "code").mapInArrow(_inner_keys(segments, width), "num long, segment int, key long")
+    parted = ws.write(parted, "parted")
+    sizes = parted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    inside = inside.where(F.col("n") <= split).select("num", "segment", "key", "n").unionByName(parted.join(sizes, "key").select("num", "segment", "key", "n"))
+    cut = inside.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("num", "segment", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("other") < F.col("own")).cast("int").alias("side"))
+    near = cut.join(coded, "num").groupBy("key", "x", "y").applyInArrow(_compare(segments, width, least), "a long, b long")
+    return _meet(rows.join(hot, "key", "left_anti").select("num", "key")).unionByName(near).distinct()
 
 
 class NearDuplicates:
@@ -180,7 +257,7 @@ class NearDuplicates:
     index are parts of digests: should two classes share one, both are verified.
     """
 
-    def __init__(self, texts: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, segments: int = SEGMENTS, width: int = WIDTH, crowded: int = CROWDED):
+    def __init__(self, texts: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, segments: int = SEGMENTS, width: int = WIDTH, crowded: int = CROWDED, split: int = SPLIT, block: int = BLOCK):
         self.ws = Workspace(texts.sparkSession, "near")
         rows = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
         prints = self.ws.write(rows.mapInArrow(_fingerprint(run, segments * width), "id string, digest binary, code binary"), "prints")
@@ -191,11 +268,13 @@ class NearDuplicates:
         self.reps = self.classes.where("id = rid").select("rid", "digest", num)
         coded = self.ws.write(prints.groupBy(num).agg(F.any_value("code").alias("code")), "coded")
         self.ws.drop("prints")
-        met = _candidates(self.ws, coded, segments, width, crowded)
+        least = self._least(threshold, segments * width)
+        met = _candidates(self.ws, coded, segments, width, crowded, least, split, block)
         left, right = coded.select(F.col("num").alias("a"), F.col("code").alias("ca")), coded.select(F.col("num").alias("b"), F.col("code").alias("cb"))
-        close = met.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(_close(self._least(threshold, segments * width)), "a long, b long")
+        close = met.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(_close(least), "a long, b long")
         met = self.ws.write(close, "met")
         self.links = self.ws.write(self._verified(rows, met, run, threshold), "links")
+        self.ws.keep("classes", "links")
 
     @staticmethod
     def _least(threshold: float, symbols: int) -> int:
@@ -224,8 +303,16 @@ class NearDuplicates:
         c = self.classes
         x, y = c.select(F.col("rid").alias("a"), F.col("id").alias("ia")), c.select(F.col("rid").alias("b"), F.col("id").alias("ib"))
         across = self.links.join(x, "a").join(y, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
-        within = c.join(c.withColumnRenamed("id", "other"), "rid").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("similarity"))
-        return across.unionByName(within)
+        return across.unionByName(self._equal().withColumn("similarity", F.lit(1.0)))
+
+    def _equal(self) -> DataFrame:
+        """The pairs of equal texts. Large classes are cut into blocks, and a key of the join stands for two blocks."""
+        sizes = self.classes.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1")
+        cut = self.classes.join(sizes, "rid").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        cut = cut.select("rid", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
+        a = cut.select("rid", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("id").alias("p"))
+        b = cut.select("rid", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("id").alias("q"))
+        return a.join(b, ["rid", "x", "y"]).where("x < y or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
     def groups(self) -> DataFrame:
         """One row per text with tokens enough: id, class_id (its representative), n_copies, n_links of the class and group_id (the smallest id linked)."""

@@ -57,3 +57,21 @@ def test_five_words_and_empty_table(spark):
     assert {(r.a, r.b) for r in find(spark, rows).pairs().collect()} == jaccard_pairs(rows, 5, 0.8)
     none = find(spark, [])
     assert none.pairs().count() == 0 and none.groups().count() == 0
+
+
+def test_shared_headers_and_large_families(spark):
+    r = random.Random(11)
+    word = lambda: "w" + str(r.randrange(9000))
+    header = [word() for _ in range(60)]
+    rows = [(f"h{i:03}", " ".join(header + [word() for _ in range(60)])) for i in range(250)]  # similarity about 0.33
+    base = [word() for _ in range(120)]
+    rows += [(f"f{i:03}", " ".join(w if r.random() > 0.01 else word() for w in base)) for i in range(120)]  # one large family
+    for i in range(60):  # pairs near the threshold within the crowd
+        text = rows[i][1].split()
+        for _ in range(r.choice((6, 9, 12))):
+            text[r.randrange(60, 120)] = word()
+        rows.append((f"n{i:03}", " ".join(text)))
+    want = jaccard_pairs(rows, 3, 0.6)
+    for crowded, split, block in ((8, 10_000, 16), (8, 60, 4096), (512, 10_000, 4096)):
+        got = {(x.a, x.b) for x in find(spark, rows, run=3, threshold=0.6, crowded=crowded, split=split, block=block).pairs().collect()}
+        assert got == want, (crowded, len(want - got), len(got - want))

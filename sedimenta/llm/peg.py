@@ -230,16 +230,7 @@ class Grammar:
                     parts.append(build(p))
                 if run:
                     parts.append(regex(("seq", run)))
-                parts = tuple(parts)
-
-                def seq(pos):
-                    for p in parts:
-                        pos = p(pos)
-                        if pos < 0:
-                            return -1
-                    return pos
-
-                return seq
+                return _sequence(tuple(parts))
             options = [(self._begin(p, self._first), build(p)) for p in node[1]]
             table: dict[str, tuple] = {}
             chars = set().union(*(f for (f, _), _ in options if f))
@@ -247,9 +238,8 @@ class Grammar:
                 table[c] = tuple(fn for (f, e), fn in options if f is None or e or c in f)
             other = tuple(fn for (f, e), fn in options if f is None or e)
 
-            def alt(pos):
-                s = state[0]
-                for fn in table.get(s[pos], other) if pos < len(s) else other:
+            def alt(pos, get=table.get):
+                for fn in get(state[0][pos : pos + 1], other):
                     end = fn(pos)
                     if end >= 0:
                         return end
@@ -261,9 +251,7 @@ class Grammar:
 
         def ref(name):
             if name not in made:
-                holder: list = []
-                made[name] = lambda pos: holder[0](pos)  # noqa: E731  while the rule is being built
-                body, number = build(self.rules[name]), names[name]
+                number = names[name]
 
                 def rule(pos, get=memo.get):
                     key = pos * total + number
@@ -272,8 +260,8 @@ class Grammar:
                         end = memo[key] = body(pos)
                     return end
 
-                holder.append(rule)
                 made[name] = rule
+                body = build(self.rules[name])
             return made[name]
 
         top = ref(start or self.start)
@@ -287,6 +275,41 @@ class Grammar:
         return parse
 
 
+def _sequence(parts: tuple):
+    """One after the other; the usual numbers of parts are written out."""
+    if len(parts) == 1:
+        return parts[0]
+    if len(parts) == 2:
+        a, b = parts
+
+        def two(pos):
+            pos = a(pos)
+            return b(pos) if pos >= 0 else -1
+
+        return two
+    if len(parts) == 3:
+        a, b, c = parts
+
+        def three(pos):
+            pos = a(pos)
+            if pos >= 0:
+                pos = b(pos)
+                if pos >= 0:
+                    return c(pos)
+            return -1
+
+        return three
+
+    def many(pos):
+        for p in parts:
+            pos = p(pos)
+            if pos < 0:
+                return -1
+        return pos
+
+    return many
+
+
 def _refs(node):
     if node[0] == "ref":
         yield node[1]

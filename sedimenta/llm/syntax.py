@@ -22,16 +22,23 @@ class Checker:
 
     def __init__(self):
         self._ready: dict[str, tuple] = {}
+        self._slow: dict = {}
         sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))  # the parser's frames lie on the heap
 
     def _of(self, language: str):
         if language not in self._ready:
             grammar, lexer = GRAMMARS[language]
-            self._ready[language] = (lexer(), grammar.parser(), grammar.parser(fused=False))
+            self._ready[language] = (lexer(), grammar.parser())
         return self._ready[language]
 
+    def _unfused(self, language: str):
+        """The parser that finds the furthest failure; only invalid sources need it."""
+        if language not in self._slow:
+            self._slow[language] = GRAMMARS[language][0].parser(fused=False)
+        return self._slow[language]
+
     def accepts(self, text: str, language: str) -> bool:
-        lexer, parse, _ = self._of(language)
+        lexer, parse = self._of(language)
         return parse(*lexer(text)) == -1
 
     def __call__(self, text: str, language: str) -> tuple[bool, int | None, int | None, str | None]:
@@ -39,9 +46,9 @@ class Checker:
         try:
             if self.accepts(text, language):
                 return True, None, None, None
-            lexer, _, slow = self._of(language)
+            lexer = self._of(language)[0]
             tokens, ends = lexer(text)
-            at = lexer.offset(text, slow(tokens, ends))
+            at = lexer.offset(text, self._unfused(language)(tokens, ends))
         except RecursionError:
             return False, None, None, "too deeply nested"
         line = text.count("\n", 0, at) + 1

@@ -14,11 +14,11 @@ LANGUAGES = {
     ".cc": "cpp", ".hh": "cpp", ".cxx": "cpp", ".cs": "csharp", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".swift": "swift", ".sh": "shell", ".bash": "shell", ".zsh": "shell",
     ".html": "html", ".htm": "html", ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less", ".vue": "vue", ".svelte": "svelte", ".json": "json", ".yaml": "yaml", ".yml": "yaml",
     ".toml": "toml", ".xml": "xml", ".ini": "ini", ".cfg": "ini", ".md": "markdown", ".mdx": "markdown", ".rst": "restructuredtext", ".txt": "plaintext", ".sql": "sql", ".dart": "dart",
-    ".lua": "lua", ".r": "r", ".ex": "elixir", ".exs": "elixir", ".gd": "gdscript", ".dockerfile": "dockerfile",
+    ".lua": "lua", ".r": "r", ".ex": "elixir", ".exs": "elixir", ".gd": "gdscript", ".tscn": "godot-resource", ".tres": "godot-resource", ".styl": "stylus", ".heex": "elixir", ".eex": "elixir", ".leex": "elixir", ".dockerfile": "dockerfile",
 }
 SPECIAL_NAMES = ("Dockerfile", "Makefile", "Rakefile", "Gemfile", "Procfile", ".env.example", ".gitignore", ".dockerignore")
 # Interpreters of shebang lines.
-INTERPRETERS = {"python": ".py", "node": ".js", "deno": ".ts", "bun": ".ts", "sh": ".sh", "bash": ".sh", "zsh": ".sh", "dash": ".sh", "ksh": ".sh", "ruby": ".rb", "php": ".php", "lua": ".lua"}
+INTERPRETERS = {"python": ".py", "node": ".js", "deno": ".ts", "bun": ".ts", "sh": ".sh", "bash": ".sh", "zsh": ".sh", "dash": ".sh", "ksh": ".sh", "ash": ".sh", "nodejs": ".js", "ruby": ".rb", "php": ".php", "lua": ".lua"}
 # Signs of a language in the head of a file without extension.
 PYTHON_SIGNS = (r"(?m)^\s*def \w+\(.*\).*:", r"(?m)^\s*(?:from \w[\w.]* )?import \w", r"(?m)^\s*class \w+.*:", r"(?m)^if __name__ ==")
 SHELL_SIGNS = (r"(?m)^\s*(?:if|elif) \[", r"(?m)^\s*(?:fi|done|esac)\s*$", r"(?m)^\s*\w+\(\)\s*\{", r"(?m)^\s*(?:export|local) \w+=", r"(?m)\$\{?\w+\}?")

@@ -14,18 +14,19 @@ _SCRIPT = {
     "dynamic-import": (r"\bimport\(\s*['\"]([^'\"\n]+)['\"]\s*\)",),
     "re-export": (r"(?m)^\s*export\s+[^'\"();=]*?\sfrom\s+['\"]([^'\"\n]+)['\"]",),
 }
+_STYLE = (r"@(?:import|use|forward|require)\s+(?:\([^)]*\)\s*)?(?:url\()?\s*['\"]?(?!https?:|//)([^'\"\s;)]+)",)
 PATTERNS: dict[str, dict[str, tuple[str, ...]]] = {
-    "javascript": _SCRIPT, "typescript": _SCRIPT, "vue": _SCRIPT, "svelte": _SCRIPT,
+    "javascript": _SCRIPT, "typescript": _SCRIPT, "vue": _SCRIPT | {"import": _SCRIPT["import"] + _STYLE}, "svelte": _SCRIPT | {"import": _SCRIPT["import"] + _STYLE},
     "python": {"import": (r"(?m)^\s*from\s+([.\w]+)\s+import\b", r"(?m)^\s*import\s+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)")},
     "go": {"import": (r"(?m)^import\s+(?:[\w.]+\s+)?\"([^\"\n]+)\"", r"(?m)^\t(?:[\w.]+\s+)?\"([^\"\n]+)\"\s*$")},
     "java": {"import": (r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",)},
     "kotlin": {"import": (r"(?m)^\s*import\s+([\w.]+(?:\.\*)?)",)}, "scala": {"import": (r"(?m)^\s*import\s+([\w.]+)",)}, "swift": {"import": (r"(?m)^\s*import\s+(?:\w+\s+)?([\w.]+)",)},
-    "rust": {"import": (r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)\s*;", r"(?m)^\s*extern\s+crate\s+(\w+)")},
+    "rust": {"import": (r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([\w:]+(?:\{[^;]*\})?)", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;", r"(?m)^\s*extern\s+crate\s+(\w+)", r"#\[path\s*=\s*\"([^\"\n]+)\"\]", r"\binclude!\(\s*\"([^\"\n]+)\"")},
     "csharp": {"import": (r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;",)}, "ruby": {"import": (r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"\n]+)['\"]",)},
-    "php": {"import": (r"(?m)^\s*use\s+([\w\\]+)", r"(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"\n]+)['\"]")}, "c": {"import": (r"(?m)^\s*#\s*include\s+\"([^\"\n]+)\"",)}, "cpp": {"import": (r"(?m)^\s*#\s*include\s+\"([^\"\n]+)\"",)},
-    "shell": {"import": (r"(?m)^\s*(?:source|\.)\s+[\"']?([^\s\"';]+)",)}, "css": {"import": (r"@import\s+(?:url\()?['\"]?([^'\"\s;)]+)",)}, "scss": {"import": (r"@(?:import|use|forward)\s+['\"]([^'\"\n]+)['\"]",)}, "less": {"import": (r"@import\s+(?:\([^)]*\)\s*)?['\"]([^'\"\n]+)['\"]",)},
-    "elixir": {"import": (r"(?m)^\s*(?:alias|import|require|use)\s+([\w.]+)",)}, "dart": {"import": (r"(?m)^\s*(?:import|part)\s+['\"]([^'\"\n]+)['\"]",), "re-export": (r"(?m)^\s*export\s+['\"]([^'\"\n]+)['\"]",)},
-    "lua": {"import": (r"\b(?:require|dofile|loadfile)\s*\(?\s*['\"]([^'\"\n]+)['\"]",)}, "gdscript": {"import": (r"\b(?:preload|load)\(\s*['\"]([^'\"\n]+)['\"]", r"(?m)^extends\s+['\"]([^'\"\n]+)['\"]")},
+    "php": {"import": (r"(?m)^\s*use\s+(?:function\s+|const\s+)?([\w\\]+(?:\{[^}]*\})?)", r"(?:require|include)(?:_once)?\s*\(?\s*(?:(?:__DIR__|dirname\(__FILE__\))\s*\.\s*)?['\"]([^'\"\n]+)['\"]")}, "c": {"import": (r"(?m)^\s*#\s*include\s+\"([^\"\n]+)\"",)}, "cpp": {"import": (r"(?m)^\s*#\s*include\s+\"([^\"\n]+)\"",)},
+    "shell": {"import": (r"(?m)^\s*(?:source|\.)\s+[\"']?([^\s\"';]+)",)}, "css": {"import": _STYLE}, "scss": {"import": _STYLE}, "sass": {"import": _STYLE}, "less": {"import": _STYLE}, "stylus": {"import": _STYLE},
+    "elixir": {"import": (r"(?m)^\s*(?:alias|import|require|use)\s+([\w.]+(?:\{[^}]*\})?)",)}, "dart": {"import": (r"(?m)^\s*(?:import|part)\s+['\"]([^'\"\n]+)['\"]",), "re-export": (r"(?m)^\s*export\s+['\"]([^'\"\n]+)['\"]",)},
+    "lua": {"import": (r"\b(?:require|dofile|loadfile)\s*\(?\s*['\"]([^'\"\n]+)['\"]",)}, "gdscript": {"import": (r"\b(?:preload|load)\(\s*['\"]([^'\"\n]+)['\"]", r"(?m)^extends\s+['\"]([^'\"\n]+)['\"]")}, "godot-resource": {"import": (r"(?m)^\[ext_resource\b[^\]\n]*\bpath=\"([^\"\n]+)\"",)},
     "html": {"import": (r"(?i)\b(?:href|src)=['\"]([^'\"\n]+)['\"]",)},
 }
 _LISTS = PATTERNS["python"]["import"][1:]
@@ -45,6 +46,7 @@ def extract(chunks: DataFrame) -> DataFrame:
         parts = [_matches(p, kind) for kind, ps in kinds.items() for p in ps]
         found = F.when(F.col("language") == language, F.concat(*parts)).otherwise(found)
     each = known.withColumn("_each", F.explode(found)).select("chunk_id", "project", "rel_path", "language", "_each.specifier", "_each.kind")
+    each = each.withColumn("specifier", F.explode(_members(F.col("specifier"))))
     return each.groupBy("chunk_id", "project", "rel_path", "language", "specifier", "kind").agg(F.count("*").alias("n"))
 
 
@@ -54,6 +56,24 @@ def _matches(pattern: str, kind: str) -> Column:
     return F.transform(names, lambda x: F.struct((F.regexp_extract(x, r"^[\w.]+", 0) if pattern in _LISTS else x).alias("specifier"), F.lit(kind).alias("kind")))
 
 
+def _members(spec: Column) -> Column:
+    """The names that a specifier with a group stands for: a::{b, c::{d, e}} is a::b, a::c::d, a::c::e; ``self`` and what follows ``as`` go.
+    Each step opens the innermost groups; three levels are opened, deeper ones keep their outer part."""
+    plain = F.regexp_replace(F.regexp_replace(spec, r"\s+as\s+\w+", ""), r"\s+", "")
+    names = F.array(plain)
+
+    def opened(name: Column) -> Column:
+        head, inside, tail = (F.regexp_extract(name, r"^(.*?)([\w:.\\]*)\{([^{}]*)\}(.*)$", i) for i in (1, 3, 4))
+        stem = F.regexp_extract(name, r"^(.*?)([\w:.\\]*)\{([^{}]*)\}(.*)$", 2)
+        flat = F.array_join(F.transform(F.filter(F.split(inside, ","), lambda x: x != ""), lambda x: F.concat(stem, x)), ",")
+        return F.when(name.contains("{"), F.concat(head, flat, tail)).otherwise(name)
+
+    for _ in range(3):
+        names = F.transform(names, opened)
+    every = F.flatten(F.transform(names, lambda n: F.split(F.regexp_replace(n, r"\{.*$", ""), ",")))
+    return F.filter(F.transform(every, lambda n: F.regexp_replace(n, r"(?:::|\.|\\)(?:self)?$|::self$", "")), lambda n: n != "")
+
+
 def _first_existing(rows: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
     """Adds target: the first of the candidate paths that is a file of the project, else null."""
     key = ["project", "rel_path", "specifier", "kind"]

@@ -6,13 +6,19 @@ whose target isn't known yet.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Names by which entry points are known, method names of routers, and words before a parenthesis that are no calls.
-ENTRY_NAMES = ("main", "Main", "__main__", "run", "start", "bootstrap", "init", "handler", "lambda_handler", "default", "index", "app", "serve")
-ROUTE_NAMES = ("get", "post", "put", "delete", "patch", "head", "options", "all", "use", "route")
-NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "yield")
+from sedimenta.functions import language as L
+from sedimenta.functions import paths as P
+from sedimenta.operators.graph import reach
+
+# The conventional entry point of a language, method names of routers, and words before a parenthesis that are no calls.
+ENTRY_NAMES = {"csharp": "Main"} | dict.fromkeys(("javascript", "typescript", "python", "go", "rust", "java", "kotlin", "scala", "c", "cpp", "swift", "ruby", "php", "dart"), "main")
+ROUTE_NAMES = ("get", "post", "put", "delete", "patch", "head", "options", "all", "use")
+SPAN = 64
+NO_CALLS = ("if", "for", "while", "switch", "return", "function", "def", "fn", "func", "class", "new")
 
 
 def symbols_from_flow(flow: DataFrame) -> DataFrame:
@@ -61,21 +67,85 @@ def find(symbols: DataFrame, part: str, limit: int = 200) -> DataFrame:
     return hits.orderBy("name", "file", "line", "node_id").limit(limit)
 
 
-def entry_points(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """node_id, name, file, reason: symbols that nobody calls and that call others, conventional names, routes and tests."""
-    callers, callees = calls.select(F.col("caller").alias("node_id")).distinct(), calls.select(F.col("callee").alias("node_id")).distinct()
-    base = symbols.select("node_id", "name", "file")
-    kinds = [
-        (base.join(callers, "node_id", "left_semi").join(callees, "node_id", "left_anti"), "orphan"),
-        (base.where(F.col("name").isin(*ENTRY_NAMES)), "conventional name"),
-        (base.where(F.lower("name").isin(*ROUTE_NAMES)), "route"),
-        (base.where(F.col("name").rlike(r"^(?:test_|Test[A-Z_]|it$|describe$)|(?:Test|_test|Spec)$")), "test"),
-    ]
-    out = None
-    for rows, reason in kinds:
-        rows = rows.withColumn("reason", F.lit(reason))
-        out = rows if out is None else out.unionByName(rows)
-    return out.dropDuplicates(["node_id", "reason"])
+def entry_points(symbols: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """project, id, name, file, reason of where a program may begin, each reason once.
+
+    orphan: a file whose symbols call others and that no file depends on (its id and name are its path); well-known-name: a symbol of the
+    conventional name of its file's language; framework: the symbol that holds a call of a router's method; test: a symbol of a test's
+    name. symbols: node_id, project, name, file; calls: caller, callee; edges: project, src, dst.
+    """
+    base = symbols.where("name <> '<module>'").select("project", F.col("node_id").cast("string").alias("id"), "name", "file", "node_id")
+    caller, callee = symbols.select(F.col("node_id").alias("caller"), "project", "file"), symbols.select(F.col("node_id").alias("callee"), F.lower("name").alias("called"))
+    busy = calls.join(caller, "caller").select("project", "file").distinct()
+    used = edges.where("dst is not null").select("project", F.col("dst").alias("file")).distinct()
+    alone = busy.join(used, ["project", "file"], "left_anti").select("project", F.col("file").alias("id"), F.col("file").alias("name"), "file", F.lit("orphan").alias("reason"))
+    usual = F.create_map(*(F.lit(x) for kv in ENTRY_NAMES.items() for x in kv))
+    known = base.where(F.try_element_at(usual, L.language_of(F.col("file"))) == F.col("name"))
+    route = F.when(F.col("called") == "route", "framework:route").when(F.col("called").isin(*ROUTE_NAMES), F.concat(F.lit("framework:http-"), "called"))
+    held = calls.join(callee, "callee").withColumn("reason", route).where("reason is not null").select(F.col("caller").alias("node_id"), "reason").distinct()
+    test = base.where(F.col("name").rlike(r"^test[_A-Z]|^Test[A-Z_]|^(?:it|describe)$"))
+    cols = ["project", "id", "name", "file", "reason"]
+    out = alone.select(*cols).unionByName(known.withColumn("reason", F.concat(F.lit("well-known-name:"), "name")).select(*cols))
+    return out.unionByName(base.join(held, "node_id").select(*cols)).unionByName(test.withColumn("reason", F.lit("test")).select(*cols)).distinct()
+
+
+def flow_trees(symbols: DataFrame, calls: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+    """root, at, path, hop, node, name, truncated of the tree of calls from each root (root: node ids).
+
+    The walk is depth first, callees by number of the call, then id. What was met before in the same walk isn't opened again (cycle), nor is
+    what lies at the depth (1 to 10). at numbers the rows of a tree in the order of the walk. Only calls within the depth of a root are
+    gathered: one task holds the calls around a root, not all calls.
+    """
+    depth = max(1, min(10, depth))
+    numbered = calls if "n" in calls.columns else calls.withColumn("n", F.lit(0))
+    near = reach(calls.select(F.col("caller").alias("from"), F.col("callee").alias("to")), roots, depth).where(F.col("hop") < depth).select("root", F.col("node").alias("caller"))
+    names = symbols.select(F.col("node_id").alias("callee"), F.col("name").alias("callee_name"))
+    around = near.join(numbered, "caller").join(names, "callee").select("root", "caller", "callee", "n", "callee_name")
+    tops = roots.select("root").distinct().join(symbols.select(F.col("node_id").alias("root"), F.col("name").alias("callee_name")), "root")
+    every = around.unionByName(tops.select("root", F.lit(None).cast(around.schema["caller"].dataType).alias("caller"), F.col("root").alias("callee"), F.lit(0).alias("n"), "callee_name"))
+    kind = symbols.schema["node_id"].dataType.simpleString()
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        root = group["root"].iloc[0]
+        names = dict(zip(group["callee"], group["callee_name"], strict=True))
+        inner = group[group["caller"].notna()].sort_values(["caller", "n", "callee"])
+        nexts: dict = {}
+        for caller, callee in zip(inner["caller"], inner["callee"], strict=True):
+            nexts.setdefault(type(callee)(caller), []).append(callee)
+        rows, seen, stack = [], set(), [(root, (), 0)]
+        while stack:
+            node, above, hop = stack.pop()
+            path = (*above, node)
+            why = "cycle" if node in seen else "depth" if hop >= depth else None
+            rows.append((root, len(rows), ">".join(map(str, path)), hop, node, names.get(node), why))
+            seen.add(node)
+            if why is None:
+                stack += [(x, path, hop + 1) for x in reversed(nexts.get(node, []))]
+        return pd.DataFrame(rows, columns=["root", "at", "path", "hop", "node", "name", "truncated"])
+
+    return every.groupBy("root").applyInPandas(walk, f"root {kind}, at int, path string, hop int, node {kind}, name string, truncated string")
+
+
+def impact_of(symbols: DataFrame, calls: DataFrame, targets: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What depends on symbols that targets (target: a name; file: a hint or null) name: rows (target, hop, file), each file at its first
+    hop and without the target's own, and one status row for each target: status (found, ambiguous, not_found), matches, files, truncated
+    (there are callers beyond the depth of 1 to 10)."""
+    depth = max(1, min(10, depth))
+    hint = F.col("h.file").isNull() | P.matches_hint(F.col("s.file"), F.col("h.file"))
+    asked = targets.select("target", "file").distinct()
+    named = asked.alias("h").join(symbols.where("name <> '<module>'").alias("s"), F.col("h.target") == F.col("s.name")).where(hint).select("h.target", "s.node_id", F.col("s.file").alias("own")).distinct()
+    matches = named.groupBy("target").agg(F.countDistinct("node_id").alias("matches"), F.min("node_id").alias("root"), F.min("own").alias("own"))
+    one = matches.where("matches = 1")
+    back = calls.select(F.col("callee").alias("from"), F.col("caller").alias("to"))
+    met = reach(back, one.select("root"), depth + 1).where("hop > 0")
+    placed = met.join(symbols.select(F.col("node_id").alias("node"), "file"), "node").join(one, "root")
+    files = placed.where((F.col("hop") <= depth) & (F.col("file") != F.col("own"))).groupBy("target", "file").agg(F.min("hop").alias("hop")).select("target", "hop", "file")
+    beyond = placed.groupBy("target").agg(F.max("hop").alias("far"))
+    counted = files.groupBy("target").agg(F.count("*").alias("files"))
+    state = F.when(F.col("matches").isNull(), "not_found").when(F.col("matches") > 1, "ambiguous").otherwise("found")
+    status = asked.select("target").distinct().join(matches, "target", "left").join(counted, "target", "left").join(beyond, "target", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("matches", "files")}
+    return files, status.withColumn("status", state).withColumns(zero).select("target", "status", "matches", "files", F.coalesce(F.col("far") > depth, F.lit(False)).alias("truncated"))
 
 
 def resolve(sites: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -103,15 +173,18 @@ def unresolved_share(resolved: DataFrame) -> DataFrame:
 
 
 def innermost_scope(points: DataFrame, scopes: DataFrame, key: str) -> DataFrame:
-    """For each point (key, line) the scope (key, scope_start, scope_end) that holds it and starts last; the one that ends first wins ties."""
-    inside = points.join(scopes, key).where("line between scope_start and scope_end")
+    """For each point (key, line) the scope (key, scope_start, scope_end) that holds it and starts last; the one that ends first wins ties.
+    Scopes and points meet in blocks of SPAN lines, so a point isn't compared with all scopes of its file."""
+    block = lambda c: F.floor(F.col(c) / SPAN)
+    held = scopes.where("scope_start <= scope_end").withColumn("_block", F.explode(F.sequence(block("scope_start"), block("scope_end"))))
+    inside = points.withColumn("_block", block("line")).join(held, [key, "_block"]).where("line between scope_start and scope_end")
     best = F.max(F.struct(F.col("scope_start"), (-F.col("scope_end")).alias("neg_end"))).alias("best")
     return inside.groupBy(key, "line").agg(best).select(key, "line", "best.scope_start", (-F.col("best.neg_end")).alias("scope_end"))
 
 
 def called_names(texts: DataFrame, text_col: str) -> DataFrame:
     """Identifiers before a parenthesis, other than keywords, with how often they occur."""
-    names = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), 1))
+    names = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)[ \t\n\x0b\f\r]*\("), 1))
     return texts.select(names.alias("name")).where(~F.col("name").isin(*NO_CALLS)).groupBy("name").agg(F.count("*").alias("n"))
 
 

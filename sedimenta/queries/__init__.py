@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def registered() -> tuple[dict, dict]:
-    from sedimenta.queries import corpus, graphs, pipeline, retrieval
+    from sedimenta.queries import corpus, fixtures, graphs, pipeline, retrieval
 
     found, sql = {}, {}
-    for module in (pipeline, corpus, graphs, retrieval):
+    for module in (pipeline, corpus, fixtures, graphs, retrieval):
         found |= module.QUERIES
         sql |= module.SQL
     return found, sql

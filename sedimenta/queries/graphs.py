@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import language as L
 from sedimenta.functions import paths as P
+from sedimenta.operators import calls as K
 from sedimenta.operators import graph as G
 from sedimenta.operators import imports as I
+from sedimenta.operators import resolution as R
 from sedimenta.operators import symbols as Y
 from sedimenta.operators.declared import declared_symbols
+from sedimenta.plans.workspace import Workspace
 from sedimenta.sources import tables as S
 
 
@@ -98,7 +101,7 @@ def list_symbols(spark, d):
 
 
 def entry_points(spark, d):
-    return Y.entry_points(_symbols(spark, d), _calls(spark, d))
+    return Y.entry_points(_symbols(spark, d), _calls(spark, d), _edges(spark, d))
 
 
 def impact_symbol(spark, d):
@@ -135,9 +138,9 @@ def unresolved_pct(spark, d):
 
 
 def scope_range_join(spark, d):
-    """The innermost chunk around every seventh line of a file."""
+    """The innermost chunk around every line of a file."""
     c = _t(spark, d, "chunks").select(F.concat_ws(":", "project", "rel_path").alias("file"), F.col("start_line").alias("scope_start"), F.col("end_line").alias("scope_end")).distinct()
-    points = c.groupBy("file").agg(F.max("scope_end").alias("n")).select("file", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)), F.lit(7))).alias("line"))
+    points = c.groupBy("file").agg(F.max("scope_end").alias("n")).select("file", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))).alias("line"))
     return Y.innermost_scope(points, c, "file")
 
 
@@ -176,6 +179,41 @@ def import_edges(spark, d):
     return found.select("project", F.col("rel_path").alias("src"), F.col("target").alias("dst"), "kind").distinct()
 
 
+def import_targets(spark, d):
+    """The file that each import of a chunk's file names, in any language."""
+    c = _t(spark, d, "chunks")
+    return R.resolve_all(I.extract(c), S.files_from_chunks(c, content=True))
+
+
+def call_sites(spark, d):
+    """Calls of all files with the symbol they stand in."""
+    return K.call_sites(S.files_from_chunks(_t(spark, d, "chunks"), content=True)).select("project", "file", "caller", "callee", "line", "source_module")
+
+
+def resolved_sites(spark, d):
+    """How many calls of each language are resolved how."""
+    c = _t(spark, d, "chunks")
+    ws = Workspace(spark, "sites")
+    files = ws.write(S.files_from_chunks(c, content=True), "files")
+    targets = R.resolve_all(I.extract(c), files).where("target is not null")
+    edges = targets.select("project", F.col("rel_path").alias("file"), F.col("target").alias("dep")).distinct()
+    modules = targets.select("project", F.col("rel_path").alias("file"), F.col("specifier").alias("source_module"), "target").distinct()
+    done = K.resolve_sites(K.call_sites(files), K.symbols_of(files), edges, modules, K.reexports_of(files))
+    return done.groupBy("language", "confidence").agg(F.count("*").alias("n"))
+
+
+def flow_trees(spark, d):
+    """The tree of calls from each symbol whose id is divisible by 50, with what ends its branches."""
+    roots = _symbols(spark, d).where("node_id % 50 = 0").select(F.col("node_id").alias("root"))
+    return Y.flow_trees(_symbols(spark, d), _calls(spark, d), roots)
+
+
+def impact_names(spark, d):
+    """The status of every symbol's name as a target of an impact query."""
+    s = _symbols(spark, d)
+    return Y.impact_of(s, _calls(spark, d), s.where("node_id % 50 = 0").select(F.col("name").alias("target"), F.lit(None).cast("string").alias("file")))[1]
+
+
 def extract_symbols(spark, d):
     return declared_symbols(S.files_from_chunks(_t(spark, d, "chunks"), content=True)).select("project", "file", "name", "qualified_name", "kind", "line", "end_line")
 
@@ -193,7 +231,7 @@ def edge_languages(spark, d):
 QUERIES = {f.__name__: f for f in (
     file_dependencies, graph_stats, graph_degrees, graph_top_connected, graph_orphans, impact_file, cyclic_files, mermaid, viz_symbols_capped, name_index, reverse_index, symbol_context, symbol_callers, list_symbols,
     entry_points, impact_symbol, call_flow, flow_paths, resolve_calls, unresolved_pct, scope_range_join, longest_prefix_join, extract_imports, resolve_relative, import_resolution, module_targets, import_edges,
-    extract_symbols, fallback_calls, edge_languages,
+    import_targets, call_sites, resolved_sites, flow_trees, impact_names, extract_symbols, fallback_calls, edge_languages,
 )}
 
 _E = r"""e AS (SELECT DISTINCT project, regexp_replace(replace(src, '\', '/'), '^(\./)+', '') AS src, regexp_replace(replace(dst, '\', '/'), '^(\./)+', '') AS dst, type FROM edges WHERE src IS NOT NULL),
@@ -208,9 +246,6 @@ _RESOLVE = f"""{_E}, {_S}, site AS (SELECT DISTINCT a.project, a.file, b.name FR
     JOIN k ON k.project = t.project AND k.file = r.dst AND k.name = t.name GROUP BY ALL),
   res AS (SELECT t.project, t.file, t.name, CASE WHEN loc.ids IS NOT NULL THEN 'local' WHEN near.ids IS NULL THEN 'unresolved' WHEN n = 1 THEN 'unique' ELSE 'multiple-candidates' END AS confidence,
     coalesce(loc.ids, near.ids, '') AS targets FROM site t LEFT JOIN loc USING (project, file, name) LEFT JOIN near USING (project, file, name))"""
-_NO = ", ".join(f"'{x}'" for x in Y.NO_CALLS)
-_ENTRY = ", ".join(f"'{x}'" for x in Y.ENTRY_NAMES)
-_ROUTES = ", ".join(f"'{x}'" for x in Y.ROUTE_NAMES)
 _EXT = "lower(regexp_extract(regexp_extract({0}, '[^/]*$'), '^.+?(\\.[^.]+)$', 1))"
 _LANG = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in L.LANGUAGES.items()) + ")"
 
@@ -239,21 +274,31 @@ SQL = {
         SELECT s.node_id, project, name, file, line, coalesce(a.n, 0) AS n_callers, coalesce(a.l, '') AS callers, coalesce(b.n, 0) AS n_callees, coalesce(b.l, '') AS callees FROM s LEFT JOIN a USING (node_id) LEFT JOIN b USING (node_id)""",
     "symbol_callers": f"WITH {_S} SELECT callee, caller, name AS caller_name, file, line FROM c JOIN s ON s.node_id = c.caller",
     "list_symbols": f"WITH {_S} SELECT node_id, name, file, line FROM s WHERE contains(lower(name), 'flush') AND name <> '<module>' ORDER BY encode(name), encode(file), line, node_id LIMIT 200",
-    "entry_points": f"""WITH {_S} SELECT node_id, name, file, 'orphan' AS reason FROM s WHERE node_id IN (SELECT caller FROM c) AND node_id NOT IN (SELECT callee FROM c)
-        UNION ALL SELECT node_id, name, file, 'conventional name' FROM s WHERE name IN ({_ENTRY}) UNION ALL SELECT node_id, name, file, 'route' FROM s WHERE lower(name) IN ({_ROUTES})
-        UNION ALL SELECT node_id, name, file, 'test' FROM s WHERE regexp_matches(name, '^(?:test_|Test[A-Z_]|it$|describe$)|(?:Test|_test|Spec)$')""",
+    "entry_points": f"""WITH {_E}, {_S}, busy AS (SELECT DISTINCT s.project, s.file FROM c JOIN s ON s.node_id = c.caller),
+        l AS (SELECT *, lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM s WHERE name <> '<module>')
+        SELECT project, file AS id, file AS name, file, 'orphan' AS reason FROM busy b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.project = b.project AND r.dst = b.file)
+        UNION SELECT project, node_id::VARCHAR, name, file, 'well-known-name:' || name FROM l
+          WHERE name = 'main' AND ext IN ('js', 'jsx', 'mjs', 'cjs', 'ts', 'tsx', 'mts', 'cts', 'py', 'pyw', 'pyi', 'go', 'rs', 'java', 'kt', 'kts', 'scala', 'c', 'h', 'cpp', 'hpp', 'cc', 'hh', 'cxx', 'swift', 'rb', 'php', 'dart') OR name = 'Main' AND ext = 'cs'
+        UNION SELECT l.project, l.node_id::VARCHAR, l.name, l.file, CASE WHEN lower(k.name) = 'route' THEN 'framework:route' ELSE 'framework:http-' || lower(k.name) END FROM c JOIN l ON l.node_id = c.caller JOIN s k ON k.node_id = c.callee
+          WHERE lower(k.name) IN ('get', 'post', 'put', 'delete', 'patch', 'head', 'options', 'all', 'use', 'route')
+        UNION SELECT project, node_id::VARCHAR, name, file, 'test' FROM l WHERE regexp_matches(name, '^test[_A-Z]|^Test[A-Z_]|^(?:it|describe)$')""",
     "impact_symbol": f"WITH RECURSIVE {_S}, {_reach('node_id % 50 = 0', 'callee', 'caller', 3)} SELECT root, node, hop FROM first WHERE hop > 0",
     "call_flow": f"WITH RECURSIVE {_S}, {_reach('node_id % 50 = 0', 'caller', 'callee', 5)} SELECT root, node, hop FROM first",
+    "impact_names": f"""WITH RECURSIVE {_S}, t AS (SELECT DISTINCT name AS target FROM s WHERE node_id % 50 = 0), m AS (SELECT target, count(DISTINCT node_id) AS matches, min(node_id) AS root, min(file) AS own FROM t JOIN s ON s.name = target WHERE name <> '<module>' GROUP BY target),
+        w AS (SELECT target, own, root AS node, 0 AS hop FROM m WHERE matches = 1 UNION SELECT w.target, w.own, c.caller, w.hop + 1 FROM w JOIN c ON c.callee = w.node WHERE w.hop < 4), g AS (SELECT target, own, node, min(hop) AS hop FROM w GROUP BY ALL),
+        f AS (SELECT target, count(DISTINCT file) FILTER (hop BETWEEN 1 AND 3 AND file <> own) AS files, max(hop) > 3 AS truncated FROM g JOIN s ON s.node_id = g.node GROUP BY target)
+        SELECT t.target, CASE WHEN matches IS NULL THEN 'not_found' WHEN matches > 1 THEN 'ambiguous' ELSE 'found' END AS status, coalesce(matches, 0) AS matches, coalesce(files, 0) AS files, coalesce(truncated, false) AS truncated FROM t LEFT JOIN m USING (target) LEFT JOIN f USING (target)""",
     "flow_paths": f"""WITH RECURSIVE {_S}, w AS (SELECT node_id AS root, node_id AS tip, [node_id] AS p, 0 AS hop FROM s WHERE node_id % 50 = 0
         UNION ALL SELECT w.root, c.callee, list_append(w.p, c.callee), w.hop + 1 FROM w JOIN c ON c.caller = w.tip WHERE w.hop < 5 AND NOT list_contains(w.p, c.callee)) SELECT root, array_to_string(p, '>') AS path, hop FROM w""",
     "resolve_calls": f"WITH {_RESOLVE} SELECT * FROM res",
     "unresolved_pct": f"WITH {_RESOLVE} SELECT project, count(*) AS sites, round(100 * avg(CASE WHEN confidence = 'unresolved' THEN 1.0 ELSE 0.0 END), 4) AS unresolved_pct FROM res GROUP BY project",
-    "scope_range_join": """WITH c AS (SELECT DISTINCT project || ':' || rel_path AS file, start_line AS a, end_line AS b FROM chunks), p AS (SELECT file, unnest(range(1, greatest(max(b), 1) + 1, 7)) AS line FROM c GROUP BY file),
+    "scope_range_join": """WITH c AS (SELECT DISTINCT project || ':' || rel_path AS file, start_line AS a, end_line AS b FROM chunks), p AS (SELECT file, unnest(range(1, greatest(max(b), 1) + 1)) AS line FROM c GROUP BY file),
         j AS (SELECT p.file, line, a, b, row_number() OVER (PARTITION BY p.file, line ORDER BY a DESC, b) AS rn FROM p JOIN c ON c.file = p.file AND line BETWEEN a AND b) SELECT file, line, a AS scope_start, b AS scope_end FROM j WHERE rn = 1""",
     "longest_prefix_join": """WITH f AS (SELECT DISTINCT project, rel_path FROM chunks), m AS (SELECT DISTINCT project, CASE WHEN contains(rel_path, '/') THEN regexp_replace(rel_path, '/[^/]*$', '') ELSE '' END AS folder FROM f
           WHERE regexp_matches(rel_path, '(?:^|/)(?:package-lock\\.json|[^/]*\\.ya?ml)$')),
         j AS (SELECT f.project, rel_path, folder, row_number() OVER (PARTITION BY f.project, rel_path ORDER BY length(folder) DESC) AS rn FROM f JOIN m ON m.project = f.project AND (folder = '' OR starts_with(rel_path, folder || '/')))
         SELECT f.project, f.rel_path, folder FROM f LEFT JOIN (SELECT * FROM j WHERE rn = 1) j USING (project, rel_path)""",
-    "fallback_calls": f"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS name FROM documents) WHERE name NOT IN ({_NO}) GROUP BY name",
+    "fallback_calls": """SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)[ \\t\\n\\x0b\\f\\r]*\\(', 1)) AS name FROM documents)
+        WHERE name NOT IN ('if', 'for', 'while', 'switch', 'return', 'function', 'def', 'fn', 'func', 'class', 'new') GROUP BY name""",
     "edge_languages": f"WITH {_E} SELECT coalesce(a.l, 'plaintext') AS src_language, coalesce(b.l, 'plaintext') AS dst_language, type, count(*) AS n FROM r LEFT JOIN {_LANG} a(x, l) ON a.x = {_EXT.format('src')} LEFT JOIN {_LANG} b(x, l) ON b.x = {_EXT.format('dst')} GROUP BY ALL",
 }

@@ -107,3 +107,97 @@ def declarations(files: DataFrame) -> DataFrame:
 
     known = files.where(F.col("language").isin(*_DECLARATION) & F.col("content").isNotNull()).select("project", "rel_path", "language", "content")
     return known.mapInPandas(go, "project string, rel_path string, start_line int, end_line int")
+
+
+SMALL_LINES, LARGE_LINES = 5, 150  # a declaration of fewer lines joins its neighbours; a longer group is cut into windows
+
+
+def _windows(first: int, last: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Lines first to last (inclusive) in windows."""
+    out, at = [], first
+    while True:
+        end = min(at + size - 1, last)
+        out.append((at, end))
+        if end == last:
+            return out
+        at += size - overlap
+
+
+def region_spans(n: int, regions: list[tuple[int, int]], size: int = WINDOW_LINES, overlap: int = OVERLAP_LINES) -> list[tuple[int, int]]:
+    """The line spans that a file of n lines is cut into along its declarations (start, end, end exclusive; from 1).
+
+    What stands before the first and after the last is a span of its own; lines between two declarations go with the second. A small
+    declaration joins the group before it as long as that stays within a window.
+    """
+    groups: list[list[int]] = []
+    end = regions[0][0]
+    for lo, hi in regions:
+        start = min(end, lo)
+        if groups and hi - groups[-1][0] <= size and hi - lo < SMALL_LINES:
+            groups[-1][1] = hi
+        else:
+            groups.append([start, hi])
+        end = hi
+    spans = [(1, regions[0][0] - 1)] if regions[0][0] > 1 else []
+    for lo, hi in groups:
+        spans += [(lo, hi - 1)] if hi - lo <= LARGE_LINES else _windows(lo, hi - 1, size, overlap)
+    return spans + ([(end, n)] if end <= n else [])
+
+
+def merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Regions by start, those that overlap or touch united."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(regions):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def file_spans(text: str, language: str | None) -> list[tuple[int, int, str]]:
+    """start_line, end_line, content of the chunks of a text: by characters where lines are very wide, as a whole if short, along the
+    declarations where the language has some, else in windows; none is longer than MAX_CHARS, and none is blank."""
+    from sedimenta.operators.declared import pattern_symbols, python_symbols
+
+    lines = text.split("\n")
+    n = len(lines)
+    if len(text) / n > MINIFIED_WIDTH:
+        whole, boundaries = [(1, n)], "\n \t;,"
+    else:
+        boundaries = "\n"
+        whole = [(1, n)]
+        if n > WINDOW_LINES:
+            found = (python_symbols(text) if language == "python" else None) or pattern_symbols(text, language or "")
+            regions = merged([(s[3], s[4] + 1) for s in found if "." not in s[1] and s[2] != "variable"])
+            whole = region_spans(n, regions) if regions else _windows(1, n, WINDOW_LINES, OVERLAP_LINES)
+    out = []
+    for lo, hi in whole:
+        line = lo
+        for piece in split_chars("\n".join(lines[lo - 1 : hi]), MAX_CHARS, boundaries):
+            breaks = piece.count("\n")
+            if piece.strip():
+                out.append((line, min(hi, line + breaks - (piece.endswith("\n") and breaks > 0)), piece))
+            line += breaks
+    return out
+
+
+def chunk_files(files: DataFrame) -> DataFrame:
+    """chunk_id, rel_path, language, start_line, end_line, content, content_hash of the chunks of files (rel_path, content, language). Ids
+    come from path, start line and, where several chunks start in one line, their number."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text, language, h in b.itertuples(index=False):
+                part, last = 0, None
+                for lo, hi, piece in file_spans(text, language):
+                    part = part + 1 if lo == last else 0
+                    last = lo
+                    rows.append((path, language, lo, hi, part, piece, h))
+            yield pd.DataFrame(rows, columns=["rel_path", "language", "start_line", "end_line", "part", "content", "content_hash"])
+
+    known = files.where("content is not null").select("rel_path", "content", "language", T.content_hash(F.col("content")).alias("content_hash"))
+    cut = known.mapInPandas(go, "rel_path string, language string, start_line int, end_line int, part int, content string, content_hash string")
+    own = T.chunk_id(F.col("rel_path"), F.col("start_line"))
+    return cut.select(F.when(F.col("part") == 0, own).otherwise(T.continuation_id(own, F.col("part"))).alias("chunk_id"), "rel_path", "language", "start_line", "end_line", "content", "content_hash")

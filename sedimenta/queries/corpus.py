@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta import index as X
 from sedimenta.functions import language as L
 from sedimenta.functions import paths as P
 from sedimenta.functions import text as T
 from sedimenta.operators import chunking as C
 from sedimenta.operators import maintenance as M
+from sedimenta.operators.embedding import HashedEmbedder
+from sedimenta.plans.workspace import remove, shared_dir
 from sedimenta.sources import tables as S
+from sedimenta.store import Store
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -112,6 +118,25 @@ def declarations(spark, d):
     return C.declarations(files)
 
 
+def file_chunks(spark, d):
+    """The chunks of every file by its declarations, windows or characters, as an index stores them."""
+    files = S.files_from_chunks(_t(spark, d, "chunks"), content=True).select(F.concat_ws("/", "project", "rel_path").alias("rel_path"), "content", "language")
+    return C.chunk_files(files).select("chunk_id", "rel_path", "start_line", "end_line", F.length("content").alias("n_chars"))
+
+
+def index_changes(spark, d):
+    """What a second run over the documents has to do, after those in German were edited and those without a language taken out."""
+    docs = _t(spark, d, "documents").select(F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")).alias("rel_path"), F.col("text").alias("content"), F.lit("markdown").alias("language"), "lang")
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    edited = F.when(F.lower("lang") == "de", F.concat("content", F.lit(" (edited)"))).otherwise(F.col("content"))
+    X.update_index(store, "docs", docs, HashedEmbedder(16))
+    done = X.update_index(store, "docs", docs.where("lang is not null").withColumn("content", edited), HashedEmbedder(16))
+    rows = [(k, getattr(done, k)) for k in ("added", "updated", "removed", "unchanged")]
+    X.remove_index(store, "docs")
+    remove(spark, store.root)
+    return spark.createDataFrame(rows, "status string, n long")
+
+
 def artifact_concat(spark, d):
     return M.artifact_texts(_t(spark, d, "documents").select(F.col("source").alias("artifact"), F.concat_ws("/", "source", "doc_id").alias("path"), "text")).select(
         "artifact", "files", F.length("content").alias("n_chars"), T.content_hash(F.col("content")).alias("hash")
@@ -167,7 +192,7 @@ def run_progress(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_documents, scan_size_cap, skip_reasons, filter_extension, lang_from_ext, detect_language, directory_hashes, ignored_files, path_functions, path_like, doc_text, chunk_ids, chunk_lines, chunk_strategy,
-    chunk_chars, chunk_cap_invariant, merge_regions, declarations, artifact_concat, artifact_chunks, lang_histogram, upsert_chunks, delete_chunks, incremental_diff, reconcile_hashes, inventory, run_progress,
+    chunk_chars, file_chunks, index_changes, chunk_cap_invariant, merge_regions, declarations, artifact_concat, artifact_chunks, lang_histogram, upsert_chunks, delete_chunks, incremental_diff, reconcile_hashes, inventory, run_progress,
 )}
 
 _FILES = "SELECT coalesce(source, '') || '/' || doc_id AS rel_path, coalesce(source, '') AS project, text AS content, strlen(text) AS size, sha256(text)[1:16] AS content_hash FROM documents"
@@ -188,6 +213,8 @@ def _windows(table: str, key: str, text: str, size: int, overlap: int) -> str:
 
 
 SQL = {
+    "index_changes": """SELECT s.status, count(*) FILTER (t.status = s.status) AS n FROM (VALUES ('added'), ('updated'), ('removed'), ('unchanged')) s(status),
+        (SELECT CASE WHEN lang IS NULL THEN 'removed' WHEN lower(lang) = 'de' THEN 'updated' ELSE 'unchanged' END AS status FROM documents WHERE text IS NOT NULL) t GROUP BY s.status""".replace("SELECT status,", "SELECT s.status,"),
     "scan_documents": f"SELECT rel_path, project, size, content_hash, len(string_split(content, chr(10))) AS n_lines FROM ({_FILES})",
     "scan_size_cap": f"SELECT rel_path, size FROM ({_FILES}) WHERE size <= 2000",
     "skip_reasons": f"SELECT CASE WHEN size > 2000 THEN 'oversized' WHEN NOT regexp_matches(content, '[^ \\t\\n\\x0b\\f\\r]') THEN 'empty' ELSE 'indexed' END AS reason, count(*) AS n FROM ({_FILES}) GROUP BY 1",

@@ -214,7 +214,7 @@ def _windows(table: str, key: str, text: str, size: int, overlap: int) -> str:
 
 SQL = {
     "index_changes": """SELECT s.status, count(*) FILTER (t.status = s.status) AS n FROM (VALUES ('added'), ('updated'), ('removed'), ('unchanged')) s(status),
-        (SELECT CASE WHEN lang IS NULL THEN 'removed' WHEN lower(lang) = 'de' THEN 'updated' ELSE 'unchanged' END AS status FROM documents WHERE text IS NOT NULL) t GROUP BY s.status""".replace("SELECT status,", "SELECT s.status,"),
+        (SELECT CASE WHEN lang IS NULL THEN 'removed' WHEN lower(lang) = 'de' THEN 'updated' ELSE 'unchanged' END AS status FROM documents WHERE text IS NOT NULL) t GROUP BY s.status""",
     "scan_documents": f"SELECT rel_path, project, size, content_hash, len(string_split(content, chr(10))) AS n_lines FROM ({_FILES})",
     "scan_size_cap": f"SELECT rel_path, size FROM ({_FILES}) WHERE size <= 2000",
     "skip_reasons": f"SELECT CASE WHEN size > 2000 THEN 'oversized' WHEN NOT regexp_matches(content, '[^ \\t\\n\\x0b\\f\\r]') THEN 'empty' ELSE 'indexed' END AS reason, count(*) AS n FROM ({_FILES}) GROUP BY 1",

@@ -3,8 +3,8 @@
 A configuration is a multiset of sizes that fits into a container. The program chooses how often each configuration is used so that every
 size of the length histogram is covered by as few containers as possible. It is solved by multiplicative weights: each size has a weight,
 the best configurations under the weights are found by knapsack dynamic programming, and the weights of the sizes they cover shrink, until
-every size is covered. The fractional solution is rounded, down and then up, as far as the histogram holds the configuration and it leaves
-no gap to speak of, and what is left is packed largest size first, each time filled up as well as possible.
+every size is covered. The fractional solution is rounded in several ways, as far as the histogram holds the configuration and it leaves
+no gap to speak of; what is left is packed largest size first, each time filled up as well as possible, and the best of the ways is taken.
 Everything works on the histogram, whose size is bounded by the capacity, so the cost doesn't grow with the number of texts.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -106,11 +106,29 @@ def fill_up(left: Counter, room: int) -> list[int]:
 
 
 def plan_containers(histogram: dict[int, int], capacity: int, steps: int = 200) -> list[tuple[dict[int, int], int]]:
-    """Configurations (size -> count) with the number of containers that use them; together they hold the histogram exactly."""
-    left = Counter({s: n for s, n in histogram.items() if n > 0})
-    if any(not 0 < s <= capacity for s in left):
+    """Configurations (size -> count) with the number of containers that use them; together they hold the histogram exactly. The program's
+    solution is rounded down and up, down alone, or, where it leaves fewer containers, to nothing; what a rounding leaves is filled up."""
+    need = Counter({s: n for s, n in histogram.items() if n > 0})
+    if any(not 0 < s <= capacity for s in need):
         raise ValueError("sizes must be from 1 to the capacity")
     plan: list[tuple[dict[int, int], int]] = []
+    if need.pop(capacity, 0):
+        plan.append(({capacity: 1}, histogram[capacity]))
+    sizes = np.array(sorted(need), np.int64)
+    if not len(sizes):
+        return plan
+    full: dict[tuple, float] = {}
+    if steps:
+        solved, _ = fractional(sizes, np.array([need[int(s)] for s in sizes], float), capacity, steps)
+        # a configuration with a gap is left to the last step
+        full = {k: v for k, v in solved.items() if sum(s * n for s, n in k) >= capacity * 0.995}
+    up = lambda amount: math.ceil(amount) - math.floor(amount)
+    ways = ([math.floor, up], [math.floor], []) if full else ([],)
+    return plan + min((_rounded(need, full, way, capacity) for way in ways), key=lambda p: sum(n for _, n in p))
+
+
+def _rounded(need: Counter, solved: dict[tuple, float], ways: list[Callable], capacity: int) -> list[tuple[dict[int, int], int]]:
+    left, plan = need.copy(), []
 
     def use(config: dict[int, int], times: int) -> None:
         plan.append((config, times))
@@ -119,19 +137,11 @@ def plan_containers(histogram: dict[int, int], capacity: int, steps: int = 200)
             if not left[s]:
                 del left[s]
 
-    if left.pop(capacity, 0):
-        plan.append(({capacity: 1}, histogram[capacity]))
-    sizes = np.array(sorted(left), np.int64)
-    if len(sizes) and steps:
-        need = np.array([left[int(s)] for s in sizes], float)
-        solved, _ = fractional(sizes, need, capacity, steps)
-        # a configuration with a gap is left to the last step
-        full = sorted((k for k in solved if sum(s * n for s, n in k) >= capacity * 0.995), key=lambda k: (math.floor(solved[k]) - solved[k], k))
-        for rounded in (math.floor, lambda amount: math.ceil(amount) - math.floor(amount)):
-            for key in full:
-                times = min([rounded(solved[key]), *(left[s] // n for s, n in key)])
-                if times > 0:
-                    use(dict(key), times)
+    for way in ways:
+        for key in sorted(solved, key=lambda k: (math.floor(solved[k]) - solved[k], k)):
+            times = min([way(solved[key]), *(left[s] // n for s, n in key)])
+            if times > 0:
+                use(dict(key), times)
     while left:
         top = max(left)
         rest = left.copy()

@@ -310,3 +310,19 @@ def test_pairs_left_out_gain_nothing():
             spans = [(m.group(), t[m.start() - 1] if m.start() else " ", t[m.end()] if m.end() < len(t) else " ") for m in pair.pattern.finditer(t)]
             gain = sum(max(0.0, decoder._gain(k, *s)[1]) for s in spans)
             assert k in kept or gain <= 2 * pair.cost + 1e-6, (t, pair.name)
+
+
+def test_the_program_saves_containers():
+    count = lambda h, capacity, steps: sum(n for _, n in plan_containers(h, capacity, steps))
+    for capacity, h in ((50, {16: 19, 17: 39, 18: 9}), (20, {3: 55, 4: 7, 5: 6, 7: 59, 8: 30, 11: 24}), (30, {5: 6, 7: 52, 11: 60, 12: 56, 13: 42, 14: 22})):
+        assert count(h, capacity, 200) < 0.9 * count(h, capacity, 0)
+    r = random.Random(7)
+    for _ in range(40):
+        h = {s: r.randint(5, 60) for s in r.sample(range(5, 34), 6)}
+        plan = plan_containers(h, 50)
+        assert sum(n for _, n in plan) <= count(h, 50, 0)
+        held = Counter()
+        for config, n in plan:
+            held.update({s: k * n for s, k in config.items()})
+            assert sum(s * k for s, k in config.items()) <= 50
+        assert held == h

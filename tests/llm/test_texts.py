@@ -13,7 +13,7 @@ from sedimenta.llm.credentials import Candidate, candidates, extract, redact, re
 from sedimenta.llm.mixing import epochs, mix_sources
 from sedimenta.llm.packing import fill_report, fill_up, fractional, pack, plan_containers
 from sedimenta.llm.splitting import split_oversized, split_text
-from sedimenta.llm.tokens import running_totals, token_counts
+from sedimenta.llm.tokens import counter, running_totals, token_counts
 
 CODE = "def f(a):\n    return a + 1\n\n\ndef g(b):\n    return f(b) * 2\n" * 12
 
@@ -326,3 +326,9 @@ def test_the_program_saves_containers():
             held.update({s: k * n for s, k in config.items()})
             assert sum(s * k for s, k in config.items()) <= 50
         assert held == h
+
+
+@pytest.mark.skipif(not Path("/opt/tokenizers/byte_bpe_50k.json").exists(), reason="no tokenizers")
+def test_both_forms_of_a_vocabulary_count_alike():
+    texts = ["", "plain words", "  spaces \n\n\tand tabs  ", "naïve 数据 😀 <|endoftext|> it's 12345", "x" * 5000, "a b " * 3000, "e\u0301\r\n\u00a0\u3000end"]
+    assert counter("/opt/tokenizers/byte_bpe_50k.tiktoken")(texts) == counter("/opt/tokenizers/byte_bpe_50k.json")(texts)

@@ -249,7 +249,15 @@ class Grammar:
 
             return alt
 
+        uses: dict[str, int] = {}
+        for node in self.rules.values():
+            for r in _refs(node):
+                uses[r] = uses.get(r, 0) + 1
+
         def ref(name):
+            if name not in made and uses.get(name) == 1 and name not in _refs(self.rules[name]):
+                # used in one place alone, whose own result is kept, so it isn't asked twice
+                made[name] = build(self.rules[name])
             if name not in made:
                 number = names[name]
 

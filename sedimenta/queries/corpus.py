@@ -106,7 +106,7 @@ def chunk_cap_invariant(spark, d):
     pieces = C.capped(_t(spark, d, "documents"), "doc_id", "text", 2000)
     whole = pieces.groupBy("id").agg(F.max(F.length("piece")).alias("longest"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x.piece), "").alias("joined"))
     docs = _t(spark, d, "documents")
-    return whole.join(docs, whole.id == docs.doc_id).select("doc_id", ((F.col("joined") == F.col("text")) & (F.col("longest") <= 2001)).alias("ok"))
+    return whole.join(docs, whole.id == docs.doc_id).select("doc_id", ((F.col("joined") == F.col("text")) & (F.col("longest") <= 2000)).alias("ok"))
 
 
 def merge_regions(spark, d):

@@ -20,8 +20,14 @@ SPECIAL_NAMES = ("Dockerfile", "Makefile", "Rakefile", "Gemfile", "Procfile", ".
 # Interpreters of shebang lines.
 INTERPRETERS = {"python": ".py", "node": ".js", "deno": ".ts", "bun": ".ts", "sh": ".sh", "bash": ".sh", "zsh": ".sh", "dash": ".sh", "ksh": ".sh", "ash": ".sh", "nodejs": ".js", "ruby": ".rb", "php": ".php", "lua": ".lua"}
 # Signs of a language in the head of a file without extension.
-PYTHON_SIGNS = (r"(?m)^\s*def \w+\(.*\).*:", r"(?m)^\s*(?:from \w[\w.]* )?import \w", r"(?m)^\s*class \w+.*:", r"(?m)^if __name__ ==")
-SHELL_SIGNS = (r"(?m)^\s*(?:if|elif) \[", r"(?m)^\s*(?:fi|done|esac)\s*$", r"(?m)^\s*\w+\(\)\s*\{", r"(?m)^\s*(?:export|local) \w+=", r"(?m)\$\{?\w+\}?")
+PYTHON_SIGNS = (
+    r"(?m)^from\s+\.*(?:[A-Za-z_][\w.]*)?\s+import\s", r"(?m)^import\s+[A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)*\s*$",
+    r"(?m)^\s*def\s+\w+\s*\([^)]*\)\s*(?:->[^:]+)?:", r"(?m)^\s*class\s+\w+(?:\([^)]*\))?\s*:",
+)
+SHELL_SIGNS = (
+    r"(?m)^\s*set\s+-[euxo]", r"(?m)^\s*if\s+\[\[?\s.*\]\]?\s*;\s*then\b", r"(?m)^\s*(?:fi|esac|done)\s*$", r"(?m)^\s*function\s+\w+",
+    r"(?m)^\s*\w+\s*\(\)\s*\{", r"\$\{?\d|\$\{[A-Za-z_]",
+)
 
 
 def language_of(path: Column, extra: dict[str, str] | None = None) -> Column:
@@ -39,6 +45,7 @@ def sniffed_extension(head: Column) -> Column:
     """The extension that the head of a file without one stands for: by its shebang (an unknown interpreter means .txt), else by signs of
     python or shell; null for binaries and where nothing speaks for either."""
     line = F.regexp_extract(head, r"^#!([^\n]*)", 1)
+    line = F.regexp_replace(line, r"(\bnice\b(?:\s+-\S+)*?)\s+-n\s+\S+|(\b(?:sudo|doas|env)\b(?:\s+-\S+)*?)\s+-u\s+\S+", "$1$2")
     words = F.filter(F.split(line, r"\s+"), lambda w: (w != "") & ~w.rlike(r"(?:^|/)(?:env|nice|sudo|doas|time|with-contenv)$") & ~w.startswith("-") & ~w.contains("="))
     program = F.regexp_replace(paths.base(F.coalesce(F.get(words, F.lit(0)), F.lit(""))), r"[\d.]+$", "")
     shebang = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in INTERPRETERS.items() for x in kv)), program), F.lit(".txt"))

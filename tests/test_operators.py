@@ -261,3 +261,12 @@ def test_sql_surface(spark, tmp_path):
     assert [r.name for r in rows] == ["f"]
     assert [r.piece for r in spark.sql("SELECT * FROM split_text('a b c', 2, ' ')").collect()] == ["a ", "b ", "c"]
     assert [r.chunk_id for r in sqlapi.search(spark, spark.table("chunks"), "def f").collect()] == ["c1"]
+
+
+def test_shebangs_and_signs(spark):
+    rows = {
+        "#!/usr/bin/env -u HOME python3.11\n": ".py", "#!/usr/bin/sudo -n -u bob nodejs\n": ".js", "#!/bin/nice -n 5 /bin/ash\n": ".sh", "#!/usr/bin/env X=1 ruby\n": ".rb", "#!/opt/odd\n": ".txt",
+        "import os, sys\n": ".py", "import it all\n": None, "set -e\necho ${HOME}\n": ".sh", "echo hi\n": None, "def f(x) -> int:\n  pass\n": ".py", "a\x00b": None,
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "head string")
+    assert {r.head: r.ext for r in df.select("head", language.sniffed_extension(F.col("head")).alias("ext")).collect()} == rows

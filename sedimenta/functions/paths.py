@@ -49,3 +49,8 @@ def looks_like_path(text: Column) -> Column:
 
 def matches_hint(path: Column, hint: Column) -> Column:
     return (path == hint) | F.endswith(path, F.concat(F.lit("/"), hint))
+
+
+def without_extension(path: Column) -> Column:
+    """Without the extension of the last part, if it has one beside its name; of declaration files both go."""
+    return F.regexp_replace(path, r"(?<=[^/])(?:\.d)?\.[A-Za-z0-9]{1,5}$", "")

@@ -25,8 +25,8 @@ def glob_regex(pattern: str) -> str:
     body = pattern.strip("/")
     anchored = "/" in pattern.rstrip("/")
     out = ""
-    for part in re.split(r"(\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\])", body):
-        out += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part.startswith("[") else re.sub(r"([^\w/ -])", r"\\\1", part))
+    for part in re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\])", body):
+        out += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part if part.startswith("[") else re.sub(r"([^\w/ -])", r"\\\1", part))
     return ("^" if anchored else "(?:^|/)") + out + ("/" if folder else "(?:/|$)")
 
 
@@ -36,6 +36,29 @@ def ignored(files: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
     return files.withColumn("ignored", verdict)
 
 
+MOST_RULES = 10_000
+
+
+def ignore_rules(files: DataFrame, names: tuple[str, ...] = (".gitignore", ".ignore")) -> list[tuple[str, bool]]:
+    """The rules (pattern, keep) that the ignore files of a project state, for ignored(): those of outer folders first, by line.
+
+    files: rel_path, content of one project. The patterns of a nested file hold below its folder. Lines that begin with # and empty ones
+    are left out, an exclamation mark keeps. There may be MOST_RULES rules, more raise an error.
+    """
+    path = F.col("rel_path")
+    lines = files.where(P.base(path).isin(*names) & F.col("content").isNotNull()).select(P.folder(path).alias("folder"), "rel_path", F.posexplode(F.split("content", "\\r?\\n")).alias("n", "line"))
+    kept = lines.where(~F.col("line").rlike(r"^\s*(?:#|$)")).limit(MOST_RULES + 1).collect()
+    if len(kept) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    rules = []
+    for r in sorted(kept, key=lambda r: (r.rel_path.count("/"), r.rel_path, r.n)):
+        keep, pattern = r.line.startswith("!"), r.line.lstrip("!").rstrip()
+        if r.folder:
+            pattern = f"/{r.folder}/" + (pattern.lstrip("/") if "/" in pattern.rstrip("/") else f"**/{pattern}")
+        rules.append((pattern, keep))
+    return rules
+
+
 def without_environments(files: DataFrame) -> DataFrame:
     """Files outside of folders that hold an environment's marker; a join on all folders above a file."""
     marker = files.where(F.col("rel_path").rlike(r"(?:^|/)(?:pyvenv\.cfg|conda-meta/[^/]*)$"))

@@ -63,10 +63,11 @@ class DeclaredSymbols:
             yield from (python_symbols(content) or [] if language == "python" else pattern_symbols(content, language or ""))
 
 
-def _once(chunks: DataFrame, file: str | None, language: str | None) -> DataFrame:
-    """One row for each chunk that passes the filters."""
-    rows = chunks.where(F.col("rel_path") == file) if file else chunks
-    rows = rows.where(F.col("language") == language) if language else rows
+def _once(chunks: DataFrame, terms: dict[str, object]) -> DataFrame:
+    """One row for each chunk whose columns equal all terms but those of None."""
+    rows = chunks
+    for name, value in terms.items():
+        rows = rows if value is None else rows.where(F.col(name) == F.lit(value))
     more = [F.any_value("embedding").alias("embedding")] if "embedding" in chunks.columns else []
     return rows.groupBy("chunk_id").agg(F.max("content").alias("content"), F.max("rel_path").alias("rel_path"), *more)
 
@@ -88,16 +89,16 @@ def _hits(spark: SparkSession, once: DataFrame, query: str, limit: int, embedder
 
 def search(
     spark: SparkSession, chunks: DataFrame, query: str, limit: int = 10, file: str | None = None, language: str | None = None, min_score: float = 0.0,
-    embedder: Embedder | None = None, fusion: int = 60, prefix: str = "search_query: ",
+    embedder: Embedder | None = None, fusion: int = 60, prefix: str = "search_query: ", where: dict[str, object] | None = None,
 ) -> DataFrame:
     """Ranked chunks for a query text: rank, chunk_id, rel_path, score, content.
 
-    Equality filters come first. With a model, search is hybrid: the best of BM25 and those of the cosine of vectors (the chunks' column
+    Equality filters, of file, language and the columns in where, come first. With a model, search is hybrid: the best of BM25 and those of the cosine of vectors (the chunks' column
     embedding, else worked out) are fused by reciprocal ranks; without one it is BM25 alone. Then the limit (1 to 50), then the threshold.
     """
     if not query or not query.strip():
         raise ValueError("the query is empty")
-    once = _once(chunks, file, language)
+    once = _once(chunks, {"rel_path": file or None, "language": language or None} | (where or {}))
     hits = _hits(spark, once, query, max(1, min(50, limit)), embedder, fusion, prefix)
     return R.at_least(hits, min_score).join(once, F.col("id") == once.chunk_id).select("rank", "chunk_id", "rel_path", "score", "content").orderBy("rank")
 
@@ -116,7 +117,7 @@ def search_linked(spark: SparkSession, collections: list[tuple[str, DataFrame]],
         seen.setdefault(label, chunks)
     every = None
     for place, (label, chunks) in enumerate(seen.items()):
-        once = _once(chunks, None, None)
+        once = _once(chunks, {})
         hits = _hits(spark, once, query, max(2 * limit, 20), embedder, fusion, "search_query: ").join(once.select(F.col("chunk_id").alias("id"), "rel_path"), "id")
         hits = hits.withColumns({"label": F.lit(label), "place": F.lit(place)})
         every = hits if every is None else every.unionByName(hits)

@@ -270,3 +270,19 @@ def test_shebangs_and_signs(spark):
     }
     df = spark.createDataFrame([(k,) for k in rows], "head string")
     assert {r.head: r.ext for r in df.select("head", language.sniffed_extension(F.col("head")).alias("ext")).collect()} == rows
+
+
+def test_ignore_files_nest(spark):
+    rows = [(".gitignore", "# all\n*.log\nbuild/\n\n!keep.log\n"), ("a/.gitignore", "/only.txt\ntmp\n"), ("a/b/.gitignore", "!x.log"), ("x.log", ""), ("keep.log", ""), ("build/o.c", ""), ("a/only.txt", ""), ("a/b/only.txt", ""), ("only.txt", ""), ("a/b/tmp/c.py", ""), ("tmp/c.py", ""), ("a/b/x.log", ""), ("n", None)]
+    files = spark.createDataFrame(rows, "rel_path string, content string")
+    rules = maintenance.ignore_rules(files)
+    got = {r.rel_path for r in maintenance.ignored(files, rules).where("ignored").collect()}
+    assert got == {"x.log", "build/o.c", "a/only.txt", "a/b/tmp/c.py"} and maintenance.ignore_rules(files.where("false")) == []
+    bare = files.select(paths.without_extension(F.col("rel_path")).alias("p")).union(spark.createDataFrame([("a/b.d.ts",), (".env",), ("x.y/z",)], "p string").select(paths.without_extension(F.col("p"))))
+    assert {"a/b", ".env", "x.y/z", "build/o"} <= {r.p for r in bare.collect()}
+
+
+def test_search_by_any_column(spark):
+    chunks = spark.createDataFrame([("1", "a.py", "alpha", "python", "p"), ("2", "b.py", "alpha", "python", "q"), ("3", "c.go", "alpha", "go", "q")], "chunk_id string, rel_path string, content string, language string, project string")
+    found = lambda **kw: [r.chunk_id for r in sqlapi.search(spark, chunks, "alpha", **kw).collect()]
+    assert found() == ["1", "2", "3"] and found(where={"project": "q"}) == ["2", "3"] and found(language="go", where={"project": "q"}) == ["3"] and found(where={"project": "none"}) == []
